@@ -44,15 +44,24 @@ PORTFOLIO = 10_000.0
 STRATEGIES = {0: 0.02, 1: 0.05, 2: 0.10}
 CAP_FREE = 1_000_000  # more than any day's signals: the cap does not bind
 CAP_TIGHT = 5
+REGIME_MIN = 10  # a test ticker trades on about every fourth day of the grid
+
+
+# Taken over from the ticks by one division: equal to the last bit in any engine.
+EXACT = {"open", "high", "low", "close", "volume", "entry_price", "exit_price"}
+# Large sums and ratios of small numbers carry fewer digits than six places show.
+PLACES = {"equity": 2, "sharpe_ratio": 4, "sortino_ratio": 4, "calmar_ratio": 4}
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Plain result columns: long integers, doubles to six places, times as text."""
+    """Plain result columns: long integers, computed doubles to six places, times as text."""
     out = []
     for f in df.schema.fields:
         c, t = F.col(f"`{f.name}`"), f.dataType
-        if isinstance(t, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+        if f.name in EXACT:
+            c = c.cast("double")
+        elif isinstance(t, (T.DoubleType, T.FloatType)):
+            c = F.round(c.cast("double"), PLACES.get(f.name, 6)) + F.lit(0.0)
         elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("long")
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
@@ -337,12 +346,12 @@ def _return_features(spark, sf):
 
 @query
 def regime_inputs(spark, sf):
-    return regime.regime_inputs(stage(_return_features(spark, sf), "returns"))
+    return regime.regime_inputs(stage(_return_features(spark, sf), "returns"), min_count=REGIME_MIN)
 
 
 @query
 def regime_labels(spark, sf):
-    return regime.regime_labels(stage(_return_features(spark, sf), "returns"))
+    return regime.regime_labels(stage(_return_features(spark, sf), "returns"), min_count=REGIME_MIN)
 
 
 @query
