@@ -90,24 +90,30 @@ def _daily(spark, sf, *columns):
     return bars.select(*columns) if columns else bars
 
 
-def _matrix(spark, sf):
-    return features.build_feature_matrix(_daily(spark, sf))
+def _staged_bars(spark, sf):
+    """The daily bars for queries in which several steps read them."""
+    return stage(_daily(spark, sf), "bars")
 
 
-def _labels(spark, sf):
+_PATH = ("ticker", "timestamp", "close", "instrument", "sector")
+
+
+def _matrix(spark, sf, bars=None):
+    return features.build_feature_matrix(_daily(spark, sf) if bars is None else bars)
+
+
+def _labels(spark, sf, bars=None):
     """Weighted labels of the daily bars, with instrument number and sector."""
-    bars = _daily(spark, sf, "ticker", "timestamp", "close", "instrument", "sector")
-    return labels.label_universe(bars, **LABELING)
+    return labels.label_universe((_daily(spark, sf) if bars is None else bars).select(*_PATH), **LABELING)
 
 
-def _events(spark, sf):
+def _events(spark, sf, bars=None):
     """Unweighted labels: enough where weights are not read."""
-    bars = _daily(spark, sf, "ticker", "timestamp", "close", "instrument", "sector")
-    return labels.barrier_labels(bars, **LABELING)
+    return labels.barrier_labels((_daily(spark, sf) if bars is None else bars).select(*_PATH), **LABELING)
 
 
-def _predicted(spark, sf):
-    return tables.with_predictions(_events(spark, sf))
+def _predicted(spark, sf, bars=None):
+    return tables.with_predictions(stage(_events(spark, sf, bars), "events"))
 
 
 def _folds(spark, sf, mode="strict"):
@@ -126,15 +132,16 @@ def _member_probability(j):
     return F.array(*[F.get(base, ((shift + i) % 3).cast("int")) for i in range(3)])
 
 
-def _signals(spark, sf):
+def _signals(spark, sf, bars=None):
     """Meta-labelled predictions with prices, liquidity and the perfect-foresight decision."""
-    predicted = meta.build_meta_labels(_predicted(spark, sf)).withColumn("meta_decision", F.col("meta_label"))
-    return sizing.enrich_signals(predicted, features.add_price_features(_daily(spark, sf)))
+    bars = _staged_bars(spark, sf) if bars is None else bars
+    predicted = meta.build_meta_labels(_predicted(spark, sf, bars)).withColumn("meta_decision", F.col("meta_label"))
+    return sizing.enrich_signals(predicted, features.add_price_features(bars))
 
 
-def _book(spark, sf):
+def _book(spark, sf, bars):
     """The signals sized under each strategy's position limit."""
-    signals = stage(_signals(spark, sf), "signals")
+    signals = stage(_signals(spark, sf, bars), "signals")
     parts = []
     for sid, frac in STRATEGIES.items():
         sizer = sizing.PositionSizer(max_position_frac=frac, impact_coeff=SIZER.impact_coeff)
@@ -146,9 +153,9 @@ def _book(spark, sf):
 
 
 def _backtest(spark, sf, cap=CAP_FREE):
-    bars = stage(_daily(spark, sf, "ticker", "timestamp", "close"), "prices")
-    book = stage(_book(spark, sf), "book")
-    return backtest.run_backtest(book, bars, PORTFOLIO, cap)
+    bars = _staged_bars(spark, sf)
+    book = stage(_book(spark, sf, bars), "book")
+    return backtest.run_backtest(book, bars.select("ticker", "timestamp", "close"), PORTFOLIO, cap)
 
 
 def _sector_returns(spark, sf):
@@ -339,9 +346,9 @@ def feature_matrix_news(spark, sf):
     return matrix.select(*_MATRIX, *_SENTIMENT)
 
 
-def _return_features(spark, sf):
-    bars = _daily(spark, sf, "ticker", "timestamp", "close")
-    return features.add_return_features(bars)
+def _return_features(spark, sf, bars=None):
+    bars = _daily(spark, sf) if bars is None else bars
+    return features.add_return_features(bars.select("ticker", "timestamp", "close"))
 
 
 @query
@@ -367,14 +374,15 @@ def sentiment_merge(spark, sf):
 
 @query
 def event_feature_lookup(spark, sf):
-    events = _events(spark, sf).select("ticker", "t0")
-    return features.lookup_features(events, _matrix(spark, sf), ["vol_norm_return", "regime"])
+    bars = _staged_bars(spark, sf)
+    events = _events(spark, sf, bars).select("ticker", "t0")
+    return features.lookup_features(events, _matrix(spark, sf, bars), ["vol_norm_return", "regime"])
 
 
 @query
 def encode_ids(spark, sf):
     """Ids of the tickers with features, looked up for all bars (unseen read 0)."""
-    bars = _daily(spark, sf, "ticker", "sector", "timestamp")
+    bars = stage(_daily(spark, sf, "ticker", "sector", "timestamp"), "bars")
     listed = universe.filter_to_universe(bars, tables.lifecycles(spark, sf), strict=True)
     tickers = features.encode_ids(listed, "ticker", "ticker_id")
     sectors = features.encode_ids(listed, "sector", "sector_id")
@@ -386,8 +394,10 @@ _SEQUENCE = ("log_return", "realized_vol", "momentum_5", "rsi_14")
 
 
 def _sequences(spark, sf, length=30):
-    events = _events(spark, sf).select("ticker", "t0")
-    return features.sequence_windows(events, _matrix(spark, sf), _SEQUENCE, length)
+    bars = _staged_bars(spark, sf)
+    events = stage(_events(spark, sf, bars).select("ticker", "t0"), "events")
+    matrix = stage(_matrix(spark, sf, bars).select("ticker", "timestamp", *_SEQUENCE), "matrix")
+    return features.sequence_windows(events, matrix, _SEQUENCE, length)
 
 
 @query
@@ -524,13 +534,11 @@ def cv_evaluate_mean_model(spark, sf):
     return predicted.select("fold", "pos", "ticker", "t0", "return_at_touch", "prediction")
 
 
-_ERROR = F.col("return_at_touch") - F.col("prediction")
-
-
 @query
 def cv_metric_summary(spark, sf):
     _, predicted = _mean_model(spark, sf)
-    per_fold = cv.fold_metrics(predicted, {"mse": F.avg(_ERROR * _ERROR), "mae": F.avg(F.abs(_ERROR))})
+    error = F.col("return_at_touch") - F.col("prediction")
+    per_fold = cv.fold_metrics(predicted, {"mse": F.avg(error * error), "mae": F.avg(F.abs(error))})
     return cv.metric_summary(per_fold, ["mse", "mae"])
 
 
@@ -553,12 +561,14 @@ def cv_cal_test_split(spark, sf):
 
 @query
 def label_feature_join(spark, sf):
-    joined = models.join_features(_events(spark, sf), _matrix(spark, sf))
+    bars = _staged_bars(spark, sf)
+    joined = models.join_features(_events(spark, sf, bars), _matrix(spark, sf, bars))
     return joined.select("ticker", "t0", "label", *models.BASELINE_FEATURES)
 
 
 def _training_folds(spark, sf):
-    rows = models.join_features(_labels(spark, sf), _matrix(spark, sf))
+    bars = _staged_bars(spark, sf)
+    rows = models.join_features(_labels(spark, sf, bars), _matrix(spark, sf, bars))
     return stage(cv.purged_folds(stage(rows, "training"), FOLDS, EMBARGO), "folds")
 
 
@@ -616,7 +626,7 @@ def fold_summary(spark, sf):
 
 
 def _quantile_forecasts(spark, sf):
-    rows = tables.with_predictions(_events(spark, sf)).withColumnRenamed("p50", "signal").drop("p10", "p90")
+    rows = _predicted(spark, sf).withColumnRenamed("p50", "signal").drop("p10", "p90")
     rows = rows.withColumn("regime", F.lit(0))
     folds = stage(cv.purged_folds(stage(rows, "predicted"), FOLDS, EMBARGO), "folds")
     train, test = cv.train_rows(folds, FOLDS - 1), cv.test_rows(folds, FOLDS - 1)
@@ -662,7 +672,7 @@ def batch_score(spark, sf):
 
 
 def _cal_and_test(spark, sf):
-    rows = stage(_predicted(spark, sf), "predicted")
+    rows = _predicted(spark, sf)
     folds = stage(cv.purged_folds(rows, FOLDS, EMBARGO), "folds")
     split = cv.calibration_split(folds, FOLDS)
     return split.where(F.col("part") == "calibration"), split.where(F.col("part") == "test")
@@ -714,7 +724,9 @@ def meta_hit_rate_resolved(spark, sf):
 
 
 def _with_context(spark, sf):
-    return features.lookup_features(_predicted(spark, sf), _return_features(spark, sf), ["vol_norm_return"], 0.0)
+    bars = _staged_bars(spark, sf)
+    context = _return_features(spark, sf, bars)
+    return stage(features.lookup_features(_predicted(spark, sf, bars), context, ["vol_norm_return"], 0.0), "context")
 
 
 @query
@@ -725,8 +737,9 @@ def meta_lag_context(spark, sf):
 
 @query
 def meta_oof(spark, sf):
-    rows = tables.with_predictions(_labels(spark, sf)).withColumn("regime", F.lit(0))
-    rows = features.lookup_features(rows, _return_features(spark, sf), ["vol_norm_return"], 0.0)
+    bars = _staged_bars(spark, sf)
+    rows = tables.with_predictions(_labels(spark, sf, bars)).withColumn("regime", F.lit(0))
+    rows = features.lookup_features(rows, _return_features(spark, sf, bars), ["vol_norm_return"], 0.0)
     built = stage(meta.build_meta_labels(stage(rows, "context")), "meta")
     folds = stage(cv.purged_folds(built, 3, EMBARGO), "folds")
     oof = meta.MetaClassifier(n_trees=10).fit(folds, 3)
@@ -791,8 +804,8 @@ def asof_exit(spark, sf):
 
 @query
 def trade_pnl(spark, sf):
-    bars = stage(_daily(spark, sf, "ticker", "timestamp", "close"), "prices")
-    sized = stage(SIZER.compute_sizes(_signals(spark, sf), PORTFOLIO), "sized")
+    bars = _staged_bars(spark, sf)
+    sized = stage(SIZER.compute_sizes(_signals(spark, sf, bars), PORTFOLIO), "sized")
     priced = backtest.price_signals(sized.where(F.col("final_size_frac") > 0), bars)
     return backtest.with_trade_pnl(priced).select(
         "ticker", "t0", "t1", "entry_price", "exit_price", "direction", "notional", "shares", "gross_pnl", "cost_pnl",

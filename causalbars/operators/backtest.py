@@ -46,8 +46,8 @@ def price_signals(signals: DataFrame, bars: DataFrame, spec: SeriesSpec = DAILY)
     A grid of strategies trades the same events; the as-of joins see each event once.
     """
     key = [*spec.keys, "t0", "t1", "return_at_touch"]
-    priced = with_exit_price(with_entry_price(signals.select(*key).distinct(), bars, spec), bars, spec)
-    return signals.join(priced, key)
+    entered = stage(with_entry_price(signals.select(*key).distinct(), bars, spec), "entered")
+    return signals.join(with_exit_price(entered, bars, spec), key)
 
 
 def with_trade_pnl(priced: DataFrame, spread_bps: float = 3.0, cost_bps: float = 5.0) -> DataFrame:

@@ -53,7 +53,7 @@ def _with_technicals(df: DataFrame, w: WindowSpec, price: str) -> DataFrame:
         df.withColumn("adv", rolling(F.avg, "volume", preceding(w, ADV_WINDOW), 5))
         .withColumn("hl_spread", (F.col("high") - F.col("low")) / F.greatest(F.col(price), F.lit(EPS)))
         .withColumn("_delta", last - F.lag(price, 2).over(w))
-        .withColumn("_z_mean", rolling(F.avg, price, z_frame, 10))
+        .withColumn("_z_mean", F.avg(price).over(z_frame))
         .withColumn("_z_std", rolling(F.stddev_samp, price, z_frame, 10))
         .withColumn("z_price", (F.col(price) - F.col("_z_mean")) / floored(F.col("_z_std"), EPS))
     )
@@ -61,7 +61,7 @@ def _with_technicals(df: DataFrame, w: WindowSpec, price: str) -> DataFrame:
     changes = w.rowsBetween(-(RSI_PERIOD - 1), 0)
     delta = F.col("_delta")
     gain = rolling(F.avg, F.when(delta.isNotNull(), F.greatest(delta, F.lit(0.0))), changes, RSI_PERIOD)
-    loss = rolling(F.avg, F.when(delta.isNotNull(), F.greatest(-delta, F.lit(0.0))), changes, RSI_PERIOD)
+    loss = F.avg(F.when(delta.isNotNull(), F.greatest(-delta, F.lit(0.0)))).over(changes)
     return (
         df.withColumn("_gain", gain)
         .withColumn("_loss", loss)

@@ -87,6 +87,8 @@ def regime_labels(
     )
     n = inputs.count()
     step = max(200, n // 20)
+    # iterative fits on a small table: as many tasks as its size asks for
+    inputs = inputs.coalesce(max(1, n // 200_000))
     assembled = VectorAssembler(inputCols=["mean_vol", "mean_corr_proxy"], outputCol="_raw").transform(inputs)
     parts = []
     for start in range(0, n, step):
@@ -96,8 +98,10 @@ def regime_labels(
             parts.append(chunk.select("timestamp", F.lit(0).cast("long").alias("regime")))
             continue
         train = assembled.where(F.col("pos") < history)
+        # Spark's tolerance is on the whole log-likelihood; ask for 0.001 per row
+        tolerance = 1e-3 * history
         scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(train)
-        mixture = GaussianMixture(featuresCol="_x", predictionCol="_k", k=n_regimes, seed=seed).fit(
+        mixture = GaussianMixture(featuresCol="_x", predictionCol="_k", k=n_regimes, seed=seed, tol=tolerance).fit(
             scaler.transform(train)
         )
         by_vol = sorted(range(n_regimes), key=lambda k: float(mixture.gaussians[k].mean[0]))
