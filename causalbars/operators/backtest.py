@@ -34,8 +34,15 @@ def with_entry_price(signals: DataFrame, bars: DataFrame, spec: SeriesSpec = DAI
 
 def with_exit_price(signals: DataFrame, bars: DataFrame, spec: SeriesSpec = DAILY) -> DataFrame:
     """``exit_price``: the last close at or before t1, else the entry moved by the label's return."""
-    found = asof_join(signals, bars, F.col("close"), "exit_price", "t1", direction="backward", spec=spec)
-    return found.withColumn(
+    return _with_exit_fallback(_last_close(signals, bars, spec))
+
+
+def _last_close(signals: DataFrame, bars: DataFrame, spec: SeriesSpec) -> DataFrame:
+    return asof_join(signals, bars, F.col("close"), "exit_price", "t1", direction="backward", spec=spec)
+
+
+def _with_exit_fallback(priced: DataFrame) -> DataFrame:
+    return priced.withColumn(
         "exit_price", F.coalesce("exit_price", F.col("entry_price") * (1.0 + F.col("return_at_touch")))
     )
 
@@ -45,9 +52,9 @@ def price_signals(signals: DataFrame, bars: DataFrame, spec: SeriesSpec = DAILY)
 
     A grid of strategies trades the same events; the as-of joins see each event once.
     """
-    key = [*spec.keys, "t0", "t1", "return_at_touch"]
+    key = [*spec.keys, "t0", "t1"]
     entered = stage(with_entry_price(signals.select(*key).distinct(), bars, spec), "entered")
-    return signals.join(with_exit_price(entered, bars, spec), key)
+    return _with_exit_fallback(signals.join(_last_close(entered, bars, spec), key))
 
 
 def with_trade_pnl(priced: DataFrame, spread_bps: float = 3.0, cost_bps: float = 5.0) -> DataFrame:
@@ -117,18 +124,25 @@ def admit_signals(
     ``max_concurrent`` is a number or the name of a per-strategy column.  Signals
     are offered in (t0, ties) order.  Days start by closing what has expired; a
     full book or capital used up ends a day's entries; signals without a usable
-    price are passed over.  No day can admit more than the cap, so the first
-    ``cap`` usable signals of each day decide everything: they are found by a
-    ranked limit that Spark applies before the shuffle, and what reaches the
-    state machine is at most cap x days rows per strategy.
+    price are passed over.  Strategies whose cap and capital never bind are
+    recognised from daily totals and keep all their trades.  For the others, no
+    day can admit more than the cap, so the first ``cap`` usable signals of each day
+    decide everything: they are found by a ranked limit that Spark applies before
+    the shuffle, and what reaches the state machine is at most cap x days rows.
     """
     cap = F.col(max_concurrent) if isinstance(max_concurrent, str) else F.lit(max_concurrent)
-    rows = with_trade_days(trades).where(F.col("entry_price").isNotNull() & (F.col("entry_price") > 0))
+    usable = with_trade_days(trades).where(F.col("entry_price").isNotNull() & (F.col("entry_price") > 0))
+    slack = stage(_never_bound(usable.withColumn("_cap", cap), initial_capital), "slack")
+    free = usable.join(slack.where("slack").select(STRATEGY), STRATEGY, "left_semi")
+    bound = usable.join(slack.where("NOT slack").select(STRATEGY, "largest"), STRATEGY)
+
+    # One number: a constant bound is what lets Spark cut the ranking before the shuffle.
+    largest = slack.where("NOT slack").agg(F.max("largest")).first()[0] or 0
     by_day = Window.partitionBy(STRATEGY, "open_day").orderBy("t0", *ties)
-    rows = rows.withColumn("rank", F.row_number().over(by_day))
-    rows = rows.where(F.col("rank") <= cap)
-    rows = rows.withColumn("trade_key", F.concat_ws("|", F.unix_micros("t0").cast("string"), *ties))
-    narrow = rows.select(
+    bound = bound.withColumn("rank", F.row_number().over(by_day)).where(F.col("rank") <= F.lit(largest))
+    bound = bound.where(F.col("rank") <= cap)
+    bound = bound.withColumn("trade_key", F.concat_ws("|", F.unix_micros("t0").cast("string"), *ties))
+    narrow = bound.select(
         STRATEGY,
         "trade_key",
         "rank",
@@ -141,7 +155,36 @@ def admit_signals(
     )
     schema = T.StructType([narrow.schema["trade_key"], narrow.schema[STRATEGY]])
     taken = narrow.groupBy(STRATEGY).applyInPandas(_admission(), schema)
-    return rows.join(taken, [STRATEGY, "trade_key"], "left_semi").drop("rank", "trade_key")
+    admitted = bound.join(taken, [STRATEGY, "trade_key"], "left_semi").drop("rank", "trade_key", "largest")
+    return free.unionByName(admitted)
+
+
+def _never_bound(trades: DataFrame, initial_capital: float) -> DataFrame:
+    """Per strategy: would taking every trade keep within the cap and the capital?
+
+    If, with all trades taken, no day ends with more open positions than the cap or
+    without capital, then no signal was ever refused and the account need not be
+    walked through.  Runs on one row per strategy and day.
+    """
+    moves = F.array(
+        F.struct(F.col("open_day").alias("day"), F.lit(1).alias("n"), F.col("entry_cost").alias("cash")),
+        F.struct(F.col("close_day").alias("day"), F.lit(-1).alias("n"), F.col("net_pnl").alias("cash")),
+    )
+    days = (
+        trades.select(STRATEGY, "_cap", F.explode(moves).alias("m"))
+        .groupBy(STRATEGY, F.col("m.day").alias("day"))
+        .agg(F.sum("m.n").alias("n"), F.sum("m.cash").alias("cash"), F.min("_cap").alias("_cap"))
+    )
+    by_day = so_far(Window.partitionBy(STRATEGY).orderBy("day"))
+    return (
+        days.withColumn("_open", F.sum("n").over(by_day))
+        .withColumn("_capital", F.lit(float(initial_capital)) + F.sum("cash").over(by_day))
+        .groupBy(STRATEGY)
+        .agg(
+            ((F.max(F.col("_open") - F.col("_cap")) <= 0) & (F.min("_capital") > 0)).alias("slack"),
+            F.max("_cap").cast("long").alias("largest"),
+        )
+    )
 
 
 def run_backtest(

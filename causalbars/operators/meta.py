@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from causalbars.functions.exprs import preceding, rolling
 from causalbars.operators.cv import test_rows, train_rows
+from causalbars.plans.quantiles import cut_points, slice_of
 from causalbars.plans.series import SeriesSpec, block_series, drop_internal, running_totals
 
 # Input columns of the act / skip classifier and the hit-rate window.
@@ -185,7 +186,9 @@ def binary_metrics(
     scores = predicted.groupBy(*keys, F.col(score).alias("_s")).agg(
         F.count_if(pos).alias("_pos"), F.count_if(~pos).alias("_neg")
     )
-    ranked = running_totals(scores, "_s", ["_neg"], keys, bucket=F.floor(F.col("_s") * 4096))
+    cuts = predicted.agg(F.percentile_approx(score, cut_points(256), 4000)).scalar()
+    scores = scores.withColumn("_cuts", cuts).withColumn("_slice", slice_of(F.col("_s"), "_cuts")).drop("_cuts")
+    ranked = running_totals(scores, "_s", ["_neg"], keys, bucket=F.col("_slice"))
     below = F.col("_neg_cum") - F.col("_neg") / 2.0
     auc = ranked.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("_pos") * below), F.sum("_pos").cast("double") * F.sum("_neg")).alias("auc_roc")

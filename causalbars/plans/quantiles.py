@@ -13,6 +13,16 @@ from causalbars.plans.staging import stage
 _SPLITS = 64
 
 
+def cut_points(n: int = _SPLITS) -> list[float]:
+    """Levels that cut a distribution into ``n`` slices of about equal size."""
+    return [i / n for i in range(1, n)]
+
+
+def slice_of(value: Column, cuts: Column | str) -> Column:
+    """Number of the slice a value falls into; the order of slices is the order of values."""
+    return F.size(F.filter(cuts, lambda c: c < value))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, levels: dict[str, Column], keep_empty: bool = False
 ) -> DataFrame:
@@ -31,14 +41,15 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_c")
     )
     counted = stage(counted, "value-counts")  # read by the cuts, the counts and the picks
-    cuts = [i / _SPLITS for i in range(1, _SPLITS)]
     groups = counted.groupBy(*group).agg(
-        F.sum("_c").alias("n"), F.percentile_approx("_v", cuts, 2000).alias("_cuts")
+        F.sum("_c").alias("n"), F.percentile_approx("_v", cut_points(), 2000).alias("_cuts")
     )
     groups = groups.withColumns({f"_rank_{name}": (F.col("n") - 1) * level for name, level in levels.items()})
 
-    sliced = counted.join(groups.select(*group, "_cuts"), group).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    # Without keys the group table is one row and the slice table at most _SPLITS rows.
+    small = (lambda t: t) if keys else F.broadcast
+    sliced = counted.join(small(groups.select(*group, "_cuts")), group).withColumn(
+        "_slice", slice_of(F.col("_v"), "_cuts")
     )
     in_group = Window.partitionBy(*group).orderBy("_slice")
     slices = (
@@ -46,7 +57,7 @@ def exact_quantiles(
         .agg(F.sum("_c").alias("_cnt"))
         .withColumn("_end", F.sum("_cnt").over(so_far(in_group)))
         .withColumn("_start", F.col("_end") - F.col("_cnt"))
-        .join(groups.drop("_cuts"), group)
+        .join(small(groups.drop("_cuts")), group)
     )
     wanted = F.lit(False)
     for name in levels:
@@ -57,7 +68,7 @@ def exact_quantiles(
     in_slice = Window.partitionBy(*group, "_slice").orderBy("_v")
     ranked = (
         sliced.drop("_cuts")
-        .join(slices, [*group, "_slice"])
+        .join(small(slices), [*group, "_slice"])
         .withColumn("_hi", F.col("_start") + F.sum("_c").over(so_far(in_slice)))
         .withColumn("_lo", F.col("_hi") - F.col("_c"))
     )

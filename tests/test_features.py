@@ -119,14 +119,14 @@ def test_bar_interval(spark, bars, bars_pdf):
     got = sentiment.bar_interval(bars, SMALL).first()["bar_seconds"]
     gaps = [g.sort_values().diff().dt.total_seconds().median() for _, g in bars_pdf.groupby("ticker")["timestamp"]]
     assert got == pytest.approx(np.median(gaps))
-    single = spark.createDataFrame([("A", pd.Timestamp("2024-01-01"))], "ticker string, timestamp timestamp")
+    single = spark.createDataFrame([("A", pd.Timestamp("2024-01-01").to_pydatetime())], "ticker string, timestamp timestamp")
     assert sentiment.bar_interval(single).first()["bar_seconds"] == 300.0
 
 
 def test_sentiment_equals_brute_force(spark, bars, bars_pdf):
     rng = np.random.default_rng(9)
     n = 300
-    at = pd.Timestamp("2024-01-02") + pd.to_timedelta(rng.integers(0, 40 * 24 * 60, n), unit="min")
+    at = (pd.Timestamp("2024-01-02") + pd.to_timedelta(rng.integers(0, 40 * 24 * 60, n), unit="min")).to_numpy()
     news = pd.DataFrame(
         {
             # two thirds of the stories hit one ticker in one hour

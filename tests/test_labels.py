@@ -62,7 +62,7 @@ def test_own_sigma_and_unknown_times(spark):
     df = path(spark, [100.0, 101.0, 99.0, 110.0])
     ts = df.orderBy("timestamp").first().timestamp
     events = spark.createDataFrame(
-        [("A", ts, 0.04), ("A", pd.Timestamp("2030-01-01"), 0.04)], "ticker string, t0 timestamp, sigma double"
+        [("A", ts, 0.04), ("A", pd.Timestamp("2030-01-01").to_pydatetime(), 0.04)], "ticker string, t0 timestamp, sigma double"
     )
     rows = labels.barrier_labels(df, events, max_holding=20).collect()
     assert len(rows) == 1 and rows[0].barrier_type == "upper" and rows[0].sigma_t0 == 0.04
