@@ -413,9 +413,9 @@ def sequence_windows(spark, sf):
 
 @query
 def guard_feature_time(spark, sf):
-    """The news table as features that reach an event a minute after each tick of the same id + 1."""
+    """News as features of the tick one id before; a later story is a violation."""
     ticks = tables.event_ticks(spark, sf).select((F.col("event_id") + 1).alias("event_id"), F.col("ts").alias("t0"))
-    stories = tables.news(spark, sf).select("event_id", (F.col("article_public_ts")).alias("timestamp"))
+    stories = tables.news(spark, sf).select("event_id", F.col("article_public_ts").alias("timestamp"))
     return guards.late_features(stories, ticks)
 
 
@@ -435,7 +435,7 @@ def guard_news_latency(spark, sf):
 
 @query
 def guard_monotonic(spark, sf):
-    """Order lines of a part by order number, as an arrival order that is often violated."""
+    """Customers' orders by order number: an arrival order that dates often violate."""
     rows = tables.table(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("ticker"),
         F.col("o_orderkey").alias("arrival"),
