@@ -26,7 +26,7 @@ def _sql(needs: str, body: str) -> str:
     for name in needs.split():
         visit(name)
     head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
-    return f"WITH {head}\n{body}" if head else body
+    return f"WITH RECURSIVE {head}\n{body}" if head else body
 
 
 def _out(columns: str) -> str:
@@ -938,6 +938,31 @@ _oracle(
     "strategy_id@i;ticker;t0@t;t1@t;open_day@d;close_day@d;notional@r;net_pnl@r",
     "FROM log",
 )
+# The account of each strategy with at most five open positions, signal by signal:
+# positions whose closing day has come are let go, then there is room or there is not.
+_cte(
+    "queue",
+    "opened",
+    "SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY t0, ticker) AS k FROM opened",
+)
+_HELD = "list_filter(w.held, lambda x: x > q.open_day)"
+_cte(
+    "walk",
+    "queue span",
+    f"""SELECT strategy_id, CAST(0 AS BIGINT) AS k, CAST([] AS DATE[]) AS held, FALSE AS taken FROM span
+        UNION ALL
+        SELECT q.strategy_id, q.k, CASE WHEN len({_HELD}) < 5 THEN list_append({_HELD}, q.close_day) ELSE {_HELD} END,
+               len({_HELD}) < 5
+        FROM walk w JOIN queue q ON q.strategy_id = w.strategy_id AND q.k = w.k + 1""",
+)
+_oracle(
+    "backtest_trades_capped",
+    "walk",
+    "strategy_id=q.strategy_id@i;ticker=q.ticker;t0=q.t0@t;t1=q.t1@t;open_day=q.open_day@d;close_day=q.close_day@d;"
+    "notional=q.notional@r;net_pnl=q.net_pnl@r",
+    """FROM queue q JOIN walk w ON w.strategy_id = q.strategy_id AND w.k = q.k AND w.taken
+       JOIN span s ON s.strategy_id = q.strategy_id AND q.close_day <= s.b""",
+)
 _cte(
     "flows",
     "log",
@@ -1016,6 +1041,39 @@ _cte(
 _oracle(
     "sharpe_moments", "moments", "strategy_id;n_obs=n@i;mean=m@r;std=sd@r;skewness=skew@r;excess_kurtosis=kurt@r", "FROM moments"
 )
+
+# Normal quantiles at 1 - 1/50 and 1 - 1/(50 e), mixed by the Euler-Mascheroni constant.
+_TOP = "((1.0 - 0.5772156649) * 2.053748910631822 + 0.5772156649 * 2.4393139538578943)"
+
+
+def _phi(name: str, source: str, z: str) -> None:
+    """Normal distribution function of z by its power series, one row per strategy."""
+    _cte(
+        name,
+        source,
+        f"""SELECT strategy_id, 0.5 + any_value(sign(z)) * exp(-any_value(z * z) / 2) / sqrt(2 * pi())
+                     * sum(exp((2 * n + 1) * ln(abs(z)) - lgamma(2 * n + 2.0) + n * ln(2.0) + lgamma(n + 1.0))) AS p
+            FROM (SELECT strategy_id, {z} AS z FROM {source}) CROSS JOIN range(0, 150) r(n) GROUP BY 1""",
+    )
+
+
+_cte(
+    "dsr",
+    "moments",
+    """SELECT *, m / sd AS sr,
+              greatest(sqrt((1.0 - skew * (m / sd) + (kurt + 1.0) * (m / sd) ** 2 / 4.0) / (n - 1)), 1e-10) AS sr_sd
+       FROM moments""",
+)
+_phi("psr", "dsr", "sr / sr_sd")
+_phi("ddsr", "dsr", f"(sr - {_TOP} * sr_sd) / sr_sd")
+_oracle(
+    "deflated_sharpe",
+    "psr ddsr",
+    "strategy_id=d.strategy_id;n_obs=d.n@i;sr=d.sr * sqrt(252.0)@r;sr_per_period=d.sr@r;psr=p.p@r;dsr=q.p@r;"
+    f"e_max_sr={_TOP} * d.sr_sd * sqrt(252.0)@r;skewness=d.skew@r;excess_kurtosis=d.kurt@r;n_trials=50@i;"
+    "is_significant=(q.p > 0.95)",
+    "FROM dsr d JOIN psr p ON p.strategy_id = d.strategy_id JOIN ddsr q ON q.strategy_id = d.strategy_id",
+)
 _cte(
     "blocks",
     "matrix",
