@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -186,8 +185,3 @@ def calibration_split(folds: DataFrame, n_splits: int, key: Sequence[str] = ("ti
     cal = test_rows(folds, n_splits - 2).withColumn("part", F.lit("calibration"))
     train = train_rows(folds, n_splits - 1).join(cal.select(*key), list(key), "left_anti")
     return test.unionByName(cal).unionByName(train.withColumn("part", F.lit("train"))).drop("fold", "role")
-
-
-def embargo_size(n: int, embargo_pct: float) -> int:
-    """Positions after a fold that no training row may take."""
-    return math.ceil(embargo_pct * n)

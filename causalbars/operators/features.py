@@ -185,7 +185,7 @@ def sequence_windows(
     zero_row = F.array(*[F.lit(0.0).cast("float") for _ in columns])
     return (
         blocks.df.withColumn("_seen", seen)
-        .withColumn("_rows", window_rows_of_features(window_rows))
+        .withColumn("_rows", _feature_vectors(window_rows))
         .where((F.col("_is_row") == 0) & blocks.own_rows())
         .withColumn("n_rows", F.size("_rows"))
         .where(F.col("n_rows") >= length // 2)
@@ -197,7 +197,7 @@ def sequence_windows(
     )
 
 
-def window_rows_of_features(collected: Column) -> Column:
+def _feature_vectors(collected: Column) -> Column:
     """Drop probe entries, order by time and keep the feature vectors."""
     rows = F.filter(collected, lambda r: r["_x"].isNotNull())
     return F.transform(F.array_sort(rows), lambda r: r["_x"])

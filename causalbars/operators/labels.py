@@ -45,11 +45,9 @@ def label_candidates(
     return drop_internal(df.where(blocks.own_rows() & keep).withColumnRenamed("_pos", "bar_no"))
 
 
-def _touch(
-    df: DataFrame, blocks: BlockedSeries, price: str, pt: float, sl: float, max_holding: int, vol_window: int
-) -> DataFrame:
-    """Add sigma and the bars ahead; both windows share the block's sort order."""
-    w = blocks.window()
+def _with_path(blocks: BlockedSeries, price: str, max_holding: int, vol_window: int) -> DataFrame:
+    """Add volatility and the bars ahead; both windows share the block's sort order."""
+    df, w = blocks.df, blocks.window()
     ts = blocks.spec.ts
     ahead = F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(price).alias("px"))).over(
         w.rowsBetween(1, max_holding)
@@ -61,9 +59,7 @@ def _touch(
     )
 
 
-def _outcome(
-    events: DataFrame, price: str, ts: str, pt: float, sl: float, vol_floor: float, vertical_weight: float
-) -> DataFrame:
+def _outcome(events: DataFrame, price: str, ts: str, pt: float, sl: float, vertical_weight: float) -> DataFrame:
     """First barrier touch of each event row; the upper barrier is tested first."""
     p0 = F.col(price)
     df = events.withColumns({"_up": p0 * (1.0 + pt * F.col("sigma_t0")), "_down": p0 * (1.0 - sl * F.col("sigma_t0"))})
@@ -121,7 +117,7 @@ def barrier_labels(
         wanted = wanted.select(*keys, spec.ts, "_wanted", *[c for c in ("sigma",) if c in events.columns])
         bars = bars.join(wanted, [*keys, spec.ts], "left")
     blocks = block_series(bars, vol_window + 1, max_holding, spec)
-    df = _touch(blocks.df, blocks, price, pt, sl, max_holding, vol_window)
+    df = _with_path(blocks, price, max_holding, vol_window)
     if events is None:
         df = df.withColumn("_pos", blocks.position())
         keep = _candidate(blocks, max_holding, vol_window, spacing, min_events)
@@ -130,7 +126,7 @@ def barrier_labels(
     df = df.where(blocks.own_rows() & keep)
     sigma = F.col("sigma") if events is not None and "sigma" in events.columns else F.col("_vol")
     df = df.withColumn("sigma_t0", F.when(sigma.isNotNull(), F.greatest(sigma, F.lit(vol_floor))))
-    return _outcome(df, price, spec.ts, pt, sl, vol_floor, vertical_weight).select(*keys, *LABEL_COLUMNS, *extra)
+    return _outcome(df, price, spec.ts, pt, sl, vertical_weight).select(*keys, *LABEL_COLUMNS, *extra)
 
 
 def with_overlap_counts(

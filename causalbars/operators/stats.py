@@ -86,14 +86,6 @@ def deflated_sharpe(
     )
 
 
-def _sharpe_of(total: Column, n: str, s: str, q: str, periods: int) -> Column:
-    """Sharpe ratio from count, sum and sum of squares; 0 for a flat series."""
-    count, mean = total[n], total[s] / total[n]
-    variance = (total[q] - total[s] * mean) / (count - 1)
-    sd = F.sqrt(F.greatest(variance, F.lit(0.0)))
-    return F.when(sd >= 1e-12, mean / sd * math.sqrt(periods)).otherwise(0.0)
-
-
 def overfitting_probability(
     returns: DataFrame, n_subsets: int = 4, periods: int = YEAR, t: str = "t", ret: str = "ret"
 ) -> DataFrame:
