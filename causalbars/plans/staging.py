@@ -10,36 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_DIRS: dict[str, str] = {}
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """Folder for staged tables: the one the cluster names, else a local one.
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for staged tables: the one named in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` wins.  A machine-local folder is created only for a
-    local master, where driver and executors are the same machine.
+    Where the setting is absent, a session whose driver and executors are one machine
+    (tests, notebooks) gets a temporary folder; a cluster gets an error, because
+    no local folder is seen by all its machines.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_DIRS:
-            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-stage-", dir="/tmp")
-        return _LOCAL_DIRS[app]
-    return None
+    context = spark.sparkContext
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="spark-stage-", dir="/tmp")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Later steps then scan only the columns they use, Catalyst sees real sizes,
-    and a lost executor costs a re-read instead of a recomputation.  With no
-    shared folder on a cluster the plan simply stays lazy.
+    and a lost executor costs a re-read instead of a recomputation.
     """
     spark = df.sparkSession
-    root = shared_dir(spark)
-    if root is None:
-        return df
-    path = f"{root.rstrip('/')}/causalbars/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/causalbars/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
