@@ -75,3 +75,89 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.said, CASE WHEN w IS NOT
   CASE WHEN b IS NULL THEN w END AS pattern_rule
 FROM judged
 """
+
+OP5_MIX_SOURCES = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5('0:' || doc_id) AS ord
+  FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS total FROM docs GROUP BY source),
+weighed AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, 3.0 * total AS cap,
+    sum(total) OVER () AS all_words
+  FROM sources),
+filled AS (
+  SELECT *,
+    (all_words - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+level AS (SELECT arg_min(level, cap / w) FILTER (WHERE level * w <= cap) AS lv FROM filled),
+planned AS (SELECT source, total, least(cap, w * lv) AS target FROM filled, level),
+flowed AS (
+  SELECT *, CASE WHEN total = 0 THEN 0 ELSE round_even(target, 0)::BIGINT // total END AS passes,
+    CASE WHEN total = 0 THEN 0 ELSE round_even(target, 0)::BIGINT % total END AS rest
+  FROM planned),
+ranked AS (
+  SELECT d.*, f.total, f.target, f.passes, f.rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord) AS so_far
+  FROM docs d JOIN flowed f ON d.source IS NOT DISTINCT FROM f.source),
+taken AS (SELECT *, (passes + (2 * so_far - size <= 2 * rest AND rest > 0)::INT)::INT AS repeats FROM ranked)
+SELECT doc_id, size, total AS source_size, round(target, 6) AS target, repeats * size AS taken, repeats FROM taken
+"""
+
+# The kinds of personal data, with the patterns written for an engine without possessive quantifiers.
+_PII = {
+    "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (
+        "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+",
+        "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR try_cast('0' || right(p, 3) AS INT) > 255)) = 0",
+    ),
+    "card": ("[0-9](?:[ -]?[0-9])+", "length(d) BETWEEN 16 AND 19 AND luhn = 0"),
+    "phone": ("\\+[0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 8 AND 15"),
+    "iban": (
+        "[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
+        "length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform("
+        "regexp_extract_all(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), '.'), "
+        "lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END)), "
+        "lambda r, v: CASE WHEN v < 10 THEN (r * 10 + v) % 97 ELSE (r * 100 + v) % 97 END) = 1",
+    ),
+    "secret": ("AKIA[0-9A-Z]{16}|password=[0-9A-Za-z]{6,64}", "true"),
+    "id_number": (
+        "[0-9](?:[ -]?[0-9])+",
+        "length(d) BETWEEN 6 AND 19 AND NOT (length(d) >= 16 AND luhn = 0) AND regexp_matches(lower("
+        "substr(body, greatest(s - 40, 0) + 1, least(s, 40)) || ' ' || substr(body, e + 1, 40)), "
+        "'ssn|passport|social security|tax id|account|ausweis|konto|passeport|cuenta')",
+    ),
+}
+
+
+def _pii_kind(number: int, kind: str, pattern: str, check: str) -> str:
+    """Spans of one kind: a match starts after the gaps and matches before it."""
+    return f"""SELECT doc_id, {number} AS k, '{kind}' AS kind, s, e FROM (
+      SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d, list_sum(list_transform(
+          regexp_extract_all(regexp_replace(m, '[^0-9]', '', 'g'), '.'),
+          lambda c, i: CASE WHEN (length(regexp_replace(m, '[^0-9]', '', 'g')) - i) % 2 = 0 THEN c::INT
+            WHEN c::INT < 5 THEN 2 * c::INT ELSE 2 * c::INT - 9 END)) % 10 AS luhn
+      FROM (
+        SELECT doc_id, body, m, e - length(m) AS s, e FROM (
+          SELECT doc_id, body, m, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e
+          FROM (SELECT doc_id, body, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i
+            FROM (SELECT doc_id, body, regexp_extract_all(body, '{pattern}') AS ms,
+              string_split_regex(body, '{pattern}') AS gs FROM bodies)))))
+    WHERE {check}"""
+
+
+OP4_PII = f"""
+WITH bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+spans AS (
+  {" UNION ALL ".join(_pii_kind(i, k, p, c) for i, (k, (p, c)) in enumerate(_PII.items()))}),
+listed AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+    count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (WHERE k < 4) AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip,
+  coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN listed USING (doc_id)
+"""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalbars.llm import oracles, sharding, urls
-from causalbars.llm.common import table
+from causalbars.llm import mixing, oracles, pii, sharding, urls
+from causalbars.llm.common import n_words, table
+from causalbars.plans.staging import stage
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -60,3 +61,38 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = URL_RULES + [urls.word_rule("block", w) for w in SPAM_WORDS]
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, rules).drop("url")
+
+
+MIX_WEIGHTS = (1, 2, 3)
+
+
+@query
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    docs = stage(docs, "mix-documents")
+    mixed = mixing.mix_sources(docs, F.array("source"), F.col("size"), F.col("doc_id"), MIX_WEIGHTS)
+    return mixed.select(
+        "doc_id",
+        "size",
+        F.col("mix_pattern_size").alias("source_size"),
+        F.round("mix_target", 6).alias("target"),
+        F.col("mix_taken").alias("taken"),
+        F.col("mix_repeats").alias("repeats"),
+    )
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("pii_spans")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in ("email", "ip", "card", "phone")]
+    base = pii.spans_text(F.filter(spans, lambda s: s["base"]))
+    return found.select(
+        "doc_id", *counts, F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), pii.spans_text(spans).alias("spans")
+    )
