@@ -161,3 +161,42 @@ SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGIN
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN listed USING (doc_id)
 """
+
+OP1_QUALITY_RULES = r"""
+WITH lists AS (
+  SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM lists),
+line_stats AS (
+  SELECT doc_id, sum(times - 1)::BIGINT AS n_dup_lines, sum(times)::BIGINT AS n_lines
+  FROM (SELECT doc_id, line, count(*) AS times FROM (SELECT doc_id, unnest(lines) AS line FROM lists)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY doc_id),
+windows AS (
+  SELECT doc_id, i, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+counted AS (
+  SELECT doc_id, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1 AS twice FROM windows),
+covered AS (
+  SELECT doc_id, i, max(twice::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM counted),
+repeats AS (SELECT doc_id, sum(c)::BIGINT AS n_repeat_words FROM covered GROUP BY doc_id),
+word_stats AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars,
+    count(*) FILTER (WHERE w = upper(w) AND w <> lower(w)) AS n_upper,
+    count(*) FILTER (WHERE regexp_matches(w, '\pL')) AS n_alpha,
+    count(*) FILTER (WHERE ends_with(w, '!')) AS n_cry
+  FROM words GROUP BY doc_id),
+most AS (SELECT doc_id, max(c) AS top FROM (SELECT doc_id, w, count(*) AS c FROM words GROUP BY ALL) GROUP BY doc_id),
+stats AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, n_upper, n_alpha, n_cry, top
+  FROM lists LEFT JOIN word_stats USING (doc_id) LEFT JOIN line_stats USING (doc_id)
+    LEFT JOIN repeats USING (doc_id) LEFT JOIN most USING (doc_id)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words
+    OR 10 * n_dup_lines > 6 * n_lines OR 2 * n_upper > n_words OR 10 * n_alpha < 7 * n_words
+    OR 100 * top > 30 * n_words OR 4 * n_cry > n_words) AS kept
+FROM based
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalbars.llm import mixing, oracles, pii, sharding, urls
+from causalbars.llm import mixing, oracles, pii, quality, sharding, urls
 from causalbars.llm.common import n_words, table
 from causalbars.plans.staging import stage
 
@@ -96,3 +96,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), pii.spans_text(spans).alias("spans")
     )
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and the cascade's verdict."""
+    judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.drop("text", "failed_rule")
