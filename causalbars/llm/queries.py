@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalbars.llm import mixing, oracles, pii, quality, sharding, urls
+from causalbars.llm import mixing, oracles, packing, pii, quality, sharding, urls
 from causalbars.llm.common import n_words, table
 from causalbars.plans.staging import stage
 
@@ -103,3 +103,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of every document and the cascade's verdict."""
     judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.drop("text", "failed_rule")
+
+
+SEQUENCE = 2048
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file that the queries use; it is installed with its package on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place, and a checksum of its ids."""
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), length=SEQUENCE)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
