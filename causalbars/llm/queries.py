@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalbars.llm import mixing, oracles, packing, pii, quality, sharding, urls
+from causalbars.llm import forest, mixing, oracles, packing, pii, quality, resampling, sharding, urls
 from causalbars.llm.common import n_words, table
 from causalbars.plans.staging import stage
 
@@ -122,3 +122,18 @@ def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log importance weight of every document and whether the Gumbel top-k keeps it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = resampling.fit_importance(docs, table(spark, sf_dir, "labels"))
+    scored = stage(resampling.score_documents(docs, model).drop("text"), "importance")
+    return resampling.keep_top(scored, model.share)
+
+
+@query
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every row whose vec_id is divisible by 20."""
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
