@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalbars.llm import forest, mixing, oracles, packing, pii, quality, resampling, sharding, urls
+from causalbars.llm import forest, minhash, mixing, oracles, packing, pii, quality, resampling, sharding, urls
 from causalbars.llm.common import n_words, table
 from causalbars.plans.staging import stage
 
@@ -137,3 +137,9 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows by inner product of every row whose vec_id is divisible by 20."""
     return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document by two-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
