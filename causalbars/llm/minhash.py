@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -148,28 +149,48 @@ def _row_key(key: str, text: str) -> Column:
 _FILTER_BITS = 1 << 26
 
 
-def _among(keys: DataFrame):
+class BitTable:
+    """Bits of a fixed number of hash values, sent to the tasks once."""
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = _bit(keys).astype(np.int64)
+        return (self.shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _bit(keys: np.ndarray) -> np.ndarray:
+    return _mix(keys.view(np.uint64)) % np.uint64(_FILTER_BITS)
+
+
+def _among(keys: DataFrame, raw: bool = False):
     """A test that is true for all ``keys`` (one long column) and few others, of at most 8 MB.
 
     Used to thin out a table before a shuffle; if the keys outgrow its bits it lets more rows through, no fewer.
+    Tasks send the words of their bits, which are merged before one row per word reaches the driver.
     """
-    bit = F.pmod(F.xxhash64(keys.columns[0]), F.lit(_FILTER_BITS))
-    rows = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("x")
-    )
-    table = rows.toPandas()
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = _bit(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            word, at = np.unique(bit >> np.uint64(6), return_inverse=True)
+            value = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(value, at, np.uint64(1) << (bit & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(value.view(np.int64))], ["w", "x"])
+
+    table = keys.mapInArrow(words, "w bigint, x bigint").groupBy("w").agg(F.bit_or("x").alias("x")).toPandas()
     bits = np.zeros(_FILTER_BITS >> 6, np.uint64)
     bits[table["w"].to_numpy(np.int64)] = table["x"].to_numpy(np.int64).view(np.uint64)
-    shared = keys.sparkSession.sparkContext.broadcast(bits)
+    test = BitTable(keys.sparkSession.sparkContext.broadcast(bits))
+    if raw:
+        return test
 
     @F.pandas_udf("boolean")
-    def known(bit):
-        import pandas as pd
-
-        at = bit.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+    def known(key: pd.Series) -> pd.Series:
+        return pd.Series(test.has(key.to_numpy(np.int64)))
 
-    return lambda key: known(F.pmod(F.xxhash64(key), F.lit(_FILTER_BITS)))
+    return known
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:

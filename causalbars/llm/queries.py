@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalbars.llm import forest, minhash, mixing, oracles, packing, pii, quality, resampling, sharding, urls
+from causalbars.llm import forest, minhash, mixing, oracles, packing, pii, quality, resampling, sharding, suffixes, urls
 from causalbars.llm.common import n_words, table
 from causalbars.plans.staging import stage
 
@@ -143,3 +143,10 @@ def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document by two-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings of 100 that start earlier."""
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=100)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
