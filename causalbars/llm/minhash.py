@@ -220,33 +220,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     return joined.mapInArrow(check, "a bigint, b bigint")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    width: int = 2,
-    percent: int = 80,
-    bands: int = 40,
-    rows: int = 6,
-    star_rounds: int = 2,
-) -> DataFrame:
-    """Groups of documents linked by 100 * intersection >= percent * union of their ``width``-word shingle sets.
-
-    Result: key, n_shingles, component_id (the smallest key reachable over links, a document's own included) and kept
-    (key = component_id), one row per document.
-
-    1. One pass over the texts gives set size, set digest and band hashes.  Documents with equal sets are one class, found
-       by minima that are pre-aggregated; only class representatives go on.
-    2. A bucket is a band hash that several classes have.  Instead of all pairs of a bucket, each member is paired with one
-       hub; pairs with possible set sizes are verified on the full texts, and links merged to components.  After
-       ``star_rounds`` rounds with different hubs, what is left are members of one bucket in different components, and all
-       such pairs are verified, so no pair that shares a bucket is lost to a hub.
-    3. A pair of similarity s shares no bucket with probability (1 - s^rows)^bands: 5e-6 at 0.8 for 40 bands of 6.
-
-    Texts without words (null, empty) have no shingles and no links.  Null keys are linked by their texts but never name a
-    component; a component of null keys alone has a null id and all of it is kept.  Repeated rows are linked with
-    each other; an empty table has no result; other input columns are ignored.
-    """
+def _members(docs: DataFrame, key: str, text: str, width: int, percent: int, bands: int, rows: int, star_rounds: int) -> DataFrame:
+    """One row per document: _row, _key, _n and the _root of its component (null without shingles), stored."""
     source = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
     kind = docs.schema[key].dataType.simpleString()
     described = source.select(
@@ -289,12 +264,42 @@ def near_duplicates(
         links = found if links is None else links.unionByName(found)
         roots = stage(components(links), "roots")
 
-    keyed = described.select("_key", "_n", "_digest").join(classes.select("_digest", "node"), "_digest", "left")
+    keyed = described.select("_row", "_key", "_n", "_digest").join(classes.select("_digest", "node"), "_digest", "left")
     if roots is not None:
         keyed = keyed.join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
     else:
         keyed = keyed.withColumn("_root", F.col("node"))
-    keyed = stage(keyed.select("_key", "_n", "_root"), "members")
+    return stage(keyed.select("_row", "_key", "_n", "_root"), "members")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    bands: int = 40,
+    rows: int = 6,
+    star_rounds: int = 2,
+) -> DataFrame:
+    """Groups of documents linked by 100 * intersection >= percent * union of their ``width``-word shingle sets.
+
+    Result: key, n_shingles, component_id (the smallest key reachable over links, a document's own included) and kept
+    (key = component_id), one row per document.
+
+    1. One pass over the texts gives set size, set digest and band hashes.  Documents with equal sets are one class, found
+       by minima that are pre-aggregated; only class representatives go on.
+    2. A bucket is a band hash that several classes have.  Instead of all pairs of a bucket, each member is paired with one
+       hub; pairs with possible set sizes are verified on the full texts, and links merged to components.  After
+       ``star_rounds`` rounds with different hubs, what is left are members of one bucket in different components, and all
+       such pairs are verified, so no pair that shares a bucket is lost to a hub.
+    3. A pair of similarity s shares no bucket with probability (1 - s^rows)^bands: 5e-6 at 0.8 for 40 bands of 6.
+
+    Texts without words (null, empty) have no shingles and no links.  Null keys are linked by their texts but never name a
+    component; a component of null keys alone has a null id and all of it is kept.  Repeated rows are linked with
+    each other; an empty table has no result; other input columns are ignored.
+    """
+    keyed = _members(docs, key, text, width, percent, bands, rows, star_rounds)
     names = keyed.where("_root is not null").groupBy("_root").agg(F.min("_key").alias("_name"), F.count(F.lit(1)).alias("_size"))
     named = keyed.join(names.where("_size > 1"), "_root", "left")
     component = F.when(F.col("_size").isNotNull(), F.col("_name")).otherwise(F.col("_key"))
@@ -304,3 +309,32 @@ def near_duplicates(
         component.alias("component_id"),
         (F.col("_key").eqNullSafe(component)).alias("kept"),
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    bands: int = 40,
+    rows: int = 6,
+    star_rounds: int = 2,
+) -> DataFrame:
+    """``docs`` with one row of each group of ``near_duplicates``, that of the smallest key (nulls last), then row hash.
+
+    Of a row that is in the table more than once one stays, unless it has no words.  Only rows that may go, or that are in
+    the table more than once, are shuffled; all others are decided where they are read.
+    """
+    members = _members(docs, key, text, width, percent, bands, rows, star_rounds).where("_root is not null")
+    order = F.struct(F.col("_key").isNull(), F.col("_key"), F.col("_row"))
+    groups = members.groupBy("_root").agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    decided = members.join(groups, "_root").select("_row", (F.col("_row") == F.col("_best")["_row"]).alias("_stays"))
+    decided = decided.groupBy("_row").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_times"))
+    unsure = stage(decided.where("not _stays or _times > 1"), "decided")
+    maybe = _among(unsure.select("_row"))
+    rowed = docs.withColumn("_row", _row_key(key, text))
+    asked = rowed.where(maybe(F.col("_row"))).join(unsure, "_row", "left")
+    single = asked.where("_stays is null").drop("_stays", "_times")
+    first = asked.where("_stays").drop("_stays", "_times").dropDuplicates(["_row"])
+    return rowed.where(~maybe(F.col("_row"))).unionByName(single).unionByName(first).drop("_row")
