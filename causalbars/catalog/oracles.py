@@ -6,6 +6,8 @@ Common table expressions are named once in ``CTES`` with the ones they build on;
 
 from __future__ import annotations
 
+import re
+
 ORACLES: dict[str, str] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -25,10 +27,15 @@ def _sql(needs: str, body: str) -> str:
 
     for name in needs.split():
         visit(name)
-    head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    # Written out once each: an engine that inlines them would repeat the shared ones in every reader.
+    head = ",\n".join(f"{n} AS {'' if _recursive(n) else 'MATERIALIZED '}({CTES[n][1]})" for n in order)
     return f"WITH RECURSIVE {head}\n{body}" if head else body
 
 
+def _recursive(name: str) -> bool:
+    return re.search(rf"\b(FROM|JOIN)\s+{name}\b", CTES[name][1]) is not None
+
+
 def _out(columns: str) -> str:
     """Select list from ``name[=expr]@kind``: r real, 2 or 4 real with so many places, x exact real, i whole, t time, d day."""
     parts = []
@@ -122,6 +129,15 @@ _oracle(
 )
 
 
+_oracle("store_csv_roundtrip", "ibars", "ticker;timestamp=hour@t;open@x;high@x;low@x;close@x;volume@x", "FROM ibars")
+_oracle(
+    "store_union_slices",
+    "ibars",
+    "ticker;timestamp=hour@t;close@x;volume=CASE WHEN hour >= TIMESTAMP '2024-01-15' THEN volume END@x",
+    "FROM ibars",
+)
+
+
 def _contract(name: str, needs: str, source: str, rules: list[tuple[str, str]]) -> None:
     body = " UNION ALL ".join(
         f"SELECT '{rule}' AS rule, CAST(count(*) FILTER (WHERE {bad}) AS BIGINT) AS violations FROM {source}"
@@ -530,6 +546,18 @@ _oracle(
     "ticker=b.ticker;violations=count(*)@i",
     "FROM ibars b JOIN news n ON n.ticker = b.ticker AND b.hour > n.public_ts AND b.hour < n.usable_ts GROUP BY b.ticker",
 )
+_cte("early", "news", "SELECT l_suppkey % 20 AS k, l_shipdate AS ts FROM lineitem")
+_oracle(
+    "guard_report",
+    "news",
+    "guard;violations@i",
+    """FROM (
+         SELECT 'late_features' AS guard, count(*) AS violations FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+         WHERE l_shipdate > o_orderdate + INTERVAL 30 DAY
+         UNION ALL SELECT 'bad_horizons', count(*) FROM orders WHERE o_orderkey % 60 <= 30
+         UNION ALL SELECT 'early_news', count(*) FROM lineitem JOIN news n
+           ON n.ticker = 'T' || CAST(l_suppkey % 20 AS VARCHAR) AND l_shipdate > n.public_ts AND l_shipdate < n.usable_ts)""",
+)
 _oracle(
     "guard_monotonic",
     "",
@@ -619,8 +647,8 @@ _oracle(
     "label_feature_join",
     "ev feat_matrix",
     "ticker=e.ticker;t0=e.t0@t;label@i;"
-    + ";".join(f"{c}=f.{c}@r" for c in _BASE)
-    + ";weighted_sentiment=0.0@r;sentiment_count=0@i;max_credibility=0.0@r;regime=0@i",
+    + ";".join(f"{c}=f.{c}@r" for c in _BASE if c != "adv")
+    + ";weighted_sentiment=0.0@r;sentiment_count=0@i;max_credibility=0.0@r;regime=0@i;adv=f.adv@r",
     "FROM ev e JOIN feat_matrix f ON f.ticker = e.ticker AND f.ts = e.t0 WHERE "
     + " AND ".join(f"f.{c} IS NOT NULL" for c in _BASE),
 )
@@ -986,6 +1014,13 @@ _cte(
          SELECT *, equity / lag(equity) OVER (PARTITION BY strategy_id ORDER BY day) - 1.0 AS ret FROM equity)
        WHERE ret IS NOT NULL""",
 )
+_oracle(
+    "backtest_no_trades",
+    "",
+    "strategy_id@i;day@d;equity=10000.0@2",
+    """FROM (VALUES (0), (1), (2)) s(strategy_id),
+       (SELECT unnest(generate_series(CAST(min(l_shipdate) AS DATE), CAST(max(l_shipdate) AS DATE), INTERVAL 1 DAY)) AS day FROM lineitem)""",
+)
 _oracle("daily_returns", "drets", "strategy_id@i;day@d;ret@r", "FROM drets")
 _oracle(
     "performance_summary",

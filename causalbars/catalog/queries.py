@@ -30,7 +30,7 @@ from causalbars.plans.series import INTRADAY
 from causalbars.plans.staging import shared_dir, stage
 from causalbars.sources import bars as bar_source
 from causalbars.sources import tables
-from causalbars.sources.store import BarStore
+from causalbars.sources.store import BarStore, union_slices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -90,26 +90,29 @@ def _daily(spark, sf, *columns):
     return bars.select(*columns) if columns else bars
 
 
-def _staged_bars(spark, sf):
-    """The daily bars for queries in which several steps read them."""
-    return stage(_daily(spark, sf), "bars")
+def _staged_bars(spark, sf, *columns):
+    """The daily bars, aggregated from the ticks once, for queries that read them more than once.
+
+    A blocked series reads its rows twice, for the counts and for the blocks.
+    """
+    return stage(_daily(spark, sf, *columns), "bars")
 
 
 _PATH = ("ticker", "timestamp", "close", "instrument", "sector")
 
 
 def _matrix(spark, sf, bars=None):
-    return features.build_feature_matrix(_daily(spark, sf) if bars is None else bars)
+    return features.build_feature_matrix(_staged_bars(spark, sf) if bars is None else bars)
 
 
 def _labels(spark, sf, bars=None):
     """Weighted labels of the daily bars, with instrument number and sector."""
-    return labels.label_universe((_daily(spark, sf) if bars is None else bars).select(*_PATH), **LABELING)
+    return labels.label_universe((_staged_bars(spark, sf, *_PATH) if bars is None else bars).select(*_PATH), **LABELING)
 
 
 def _events(spark, sf, bars=None):
     """Unweighted labels: enough where weights are not read."""
-    return labels.barrier_labels((_daily(spark, sf) if bars is None else bars).select(*_PATH), **LABELING)
+    return labels.barrier_labels((_staged_bars(spark, sf, *_PATH) if bars is None else bars).select(*_PATH), **LABELING)
 
 
 def _predicted(spark, sf, bars=None):
@@ -160,7 +163,7 @@ def _backtest(spark, sf, cap=CAP_FREE):
 
 def _sector_returns(spark, sf):
     """Mean log return per sector and day: five strategies in long form."""
-    returns = features.add_return_features(_daily(spark, sf, "ticker", "timestamp", "close", "sector"))
+    returns = features.add_return_features(_staged_bars(spark, sf, "ticker", "timestamp", "close", "sector"))
     return (
         returns.where(F.col("log_return").isNotNull())
         .groupBy(F.col("timestamp").alias("t"), F.col("sector").alias("strategy_id"))
@@ -192,6 +195,24 @@ def store_range_read(spark, sf):
     return found.select("ticker", "timestamp", "close", "volume")
 
 
+@query
+def store_csv_roundtrip(spark, sf):
+    """The intraday bars through a csv store: written by month, read back with their schema."""
+    bars = tables.intraday_bars(spark, sf)
+    path = f"{shared_dir(spark)}/csv-store-{uuid.uuid4().hex}"
+    store = BarStore(spark, path, fmt="csv", schema=bars.schema)
+    store.write(bars, mode="overwrite")
+    return store.read().select("ticker", "timestamp", "open", "high", "low", "close", "volume")
+
+
+@query
+def store_union_slices(spark, sf):
+    """Two slices of the intraday bars, the earlier one without volumes."""
+    bars = tables.intraday_bars(spark, sf).select("ticker", "timestamp", "close", "volume")
+    cut = F.lit("2024-01-15").cast("timestamp")
+    return union_slices(bars.where(F.col("timestamp") < cut).drop("volume"), bars.where(F.col("timestamp") >= cut))
+
+
 def _contract(df, contract):
     return contracts.violations(df, contract)
 
@@ -285,24 +306,24 @@ def universe_upsert(spark, sf):
 
 @query
 def feat_log_return(spark, sf):
-    bars = _daily(spark, sf, "ticker", "timestamp", "close")
+    bars = _staged_bars(spark, sf, "ticker", "timestamp", "close")
     return features.add_return_features(bars).select("ticker", "timestamp", "log_return")
 
 
 @query
 def feat_realized_vol(spark, sf):
-    bars = _daily(spark, sf, "ticker", "timestamp", "close")
+    bars = _staged_bars(spark, sf, "ticker", "timestamp", "close")
     return features.add_return_features(bars).select("ticker", "timestamp", "realized_vol")
 
 
 @query
 def feat_vol_norm_return(spark, sf):
-    bars = _daily(spark, sf, "ticker", "timestamp", "close")
+    bars = _staged_bars(spark, sf, "ticker", "timestamp", "close")
     return features.add_return_features(bars).select("ticker", "timestamp", "vol_norm_return")
 
 
 def _technical(spark, sf, *names):
-    return features.add_technical_features(_daily(spark, sf)).select("ticker", "timestamp", *names)
+    return features.add_technical_features(_staged_bars(spark, sf)).select("ticker", "timestamp", *names)
 
 
 @query
@@ -347,7 +368,7 @@ def feature_matrix_news(spark, sf):
 
 
 def _return_features(spark, sf, bars=None):
-    bars = _daily(spark, sf) if bars is None else bars
+    bars = _staged_bars(spark, sf) if bars is None else bars
     return features.add_return_features(bars.select("ticker", "timestamp", "close"))
 
 
@@ -433,6 +454,23 @@ def guard_news_latency(spark, sf):
     return guards.early_news(tables.intraday_bars(spark, sf), tables.news(spark, sf))
 
 
+@query
+def guard_report(spark, sf):
+    """Every guard's count over order lines as features of their orders, with the news."""
+    lines = tables.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("event_id"),
+        F.concat(F.lit("T"), (F.col("l_suppkey") % 20).cast("string")).alias("ticker"),
+        F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+    )
+    start = F.col("o_orderdate").cast("timestamp")
+    events = tables.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("event_id"),
+        (start + F.make_dt_interval(F.lit(30))).alias("t0"),
+        (start + F.make_dt_interval((F.col("o_orderkey") % 60).cast("int"))).alias("t1"),
+    )
+    return guards.leakage_report(lines, events, tables.news(spark, sf))
+
+
 @query
 def guard_monotonic(spark, sf):
     """Customers' orders by order number: an arrival order that dates often violate."""
@@ -831,6 +869,15 @@ def equity_curve(spark, sf):
     return _backtest(spark, sf).equity_curve()
 
 
+@query
+def backtest_no_trades(spark, sf):
+    """No signal wants a position: a flat curve over the bars' days."""
+    bars = _staged_bars(spark, sf)
+    idle = _book(spark, sf, bars).withColumn("final_size_frac", F.lit(0.0))
+    prices = bars.select("ticker", "timestamp", "close")
+    return backtest.run_backtest(stage(idle, "idle"), prices, PORTFOLIO, CAP_FREE).equity_curve()
+
+
 @query
 def daily_returns(spark, sf):
     return _backtest(spark, sf).daily_returns()

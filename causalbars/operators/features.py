@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from causalbars.functions.exprs import floored, preceding, rolling, so_far
-from causalbars.plans.series import DAILY, BlockedSeries, SeriesSpec, block_series, drop_internal, running_totals
+from causalbars.plans.series import DAILY, BlockedSeries, SeriesSpec, block_series, drop_internal, numbered
 from causalbars.plans.staging import stage
 
 # Window lengths of the reference feature set.
@@ -136,15 +136,10 @@ def lookup_features(
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(default)) for c in columns})
 
 
-def encode_ids(df: DataFrame, column: str, name: str, prefix: int = 12) -> DataFrame:
-    """Number the sorted distinct values of ``column`` from 0: (column, name).
-
-    Values are numbered inside their leading characters and offset by the counts
-    before; the prefix keeps the order and bounds the group.
-    """
-    distinct = df.select(column).distinct().withColumn("_one", F.lit(1))
-    ids = running_totals(distinct, column, ["_one"], bucket=F.substring(column, 1, prefix))
-    return ids.select(column, (F.col("_one_cum") - 1).alias(name))
+def encode_ids(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Number the sorted distinct values of ``column`` from 0: (column, name); null is not a value."""
+    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return numbered(distinct, [column], name)
 
 
 def with_encoded(df: DataFrame, column: str, name: str, ids: DataFrame) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causalbars.functions.exprs import MICROS, seconds
-from causalbars.operators.sentiment import range_join
-from causalbars.plans.series import DAILY, SeriesSpec, block_series
+from causalbars.plans.series import DAILY, DAY, SeriesSpec, block_series, running_totals
 
 
 class LeakageError(RuntimeError):
@@ -29,21 +28,24 @@ def bad_horizons(labels: DataFrame) -> DataFrame:
 def early_news(bars: DataFrame, news: DataFrame, latency_seconds: float = 45, ts: str = "timestamp") -> DataFrame:
     """(ticker, violations): bars strictly between publication and usability of a story.
 
-    A usability column that is already there is used as it is; no story may wait
-    longer than the widest bucket, which is taken from the news itself.
+    A usability column that is already there is used as it is.  The stories open at a bar are those published before it
+    less those usable by then, two running totals, so neither a long wait nor dense news makes pairs.
     """
     if "usable_after_ts" not in news.columns:
         news = news.withColumn("usable_after_ts", F.col("article_public_ts") + seconds(latency_seconds))
-    windows = news.groupBy(
-        "ticker",
-        (F.unix_micros("article_public_ts") + 1).alias("_from"),
-        (F.unix_micros("usable_after_ts") - 1).alias("_to"),
-    ).agg(F.count(F.lit(1)).alias("_k"))
-    waits = news.agg(F.max(F.unix_micros("usable_after_ts") - F.unix_micros("article_public_ts")))
-    longest = max(waits.first()[0] or 0, MICROS)  # a single number
-    points = bars.select("ticker", F.unix_micros(ts).alias("_t"))
-    pairs = range_join(windows, points, ["ticker"], "_from", "_to", "_t", longest)
-    return pairs.groupBy("ticker").agg(F.sum("_k").alias("violations"))
+    public, usable = F.unix_micros("article_public_ts"), F.unix_micros("usable_after_ts")
+    waiting = news.where(usable - public > 1).select("ticker", public.alias("_p"), usable.alias("_u"))
+    edges = [
+        waiting.select("ticker", (F.col("_p") + 1).alias("_t"), F.lit(1).alias("_open"), F.lit(0).alias("_bars")),
+        waiting.select("ticker", F.col("_u").alias("_t"), F.lit(-1).alias("_open"), F.lit(0).alias("_bars")),
+        bars.select("ticker", F.unix_micros(ts).alias("_t"), F.lit(0).alias("_open"), F.lit(1).alias("_bars")),
+    ]
+    moments = edges[0].unionByName(edges[1]).unionByName(edges[2]).where(F.col("_t").isNotNull())
+    moments = moments.groupBy("ticker", "_t").agg(F.sum("_open").alias("_open"), F.sum("_bars").alias("_bars"))
+    day = F.floor(F.col("_t") / (DAY * MICROS))
+    counted = running_totals(moments, "_t", ["_open"], keys=["ticker"], bucket=day)
+    found = counted.groupBy("ticker").agg(F.sum(F.col("_bars") * F.col("_open_cum")).alias("violations"))
+    return found.where(F.col("violations") > 0)
 
 
 def out_of_order(
@@ -74,6 +76,30 @@ def fold_overlaps(folds: DataFrame, t0: str = "t0", t1: str = "t1") -> DataFrame
     return bounds.select("fold").join(counted, "fold", "left").fillna(0, ["violations"])
 
 
+def leakage_report(
+    features: DataFrame,
+    labels: DataFrame,
+    news: DataFrame | None = None,
+    latency_seconds: float = 45,
+    ts: str = "timestamp",
+) -> DataFrame:
+    """(guard, violations) of every guard that the columns allow, zero included."""
+    counts = []
+    if "event_id" in features.columns and "event_id" in labels.columns:
+        counts.append(("late_features", late_features(features, labels, ts), F.count(F.lit(1))))
+    counts.append(("bad_horizons", bad_horizons(labels), F.count(F.lit(1))))
+    if news is not None:
+        counts.append(("early_news", early_news(features, news, latency_seconds, ts), F.sum("violations")))
+    rows = [
+        found.agg(F.coalesce(n, F.lit(0)).cast("long").alias("violations")).select(F.lit(name).alias("guard"), "violations")
+        for name, found, n in counts
+    ]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out
+
+
 def assert_no_leakage(
     features: DataFrame,
     labels: DataFrame,

@@ -87,8 +87,6 @@ def regime_labels(
     )
     n = inputs.count()
     step = max(200, n // 20)
-    # iterative fits on a small table: as many tasks as its size asks for
-    inputs = inputs.coalesce(max(1, n // 200_000))
     assembled = VectorAssembler(inputCols=["mean_vol", "mean_corr_proxy"], outputCol="_raw").transform(inputs)
     parts = []
     for start in range(0, n, step):

@@ -20,10 +20,13 @@ MULTIPLIERS = (0.6, 0.8, 1.0, 1.2, 1.4)
 
 
 def sharpe_moments(returns: DataFrame, ret: str = "ret") -> DataFrame:
-    """Count, mean, deviation, skewness and excess kurtosis of the finite returns."""
-    r = F.col(ret)
-    finite = r.isNotNull() & ~F.isnan(r) & (F.abs(r) < float("inf"))
-    return returns.where(finite).groupBy(STRATEGY).agg(
+    """Count, mean, deviation, skewness and excess kurtosis of the finite returns.
+
+    A strategy without any finite return stays, with a count of 0 and null moments.
+    """
+    value = F.col(ret)
+    r = F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return returns.groupBy(STRATEGY).agg(
         F.count(r).alias("n_obs"),
         F.avg(r).alias("mean"),
         F.stddev_samp(r).alias("std"),
@@ -58,7 +61,7 @@ def deflated_sharpe(
     sr = F.when(usable, F.col("mean") / F.col("std"))
     variance = (
         1.0 - F.col("skewness") * F.col("_sr") + (F.col("excess_kurtosis") + shift) * F.col("_sr") ** 2 / 4.0
-    ) / (F.col("n_obs") - 1)
+    ) / F.when(usable, F.col("n_obs") - 1)
     df = (
         sharpe_moments(returns, ret)
         .withColumn("_sr", sr)
@@ -96,7 +99,15 @@ def overfitting_probability(
     (strategy, block) statistics; every split of the blocks then adds up
     ``n_subsets`` numbers per strategy.  The splits are a fixed list given by
     ``n_subsets`` alone.  Values are centred per strategy before squaring.
+
+    Returns that are null or not finite are left out.  A strategy may have no returns in some blocks: a half with fewer
+    than two returns has a Sharpe ratio of 0.  With fewer than two strategies nothing can be compared, and the result is
+    one row with n_combinations 0 and nulls.
     """
+    value = F.col(ret)
+    returns = returns.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
+    several = returns.select(STRATEGY).distinct().limit(2).count() == 2
+    returns = returns.where(F.lit(several))
     half = n_subsets // 2
     steps = global_position(returns.select(t).distinct(), t, [t], "_pos")
     length = F.floor(returns.agg(F.count_distinct(t)).scalar() / n_subsets)
@@ -136,9 +147,10 @@ def overfitting_probability(
             zero,
             lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["s"] + b["s"]).alias("s"), (a["q"] + b["q"]).alias("q")),
         )
-        mean = F.col("_mid") + total["s"] / total["n"]
-        variance = (total["q"] - total["s"] * total["s"] / total["n"]) / (total["n"] - 1)
-        sd = F.sqrt(F.greatest(variance, F.lit(0.0)))
+        n = F.when(total["n"] >= 2, total["n"])
+        mean = F.col("_mid") + total["s"] / n
+        variance = (total["q"] - total["s"] * total["s"] / n) / (n - 1)
+        sd = F.sqrt(F.when(n.isNotNull(), F.greatest(variance, F.lit(0.0))))
         return F.when(sd >= 1e-12, mean / sd * math.sqrt(periods)).otherwise(0.0)
 
     scored = runs.select(STRATEGY, "_split", half_sharpe(True).alias("_in"), half_sharpe(False).alias("_out"))
@@ -231,7 +243,8 @@ def evaluation_report(
             F.col("regime").cast("string"),
         ),
     ]
-    if returns_matrix is not None:
+    # One strategy alone cannot be overfitted against others.
+    if returns_matrix is not None and returns_matrix.select(STRATEGY).distinct().limit(2).count() == 2:
         parts.append(
             _long(
                 overfitting_probability(returns_matrix, n_subsets),

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from causalbars.functions.exprs import MICROS, as_ordinal, so_far
+from causalbars.plans.staging import stage
 
 DAY = 86_400
 
@@ -187,6 +188,39 @@ def global_position(df: DataFrame, ts: str, ties: Sequence[str], name: str = "po
     return df.join(before, ts).withColumn(name, F.col("_before") + rank - 1).drop("_before")
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with gapless global row numbers from 0 in the order of ``order`` (nulls first).
+
+    A range partitioning sorts the rows; a row's number is its index in its partition plus
+    the rows of the partitions before, which is one number per partition.  Rows that are equal
+    in ``order`` are dealt to several partitions by a running id, so a hot value is split;
+    which of two equal rows comes first is immaterial.  The sorted rows are written once,
+    so counts and numbers come from the same rows even after the loss of an executor.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = (
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(n, *order, "_tie")
+        .sortWithinPartitions(*order, "_tie")
+        .drop("_tie")
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    ranked = stage(ranked, "numbered").withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranked.groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    )
+    index = F.col("_at").bitwiseAND((1 << 33) - 1)
+    # One row per partition of the range partitioning, so its size is set by a parameter.
+    return (
+        ranked.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_before") + index)
+        .drop("_part", "_at", "_before")
+    )
+
+
 def asof_join(
     probes: DataFrame,
     rows: DataFrame,

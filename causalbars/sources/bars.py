@@ -31,7 +31,7 @@ def trading_session(
 def bars_from_ticks(
     ticks: DataFrame,
     interval_seconds: int,
-    order: Sequence[str],
+    order: Sequence[str] | Column,
     key: str = "ticker",
     ts: str = "ts",
     price: str = "price",
@@ -40,11 +40,13 @@ def bars_from_ticks(
     """OHLCV bars per key and interval; ``order`` decides first and last tick.
 
     Every aggregate combines on the map side, so a hot key costs no more
-    shuffle than a cold one.
+    shuffle than a cold one.  ``order`` is a list of columns, or one number that
+    tells ticks apart (see ``packed_order``): with a number Spark aggregates by hashing,
+    with several columns it must sort the ticks.
     """
     step = interval_seconds * MICROS
     start = F.timestamp_micros((F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / step) * step).cast("long"))
-    rank = F.struct(*order)
+    rank = order if isinstance(order, Column) else F.struct(*order)
     size = F.col(size) if isinstance(size, str) else size
     return ticks.groupBy(key, start.alias("timestamp")).agg(
         F.min_by(price, rank).alias("open"),
@@ -55,6 +57,22 @@ def bars_from_ticks(
     )
 
 
+def packed_order(*digits: tuple[str | Column, int]) -> Column:
+    """Whole, non-negative numbers as one 38-digit decimal that orders like the list of them.
+
+    Each comes with the decimal digits it may have; a larger value, or more than 38 digits in all, is an error.
+    """
+    if sum(n for _, n in digits) > 38:
+        raise ValueError("more than 38 digits")
+    parts = []
+    for column, n in digits:
+        c = F.col(column) if isinstance(column, str) else column
+        fits = (c >= 0) & (c < F.lit(10**n).cast("decimal(38,0)"))
+        text = F.lpad(c.cast("decimal(38,0)").cast("string"), n, "0")
+        parts.append(F.when(fits, text).otherwise(F.raise_error(F.lit(f"a value does not fit in {n} digits"))))
+    return F.concat(*parts).cast("decimal(38,0)")
+
+
 def with_activity_flag(bars: DataFrame, delisted: str | Column = "delist_date", ts: str = "timestamp") -> DataFrame:
     """``is_active``: not delisted, or still strictly before the delisting time."""
     delisted = F.col(delisted) if isinstance(delisted, str) else delisted

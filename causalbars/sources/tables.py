@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalbars.sources.bars import bars_from_ticks, with_usable_after
+from causalbars.sources.bars import bars_from_ticks, packed_order, with_usable_after
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,8 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey",
         "l_extendedprice",
     )
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    order = packed_order(("l_orderkey", 15), ("l_linenumber", 2), ("l_partkey", 11), (cents, 10))
     bars = bars_from_ticks(ticks, 86_400, order, key="instrument")
     return bars.join(instruments(spark, sf_dir), "instrument")
 
@@ -61,7 +62,7 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intraday_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars from the event ticks; the volume counts ticks."""
-    return bars_from_ticks(event_ticks(spark, sf_dir), 3_600, ["ts", "event_id"], size=F.lit(1.0))
+    return bars_from_ticks(event_ticks(spark, sf_dir), 3_600, packed_order((F.unix_micros("ts"), 17), ("event_id", 18)), size=F.lit(1.0))
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:

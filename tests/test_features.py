@@ -64,7 +64,7 @@ def test_matrix_drops_warm_up_and_is_neutral_without_news(bars):
 
 
 def test_encode_ids(spark, bars):
-    ids = {r["ticker"]: r["id"] for r in features.encode_ids(bars, "ticker", "id", prefix=1).collect()}
+    ids = {r["ticker"]: r["id"] for r in features.encode_ids(bars, "ticker", "id").collect()}
     assert ids == {"K0": 0, "K1": 1, "K2": 2}
     other = spark.createDataFrame([("K2",), ("zz",)], "ticker string")
     got = features.with_encoded(other, "ticker", "id", features.encode_ids(bars, "ticker", "id"))

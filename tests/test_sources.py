@@ -174,3 +174,26 @@ def test_staging_uses_the_named_folder(spark, tmp_path):
     assert shared_dir(spark) == named if named else shared_dir(spark).startswith("/tmp/")
     df = spark.range(10)
     assert stage(df, "x").count() == 10 and stage(df, "x").schema == T.StructType([T.StructField("id", T.LongType())])
+
+
+def test_one_endless_wait_and_news_in_one_moment(spark):
+    """A story that is never usable makes no pairs; counts equal the definition."""
+    start = dt.datetime(2024, 1, 1)
+    news = [("A", start + dt.timedelta(seconds=s % 50), start + dt.timedelta(seconds=s % 50 + 45)) for s in range(200)]
+    news += [("A", start, start + dt.timedelta(days=9000)), ("B", start, start)]
+    ticks = [("A", start + dt.timedelta(seconds=10 * i)) for i in range(60)] + [("B", start)]
+    got = guards.early_news(
+        spark.createDataFrame(ticks, "ticker string, timestamp timestamp"),
+        spark.createDataFrame(news, "ticker string, article_public_ts timestamp, usable_after_ts timestamp"),
+    )
+    want = sum(t == k and p < at < u for t, at in ticks for k, p, u in news)
+    assert [(r.ticker, r.violations) for r in got.collect()] == [("A", want)]
+
+
+def test_packed_order_sorts_like_its_columns(spark):
+    rows = [(a, b) for a in (0, 7, 99) for b in (0, 5, 123456)]
+    packed = bar_source.packed_order(("a", 2), ("b", 6)).alias("k")
+    df = spark.createDataFrame(rows, "a bigint, b bigint").select("a", "b", packed)
+    assert [(r.a, r.b) for r in df.orderBy("k").collect()] == sorted(rows)
+    with pytest.raises(Exception, match="does not fit"):
+        spark.createDataFrame([(100, 1)], "a bigint, b bigint").select(packed).collect()

@@ -292,3 +292,46 @@ def test_classifiers_cover_every_row(spark):
     act = meta.MetaClassifier(["x"], n_trees=5)
     assert act.fit(folds, 2).where("prediction = meta_label").count() > 0.9 * n
     assert act.predict(spark.createDataFrame(pdf)).where("meta_decision = meta_label").count() > 0.9 * n
+
+
+def _returns(spark, rows):
+    return spark.createDataFrame(rows, "strategy_id string, t int, ret double")
+
+
+def test_overfitting_on_unequal_calendars(spark):
+    """A strategy without returns in whole blocks has a Sharpe ratio of 0 there, and nothing divides by zero."""
+    rng = np.random.default_rng(3)
+    rows = [(s, t, float(rng.normal(0.01, 1))) for s in "abc" for t in range(80) if s != "c" or t < 20]
+    table = np.full((80, 3), np.nan)
+    for s, t, r in rows:
+        table[t, "abc".index(s)] = r
+    rows += [("a", 80, float("nan")), ("b", 80, None)]
+    got = stats.overfitting_probability(_returns(spark, rows), 4).collect()[0]
+
+    def sharpe(x):
+        x = x[~np.isnan(x)]
+        return x.mean() / x.std(ddof=1) * np.sqrt(252) if len(x) >= 2 else 0.0
+
+    deltas = []
+    for mask in range(16):
+        if bin(mask).count("1") == 2:
+            inside = np.repeat([mask >> b & 1 for b in range(4)], 20).astype(bool)
+            ins, out = ([sharpe(table[m, k]) for k in range(3)] for m in (inside, ~inside))
+            deltas.append(out[int(np.argmax(ins))] - np.median(out))
+    assert got.n_combinations == 6
+    assert got.pbo == pytest.approx(np.mean(np.array(deltas) < 0))
+    assert got.median_oos_delta_sr == pytest.approx(np.median(deltas))
+
+
+def test_one_strategy_has_no_overfitting_section(spark):
+    one = _returns(spark, [("a", t, 0.01 * (t % 5)) for t in range(80)])
+    got = stats.overfitting_probability(one, 4).collect()[0]
+    assert got.n_combinations == 0 and got.pbo is None and got.is_overfit is None
+
+
+def test_a_strategy_without_finite_returns_stays(spark):
+    rows = [("a", t, 0.01 * (t % 5)) for t in range(80)] + [("b", t, float("nan")) for t in range(5)]
+    moments = {r.strategy_id: r.n_obs for r in stats.sharpe_moments(_returns(spark, rows)).collect()}
+    assert moments == {"a": 80, "b": 0}
+    row = {r.strategy_id: r for r in stats.deflated_sharpe(_returns(spark, rows), 10).collect()}["b"]
+    assert (row.sr, row.psr, row.dsr, row.is_significant) == (0.0, 0.0, 0.0, False)
