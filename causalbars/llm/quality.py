@@ -116,9 +116,10 @@ def base_failed(t: Text, min_words: int, repeat_pct: int) -> bool:
 
 
 def rule_profile(docs: DataFrame, rules: Sequence[Rule], text: str, sample_rows: int, seed: int) -> dict[str, tuple[float, float]]:
-    """Each rule's seconds and rejection rate on at most ``sample_rows`` texts: {name: (cost, rate)}.
+    """Each rule's seconds and rejection rate on about ``sample_rows`` texts: {name: (cost, rate)}.
 
-    Every rule runs on every sampled text inside the tasks; two sums per rule reach the driver.
+    Every row is drawn with the same probability where it is read, so no task gathers the sample.  Every rule runs on
+    every sampled text inside the tasks; two sums per rule reach the driver.
     """
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,11 +134,8 @@ def rule_profile(docs: DataFrame, rules: Sequence[Rule], text: str, sample_rows:
                     spent[i] += time.perf_counter_ns() - start
         yield pd.DataFrame({"rule": [r.name for r in rules], "spent": spent, "refused": refused, "seen": rows})
 
-    sampled = (
-        docs.select(F.col(f"`{text}`").alias("_text"))
-        .where(F.pmod(F.xxhash64("_text", F.lit(seed)), F.lit(8)) == 0)
-        .limit(sample_rows)
-    )
+    fraction = min(1.0, sample_rows / max(docs.count(), 1))
+    sampled = docs.select(F.col(f"`{text}`").alias("_text")).sample(fraction, seed)
     rows = (
         sampled.mapInPandas(measure, "rule string, spent bigint, refused bigint, seen bigint")
         .groupBy("rule")
@@ -169,7 +167,7 @@ def judge_quality(
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and failed_rule.
 
     Base statistics are worked out for every whole text.  A text that passes the base runs through the cascade:
-    rules in the order of rejections per cost, measured on a sample of at most ``sample_rows`` rows, up to the first
+    rules in the order of rejections per cost, measured on a sample of about ``sample_rows`` rows, up to the first
     that refuses it.  The sample decides the order only: kept is the same for any order, while failed_rule, the
     rule that was met first, may differ between runs.
 

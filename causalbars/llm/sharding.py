@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalbars.llm.common import numbered, put
+from causalbars.llm.common import put
+from causalbars.plans.series import numbered
 
 _PRIME = (1 << 31) - 1
 
