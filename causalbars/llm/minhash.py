@@ -6,19 +6,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causalbars.llm.common import put
+from causalbars.llm.bits import bit_table, mix64
 from causalbars.llm.graph import components
 from causalbars.plans.staging import stage
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACES = b" \t\n\x0b\x0c\r"
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 200_000
 _BATCH = 1 << 16
 
 
@@ -63,15 +62,8 @@ class ShingleHasher:
                 raise ValueError("too many distinct words in one text")
             code = np.unique(code, return_inverse=True)[1] if i > 1 else code
             code = code * len(distinct) + ids[i : len(code) + i]
-            mixed = _mix(mixed) + hashed[ids[i : len(mixed) + i]]
-        return _mix(mixed[np.unique(code, return_index=True)[1]])
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+            mixed = mix64(mixed) + hashed[ids[i : len(mixed) + i]]
+        return mix64(mixed[np.unique(code, return_index=True)[1]])
 
 
 def signatures(hashes: np.ndarray, starts: np.ndarray, coordinates: int) -> np.ndarray:
@@ -103,7 +95,7 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
     for b in range(bands):
         h = np.full(signature.shape[1], b + 1, np.uint64)
         for r in range(rows):
-            h = _mix(h ^ signature[b * rows + r].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+            h = mix64(h ^ signature[b * rows + r].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
         out[:, b] = h
     return out.view(np.int64)
 
@@ -146,58 +138,11 @@ def _row_key(key: str, text: str) -> Column:
     return F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
 
 
-_FILTER_BITS = 1 << 26
-
-
-class BitTable:
-    """Bits of a fixed number of hash values, sent to the tasks once."""
-
-    def __init__(self, shared):
-        self.shared = shared
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        at = _bit(keys).astype(np.int64)
-        return (self.shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return _mix(keys.view(np.uint64)) % np.uint64(_FILTER_BITS)
-
-
-def _among(keys: DataFrame, raw: bool = False):
-    """A test that is true for all ``keys`` (one long column) and few others, of at most 8 MB.
-
-    Used to thin out a table before a shuffle; if the keys outgrow its bits it lets more rows through, no fewer.
-    Tasks send the words of their bits, which are merged before one row per word reaches the driver.
-    """
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = _bit(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            word, at = np.unique(bit >> np.uint64(6), return_inverse=True)
-            value = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(value, at, np.uint64(1) << (bit & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(value.view(np.int64))], ["w", "x"])
-
-    table = keys.mapInArrow(words, "w bigint, x bigint").groupBy("w").agg(F.bit_or("x").alias("x")).toPandas()
-    bits = np.zeros(_FILTER_BITS >> 6, np.uint64)
-    bits[table["w"].to_numpy(np.int64)] = table["x"].to_numpy(np.int64).view(np.uint64)
-    test = BitTable(keys.sparkSession.sparkContext.broadcast(bits))
-    if raw:
-        return test
-
-    @F.pandas_udf("boolean")
-    def known(key: pd.Series) -> pd.Series:
-        return pd.Series(test.has(key.to_numpy(np.int64)))
-
-    return known
-
-
 def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of row keys whose full shingle sets are similar enough."""
     needed = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
     texts = docs.select(_row_key(key, text).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    texts = stage(texts.where(_among(needed)(F.col("_row"))).dropDuplicates(["_row"]), "texts")
+    texts = stage(texts.where(bit_table(needed).test()(F.col("_row"))).dropDuplicates(["_row"]), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
@@ -332,7 +277,7 @@ def drop_near_duplicates(
     decided = members.join(groups, "_root").select("_row", (F.col("_row") == F.col("_best")["_row"]).alias("_stays"))
     decided = decided.groupBy("_row").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_times"))
     unsure = stage(decided.where("not _stays or _times > 1"), "decided")
-    maybe = _among(unsure.select("_row"))
+    maybe = bit_table(unsure.select("_row")).test()
     rowed = docs.withColumn("_row", _row_key(key, text))
     asked = rowed.where(maybe(F.col("_row"))).join(unsure, "_row", "left")
     single = asked.where("_stays is null").drop("_stays", "_times")

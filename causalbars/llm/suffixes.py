@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalbars.llm.minhash import _among
+from causalbars.llm.bits import bit_table, mix64
 from causalbars.plans.staging import stage
 
 _BASE = 0x9E3779B97F4A7C15
@@ -21,12 +21,6 @@ _WINDOWS = 1_500_000
 u64 = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> u64(31))) * u64(0x7FB5D329728EA185)
-    x = (x ^ (x >> u64(27))) * u64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> u64(33))
-
-
 _POWERS: list[np.ndarray] = []
 
 
@@ -146,7 +140,7 @@ def anchors(hashes: PrefixHashes, starts: np.ndarray, lengths: np.ndarray, windo
     if n < window:
         return Anchors(np.zeros(0, u64), empty, empty, empty)
     sums = hashes.sums
-    core = _mix((sums[_CORES:] - sums[:-_CORES]) * hashes.down[: n - _CORES + 1])
+    core = mix64((sums[_CORES:] - sums[:-_CORES]) * hashes.down[: n - _CORES + 1])
     least, span = core, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -237,7 +231,7 @@ def _contexts(window: int, bits):
             context = [raw[a:b] for a, b in zip((start + lo)[keep].tolist(), (start + hi + window)[keep].tolist(), strict=True)]
             yield _batch(core[keep], docs[keep], rows[keep], place[keep], lo[keep], hi[keep], context)
             gone = np.flatnonzero(repeat == 1)
-            yield _batch(_mix(rows[gone].view(u64)), docs[gone], rows[gone], place[gone], lo[gone], hi[gone], [None] * len(gone))
+            yield _batch(mix64(rows[gone].view(u64)), docs[gone], rows[gone], place[gone], lo[gone], hi[gone], [None] * len(gone))
 
     return contexts
 
@@ -250,7 +244,7 @@ def _batch(core, doc, row, start, lo, hi, context) -> pa.RecordBatch:
 def _repeated_contexts(hashes: PrefixHashes, core, start, lo, hi, doc, row, place, window: int) -> np.ndarray:
     """Per anchor, in order of place: 0 first of its context, 1 equal to an earlier one (byte by byte), 2 the same row again."""
     length = hi - lo + window
-    whole = _mix(hashes.of(start + lo, length) + _mix(core + (length * 256 - lo).astype(u64)))
+    whole = mix64(hashes.of(start + lo, length) + mix64(core + (length * 256 - lo).astype(u64)))
     order = np.argsort(whole, kind="stable")
     new = np.r_[True, whole[order][1:] != whole[order][:-1]] if len(order) else np.zeros(0, bool)
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
@@ -296,7 +290,7 @@ def _settle(rows: dict[str, np.ndarray], data: np.ndarray, offset: np.ndarray, w
             shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[a <= b], n)
             order = np.lexsort((member, shift, core[member]))
             member, shift = member[order], shift[order]
-            key = _mix(core[member] + (shift + window).astype(u64) * u64(_BASE))
+            key = mix64(core[member] + (shift + window).astype(u64) * u64(_BASE))
             alone = np.r_[True, key[1:] != key[:-1]] & np.r_[key[1:] != key[:-1], True]
             member, shift, key = member[~alone], shift[~alone], key[~alone]
             suffix = anchor[member] + shift
@@ -367,7 +361,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     1. Every window is represented by one sampled substring, the one of least hash, which equal windows share; some
        35 bytes have one sample.  Samples are counted over the whole corpus, each task sending each once.
-    2. The texts are read again.  Samples that occur once are dropped, by a test of fixed size (``_among``) that only
+    2. The texts are read again.  Samples that occur once are dropped, by a test of fixed size (``bit_table``) that only
        lets too many through.  The others carry their context, the bytes of all their windows; contexts met
        again within a task are settled there and not sent.
     3. Per sample, equal contexts are settled as wholes, and of different ones all windows are sorted as suffixes by a
@@ -381,7 +375,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     )
     counted = source.mapInArrow(_cores(window), "core bigint, times bigint").groupBy("core").agg(F.sum("times").alias("times"))
     several = stage(counted.where("times > 1").select("core"), "cores")
-    found = source.mapInArrow(_contexts(window, _among(several, raw=True)), _ROWS)
+    found = source.mapInArrow(_contexts(window, bit_table(several)), _ROWS)
     spread = found.repartition("core").sortWithinPartitions("core", "doc", "row", "start")
     spans = spread.mapInArrow(_resolve(window), "doc bigint, row bigint, a bigint, b bigint")
     grouped = spans.groupBy("row", "doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
@@ -393,7 +387,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str
     kind = docs.schema[key].dataType.simpleString()
     row = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
     source = docs.select(F.col(f"`{key}`").alias("_key"), row.alias("row"), F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8").alias("raw"))
-    touched = _among(spans.select("row"))
+    touched = bit_table(spans.select("row")).test()
     whole = source.where(~touched(F.col("row"))).select(
         F.col("_key").alias(key), F.octet_length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("raw").alias("kept")
     )
