@@ -138,31 +138,94 @@ def _row_key(key: str, text: str) -> Column:
     return F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of row keys whose full shingle sets are similar enough."""
+#: Longs in the bits of a difference of two sets.
+_LONGS = 8
+_DIFF = [f"_{side}{i}" for side in ("less", "more") for i in range(_LONGS)]
+
+
+def _diff_bits(elements: set) -> list[int]:
+    """Elements of a set as bits, as signed longs: as many distinct bits as elements, or fewer."""
+    bits = 0
+    for e in elements:
+        bits |= 1 << (xxhash.xxh3_64_intdigest(b" ".join(e)) % (64 * _LONGS))
+    raw = bits.to_bytes(8 * _LONGS, "little")
+    return np.frombuffer(raw, "<i8").tolist()
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Each pair (a, b) of row keys with good: whether the full shingle sets are similar enough.
+
+    Also the bits of a without b (_less0 ..) and of b without a (_more0 ..), the size of the latter and of a.
+    """
     needed = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
     texts = docs.select(_row_key(key, text).alias("_row"), F.col(f"`{text}`").alias("_text"))
     texts = stage(texts.where(bit_table(needed).test()(F.col("_row"))).dropDuplicates(["_row"]), "texts")
+    numbers = ["_n_more", "_n_hub", *_DIFF]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
         for batch in batches:
-            good = []
+            good, rows = [], []
             for a, left, right in zip(*[batch.column(i) for i in (0, 2, 3)], strict=True):
                 if a.as_py() != last:
                     last, own = a.as_py(), shingles_of(left.as_py(), width)
                 other = shingles_of(right.as_py(), width)
                 both = len(own & other)
                 good.append(100 * both >= percent * (len(own) + len(other) - both))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+                more = other - own
+                rows.append([len(more), len(own), *_diff_bits(own - other), *_diff_bits(more)])
+            table = np.array(rows, np.int64).reshape(len(rows), len(numbers))
+            columns = [batch.column(0), batch.column(1), pa.array(good, pa.bool_()), *[pa.array(table[:, i]) for i in range(len(numbers))]]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "good", *numbers])
 
     joined = (
         pairs.join(texts.select(F.col("_row").alias("b"), F.col("_text").alias("_right")), "b")
         .join(texts.select(F.col("_row").alias("a"), F.col("_text").alias("_left")), "a")
         .select("a", "b", "_left", "_right")
     )
-    return joined.mapInArrow(check, "a bigint, b bigint")
+    return joined.mapInArrow(check, "a bigint, b bigint, good boolean, " + ", ".join(f"{n} bigint" for n in numbers))
+
+
+def _common_bound(x: str, y: str) -> Column:
+    """At least as many shingles as x and y share, from how each differs from the same hub.
+
+    Of the hub's shingles they share no more than those that neither lacks; bits of what is lacking, taken together, are
+    no more than such shingles.  Of other shingles they share no more than x has beyond those whose bits y hasn't.
+    """
+
+    def sum_bits(of) -> Column:
+        total = F.lit(0)
+        for i in range(_LONGS):
+            total = total + F.bit_count(of(i))
+        return total
+
+    def col(side: str, name: str, i: int) -> Column:
+        return F.col(f"{side}_{name}{i}")
+
+    lacking = sum_bits(lambda i: col(x, "less", i).bitwiseOR(col(y, "less", i)))
+    alone = [
+        sum_bits(lambda i, p=p, q=q: col(p, "more", i).bitwiseAND(F.bitwise_not(col(q, "more", i)))) for p, q in ((x, y), (y, x))
+    ]
+    beyond = F.least(F.col(f"{x}_n_more") - alone[0], F.col(f"{y}_n_more") - alone[1])
+    return F.col(f"{x}_n_hub") - lacking + beyond
+
+
+def _open_pairs(members: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+    """(x, nx, y, ny): members of one bucket in different components that may still be linked.
+
+    Every member has been compared with its bucket's hub, the smallest node, unless their sizes forbid a link.  The
+    differences found there bound what two members share, and pairs whose bound is too small are not made.
+    """
+    hubs = members.groupBy("band").agg(F.min("node").alias("hub"))
+    told = compared.select(F.col("a").alias("hub"), F.col("b").alias("node"), "_n_more", "_n_hub", *_DIFF)
+    rows = members.join(hubs, "band").where("node <> hub").join(told, ["hub", "node"], "left")
+    rows = stage(rows.drop("hub"), "open-members")
+    sides = [rows.select("band", *[F.col(c).alias(f"{s}{c}") for c in rows.columns if c != "band"]) for s in "xy"]
+    union = F.col("xn") + F.col("yn") - _common_bound("x", "y")
+    unlikely = 100 * _common_bound("x", "y") < percent * union
+    sizes = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
+    both = sides[0].join(sides[1], "band").where((F.col("xroot") < F.col("yroot")) & sizes & ~F.coalesce(unlikely, F.lit(False)))
+    return both.select(F.col("xnode").alias("x"), F.col("xn").alias("nx"), F.col("ynode").alias("y"), F.col("yn").alias("ny"))
 
 
 def _members(docs: DataFrame, key: str, text: str, width: int, percent: int, bands: int, rows: int, star_rounds: int) -> DataFrame:
@@ -182,7 +245,7 @@ def _members(docs: DataFrame, key: str, text: str, width: int, percent: int, ban
     shared = firsts.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
     members = stage(firsts.join(shared, "band"), "buckets")
 
-    tried, links, roots = None, None, None
+    compared, roots = None, None
     for step in range(star_rounds + 1):
         open_members = members
         if step:
@@ -194,20 +257,21 @@ def _members(docs: DataFrame, key: str, text: str, width: int, percent: int, ban
             turn = F.xxhash64("node", F.lit(step)) if step else F.col("node")
             hubs = open_members.groupBy("band").agg(F.min(F.struct(turn.alias("t"), "node", "n")).alias("hub"))
             pairs = open_members.join(hubs, "band").select(F.col("hub.node").alias("x"), F.col("hub.n").alias("nx"), F.col("node").alias("y"), F.col("n").alias("ny"))
+        elif compared is not None:
+            pairs = _open_pairs(open_members, compared, percent)
         else:
-            other = open_members.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-            pairs = open_members.join(other, "band").where("rx < root").select("x", "nx", F.col("node").alias("y"), F.col("n").alias("ny"))
+            sides = [open_members.select("band", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}")) for s in "xy"]
+            pairs = sides[0].join(sides[1], "band").where("rx < ry")
         possible = (F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
         pairs = pairs.where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        if compared is not None:
+            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        found = stage(_linked(pairs, source, key, text, width, percent), "found")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = stage(components(links), "roots")
+        found = stage(_compared(pairs, source, key, text, width, percent), "compared")
+        compared = found if compared is None else compared.unionByName(found)
+        roots = stage(components(compared.where("good").select("a", "b")), "roots")
 
     keyed = described.select("_row", "_key", "_n", "_digest").join(classes.select("_digest", "node"), "_digest", "left")
     if roots is not None:
@@ -236,8 +300,9 @@ def near_duplicates(
        by minima that are pre-aggregated; only class representatives go on.
     2. A bucket is a band hash that several classes have.  Instead of all pairs of a bucket, each member is paired with one
        hub; pairs with possible set sizes are verified on the full texts, and links merged to components.  After
-       ``star_rounds`` rounds with different hubs, what is left are members of one bucket in different components, and all
-       such pairs are verified, so no pair that shares a bucket is lost to a hub.
+       ``star_rounds`` rounds with different hubs, what is left are members of one bucket in different components.  Those
+       pairs of them are verified that may be linked by how both differ from the hub (``_common_bound``, which is never
+       too small), so no link in a bucket is lost.
     3. A pair of similarity s shares no bucket with probability (1 - s^rows)^bands: 5e-6 at 0.8 for 40 bands of 6.
 
     Texts without words (null, empty) have no shingles and no links.  Null keys are linked by their texts but never name a
