@@ -374,16 +374,18 @@ def _grid_cte(name: str, value: str, stat: str) -> None:
     over = "(PARTITION BY k.ticker ORDER BY t.ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
     _cte(
         name,
-        "feat",
+        "gfeat",
         f"""SELECT ts, avg(r) AS v FROM (
-              SELECT t.ts, CASE WHEN count(f.{value}) OVER {over} >= 10 THEN {stat}(f.{value}) OVER {over} END AS r
-              FROM (SELECT DISTINCT ts FROM feat WHERE {value} IS NOT NULL) t
-              CROSS JOIN (SELECT DISTINCT ticker FROM feat) k
-              LEFT JOIN feat f ON f.ts = t.ts AND f.ticker = k.ticker)
+              SELECT t.ts, CASE WHEN count(f.{value}) OVER {over} >= 30 THEN {stat}(f.{value}) OVER {over} END AS r
+              FROM (SELECT DISTINCT ts FROM gfeat WHERE {value} IS NOT NULL) t
+              CROSS JOIN (SELECT DISTINCT ticker FROM gfeat) k
+              LEFT JOIN gfeat f ON f.ts = t.ts AND f.ticker = k.ticker)
             GROUP BY ts""",
     )
 
 
+_cte("gbars", "ticks", CTES["ibars"][1].replace("date_trunc('hour', ts)", "time_bucket(INTERVAL 4 HOUR, ts)"))
+_feature_ctes("gfeat", "gbars", "hour")
 _grid_cte("grid_vol", "realized_vol", "avg")
 _grid_cte("grid_dev", "log_return", "stddev_samp")
 _oracle(

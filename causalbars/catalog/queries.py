@@ -44,7 +44,7 @@ PORTFOLIO = 10_000.0
 STRATEGIES = {0: 0.02, 1: 0.05, 2: 0.10}
 CAP_FREE = 1_000_000  # more than any day's signals: the cap does not bind
 CAP_TIGHT = 5
-REGIME_MIN = 10  # a test ticker trades on about every fourth day of the grid
+GRID_SECONDS = 4 * 3_600
 
 
 # Taken over from the ticks by one division: equal to the last bit in any engine.
@@ -372,14 +372,20 @@ def _return_features(spark, sf, bars=None):
     return features.add_return_features(bars.select("ticker", "timestamp", "close"))
 
 
+def _grid_returns(spark, sf):
+    """Returns of four-hour bars, in which every ticker trades in most steps of the grid."""
+    bars = stage(tables.intraday_bars(spark, sf, GRID_SECONDS), "bars")
+    return stage(features.add_return_features(bars, spec=INTRADAY), "returns")
+
+
 @query
 def regime_inputs(spark, sf):
-    return regime.regime_inputs(stage(_return_features(spark, sf), "returns"), min_count=REGIME_MIN)
+    return regime.regime_inputs(_grid_returns(spark, sf))
 
 
 @query
 def regime_labels(spark, sf):
-    return regime.regime_labels(stage(_return_features(spark, sf), "returns"), min_count=REGIME_MIN)
+    return regime.regime_labels(_grid_returns(spark, sf))
 
 
 @query
@@ -611,7 +617,7 @@ def _training_folds(spark, sf):
 
 
 def _fitted_baseline(spark, sf):
-    model = models.BaselineClassifier(n_trees=20)
+    model = models.BaselineClassifier()
     return model, model.fit(_training_folds(spark, sf), FOLDS)
 
 
@@ -779,8 +785,8 @@ def meta_oof(spark, sf):
     rows = tables.with_predictions(_labels(spark, sf, bars)).withColumn("regime", F.lit(0))
     rows = features.lookup_features(rows, _return_features(spark, sf, bars), ["vol_norm_return"], 0.0)
     built = stage(meta.build_meta_labels(stage(rows, "context")), "meta")
-    folds = stage(cv.purged_folds(built, 3, EMBARGO), "folds")
-    oof = meta.MetaClassifier(n_trees=10).fit(folds, 3)
+    folds = stage(cv.purged_folds(built, FOLDS, EMBARGO), "folds")
+    oof = meta.MetaClassifier().fit(folds, FOLDS)
     return oof.select("fold", "ticker", "t0", "meta_label", "proba", "prediction")
 
 

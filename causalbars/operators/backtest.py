@@ -111,7 +111,7 @@ def _admission():
                 capital += cost
                 heapq.heappush(open_trades, (closes, net))
                 taken.append(i)
-        return rows.loc[taken, ["trade_key", STRATEGY]]
+        return rows.loc[taken, [STRATEGY, "open_day", "rank"]]
 
     return admit
 
@@ -127,8 +127,9 @@ def admit_signals(
     price are passed over.  Strategies whose cap and capital never bind are
     recognised from daily totals and keep all their trades.  For the others, no
     day can admit more than the cap, so the first ``cap`` usable signals of each day
-    decide everything: they are found by a ranked limit that Spark applies before
-    the shuffle, and what reaches the state machine is at most cap x days rows.
+    decide everything: they are found by a ranked limit (which Spark applies before
+    the shuffle up to its own limit of 1,000), and what reaches the state machine is
+    at most cap x days rows.  Signals of one ticker and time count one by one.
     """
     cap = F.col(max_concurrent) if isinstance(max_concurrent, str) else F.lit(max_concurrent)
     usable = with_trade_days(trades).where(F.col("entry_price").isNotNull() & (F.col("entry_price") > 0))
@@ -140,22 +141,21 @@ def admit_signals(
     largest = slack.where("NOT slack").agg(F.max("largest")).first()[0] or 0
     by_day = Window.partitionBy(STRATEGY, "open_day").orderBy("t0", *ties)
     bound = bound.withColumn("rank", F.row_number().over(by_day)).where(F.col("rank") <= F.lit(largest))
-    bound = bound.where(F.col("rank") <= cap)
-    bound = bound.withColumn("trade_key", F.concat_ws("|", F.unix_micros("t0").cast("string"), *ties))
+    # Stored: a signal is known by its day and rank, also where others have its ticker and time.
+    bound = stage(bound.where(F.col("rank") <= cap), "bound")
     narrow = bound.select(
         STRATEGY,
-        "trade_key",
-        "rank",
         "open_day",
+        "rank",
         "close_day",
         "entry_cost",
         "net_pnl",
         cap.cast("long").alias("cap"),
         F.lit(float(initial_capital)).alias("capital"),
     )
-    schema = T.StructType([narrow.schema["trade_key"], narrow.schema[STRATEGY]])
+    schema = T.StructType([narrow.schema[c] for c in (STRATEGY, "open_day", "rank")])
     taken = narrow.groupBy(STRATEGY).applyInPandas(_admission(), schema)
-    admitted = bound.join(taken, [STRATEGY, "trade_key"], "left_semi").drop("rank", "trade_key", "largest")
+    admitted = bound.join(taken, [STRATEGY, "open_day", "rank"], "left_semi").drop("rank", "largest")
     return free.unionByName(admitted)
 
 

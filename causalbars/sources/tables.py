@@ -60,9 +60,9 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def intraday_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars from the event ticks; the volume counts ticks."""
-    return bars_from_ticks(event_ticks(spark, sf_dir), 3_600, packed_order((F.unix_micros("ts"), 17), ("event_id", 18)), size=F.lit(1.0))
+def intraday_bars(spark: SparkSession, sf_dir: str, seconds: int = 3_600) -> DataFrame:
+    """Hourly bars, or bars of other length, from the event ticks; the volume counts ticks."""
+    return bars_from_ticks(event_ticks(spark, sf_dir), seconds, packed_order((F.unix_micros("ts"), 17), ("event_id", 18)), size=F.lit(1.0))
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,3 +155,10 @@ def test_sentiment_equals_brute_force(spark, bars, bars_pdf):
             assert r.max_credibility == pytest.approx(hit.credibility.max())
         else:
             assert r.weighted_sentiment == 0 and r.max_credibility == 0
+
+
+def test_matrix_carries_the_regime_of_its_time(spark, bars):
+    times = bars.select("timestamp").distinct()
+    regimes = times.withColumn("regime", (F.hour("timestamp") % 3).cast("long")).where(F.hour("timestamp") != 5)
+    got = features.build_feature_matrix(bars, regimes=regimes).select("timestamp", "regime").collect()
+    assert got and all(r.regime == (0 if r.timestamp.hour == 5 else r.timestamp.hour % 3) for r in got)

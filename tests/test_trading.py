@@ -1,5 +1,6 @@
 """Conformal bands, meta-labels, sizing, backtests and evaluation statistics."""
 
+import datetime as dt
 import itertools
 import math
 from statistics import NormalDist
@@ -335,3 +336,16 @@ def test_a_strategy_without_finite_returns_stays(spark):
     assert moments == {"a": 80, "b": 0}
     row = {r.strategy_id: r for r in stats.deflated_sharpe(_returns(spark, rows), 10).collect()}["b"]
     assert (row.sr, row.psr, row.dsr, row.is_significant) == (0.0, 0.0, 0.0, False)
+
+
+def test_equal_signals_count_one_by_one(spark):
+    """Two signals of one ticker and time when only one place is left."""
+    day = dt.datetime(2024, 1, 1, 10)
+    rows = [("A", day, day + dt.timedelta(days=5))] + [("B", day + dt.timedelta(days=1), day + dt.timedelta(days=6))] * 2
+    trades = spark.createDataFrame(
+        [(0, *r, 10.0, -1.0, 2.0) for r in rows],
+        "strategy_id int, ticker string, t0 timestamp, t1 timestamp, entry_price double, entry_cost double, net_pnl double",
+    )
+    admitted = backtest.admit_signals(trades, 1000.0, 2)
+    assert sorted(r.ticker for r in admitted.collect()) == ["A", "B"]
+    assert backtest.admit_signals(trades, 1000.0, 5000).count() == 3
