@@ -66,7 +66,7 @@ class ByteBpe:
         for parts in split:
             if parts:
                 wanted.update(islice(parts, 1, None))
-        wanted.difference_update(self.known)
+        wanted = {p for p in wanted if p not in self.known}
         # Punctuation behind a letter or digit is tokenized by itself.
         tails = []
         for p in wanted.copy():
@@ -75,7 +75,7 @@ class ByteBpe:
                 wanted.discard(p)
                 wanted.add(stem)
                 tails.append((p, stem, p[len(stem) :]))
-        wanted.difference_update(self.known)
+        wanted = {p for p in wanted if p not in self.known}
         self._learn([p for p in wanted if p.strip("\n") and not p[-1].isspace() and not p.lstrip("\n")[0].isspace()])
         for p, stem, tail in tails:
             if stem in self.known:
@@ -205,7 +205,7 @@ def pack_documents(
     windows: int = 64,
     end_id: int = 1,
     least: int = 32,
-    merge: int = 64,
+    merge: int = 16,
 ) -> DataFrame:
     """Pieces of all documents placed in sequences: key, start, length, token_ids, doc_tokens, sequence_id, offset.
 
