@@ -1067,18 +1067,6 @@ _cte(
     "feat",
     "SELECT ts AS t, sector AS strategy_id, avg(log_return) AS ret FROM feat WHERE log_return IS NOT NULL GROUP BY 1, 2",
 )
-_cte(
-    "moments",
-    "matrix",
-    """SELECT strategy_id, count(*) AS n, any_value(m) AS m, stddev_samp(ret) AS sd,
-              avg((ret - m) ** 3) / avg((ret - m) ** 2) ** 1.5 AS skew,
-              avg((ret - m) ** 4) / avg((ret - m) ** 2) ** 2 - 3.0 AS kurt
-       FROM (SELECT *, avg(ret) OVER (PARTITION BY strategy_id) AS m FROM matrix) GROUP BY 1""",
-)
-_oracle(
-    "sharpe_moments", "moments", "strategy_id;n_obs=n@i;mean=m@r;std=sd@r;skewness=skew@r;excess_kurtosis=kurt@r", "FROM moments"
-)
-
 # Normal quantiles at 1 - 1/50 and 1 - 1/(50 e), mixed by the Euler-Mascheroni constant.
 _TOP = "((1.0 - 0.5772156649) * 2.053748910631822 + 0.5772156649 * 2.4393139538578943)"
 
@@ -1094,55 +1082,128 @@ def _phi(name: str, source: str, z: str) -> None:
     )
 
 
-_cte(
-    "dsr",
-    "moments",
-    """SELECT *, m / sd AS sr,
-              greatest(sqrt((1.0 - skew * (m / sd) + (kurt + 1.0) * (m / sd) ** 2 / 4.0) / (n - 1)), 1e-10) AS sr_sd
-       FROM moments""",
-)
-_phi("psr", "dsr", "sr / sr_sd")
-_phi("ddsr", "dsr", f"(sr - {_TOP} * sr_sd) / sr_sd")
+def _evaluation_ctes(p: str, source: str, subsets: int) -> None:
+    """Moments, deflated Sharpe ratio and overfitting of (t, strategy_id, ret); names begin with ``p``."""
+    _cte(
+        f"{p}moments",
+        source,
+        f"""SELECT strategy_id, count(*) AS n, any_value(m) AS m, stddev_samp(ret) AS sd,
+                  avg((ret - m) ** 3) / avg((ret - m) ** 2) ** 1.5 AS skew,
+                  avg((ret - m) ** 4) / avg((ret - m) ** 2) ** 2 - 3.0 AS kurt
+           FROM (SELECT *, avg(ret) OVER (PARTITION BY strategy_id) AS m FROM {source}) GROUP BY 1""",
+    )
+    _cte(
+        f"{p}dsr",
+        f"{p}moments",
+        f"""SELECT *, m / sd AS sr,
+                  greatest(sqrt((1.0 - skew * (m / sd) + (kurt + 1.0) * (m / sd) ** 2 / 4.0) / (n - 1)), 1e-10) AS sr_sd
+           FROM {p}moments""",
+    )
+    _phi(f"{p}psr", f"{p}dsr", "sr / sr_sd")
+    _phi(f"{p}ddsr", f"{p}dsr", f"(sr - {_TOP} * sr_sd) / sr_sd")
+    _cte(
+        f"{p}blocks",
+        source,
+        f"""SELECT strategy_id, block, CAST(count(*) AS DOUBLE) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM (
+             SELECT m.*, (dense_rank() OVER (ORDER BY t) - 1) // ((SELECT count(DISTINCT t) FROM {source}) // {subsets}) AS block
+             FROM {source} m) WHERE block < {subsets} GROUP BY 1, 2""",
+    )
+    _cte(
+        f"{p}split_sr",
+        f"{p}blocks",
+        f"""SELECT mask, strategy_id, coalesce(max(CASE WHEN inside THEN sr END), 0.0) AS sr_in,
+                  coalesce(max(CASE WHEN NOT inside THEN sr END), 0.0) AS sr_out
+           FROM (SELECT mask, strategy_id, inside,
+                        CASE WHEN n >= 2 AND sqrt(greatest((q - s * s / n) / (n - 1), 0.0)) >= 1e-12
+                             THEN s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(252.0) ELSE 0.0 END AS sr
+                 FROM (SELECT x.mask, b.strategy_id, (x.mask >> CAST(b.block AS INT)) & 1 = 1 AS inside,
+                              sum(n) AS n, sum(s) AS s, sum(q) AS q
+                       FROM {p}blocks b
+                       CROSS JOIN (SELECT CAST(range AS BIGINT) AS mask FROM range({2**subsets})
+                                   WHERE bit_count(range) = {subsets // 2}) x
+                       GROUP BY 1, 2, 3))
+           GROUP BY 1, 2""",
+    )
+    _cte(
+        f"{p}deltas",
+        f"{p}split_sr",
+        f"SELECT mask, arg_min(sr_out, row(-sr_in, strategy_id)) - quantile_cont(sr_out, 0.5) AS d FROM {p}split_sr GROUP BY 1",
+    )
+
+
+_DSR = (
+    "sr=d.sr * sqrt(252.0)@r;sr_per_period=d.sr@r;psr=p.p@r;dsr=q.p@r;"
+    f"e_max_sr={_TOP} * d.sr_sd * sqrt(252.0)@r;skewness=d.skew@r;excess_kurtosis=d.kurt@r"
+)
+_PBO = (
+    "pbo@r;median_oos_delta_sr=med@r;n_combinations=n@i;"
+    "logit_pbo=ln(least(greatest(pbo, 1e-6), 1 - 1e-6) / (1.0 - least(greatest(pbo, 1e-6), 1 - 1e-6)))@r;is_overfit=(pbo > 0.5)"
+)
+
+
+def _pbo_of(deltas: str) -> str:
+    return f"FROM (SELECT avg(CASE WHEN d < 0 THEN 1.0 ELSE 0.0 END) AS pbo, quantile_cont(d, 0.5) AS med, count(*) AS n FROM {deltas})"
+
+
+_evaluation_ctes("", "matrix", 16)
+_oracle(
+    "sharpe_moments", "moments", "strategy_id;n_obs=n@i;mean=m@r;std=sd@r;skewness=skew@r;excess_kurtosis=kurt@r", "FROM moments"
+)
 _oracle(
     "deflated_sharpe",
     "psr ddsr",
-    "strategy_id=d.strategy_id;n_obs=d.n@i;sr=d.sr * sqrt(252.0)@r;sr_per_period=d.sr@r;psr=p.p@r;dsr=q.p@r;"
-    f"e_max_sr={_TOP} * d.sr_sd * sqrt(252.0)@r;skewness=d.skew@r;excess_kurtosis=d.kurt@r;n_trials=50@i;"
-    "is_significant=(q.p > 0.95)",
+    f"strategy_id=d.strategy_id;n_obs=d.n@i;{_DSR};n_trials=50@i;is_significant=(q.p > 0.95)",
     "FROM dsr d JOIN psr p ON p.strategy_id = d.strategy_id JOIN ddsr q ON q.strategy_id = d.strategy_id",
 )
+_oracle("pbo", "deltas", _PBO, _pbo_of("deltas"))
+
+
+def _cells(section: str, source: str, metrics: str, who: str = "CAST(strategy_id AS VARCHAR)", suffix: str = "''") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {who} AS strategy_id, '{section}' AS section, '{m}' || {suffix} AS metric, round(CAST({m} AS DOUBLE), 4) + 0.0 AS value"
+        f" FROM {source}"
+        for m in metrics.split()
+    )
+
+
+_cte("b_matrix", "drets", "SELECT day AS t, strategy_id, ret FROM drets")
+_evaluation_ctes("b_", "b_matrix", 4)
+_cte("b_basic", "", ORACLES["performance_summary"])
 _cte(
-    "blocks",
-    "matrix",
-    """SELECT strategy_id, block, CAST(count(*) AS DOUBLE) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM (
-         SELECT m.*, (dense_rank() OVER (ORDER BY t) - 1) // ((SELECT count(DISTINCT t) FROM matrix) // 16) AS block
-         FROM matrix m) WHERE block < 16 GROUP BY 1, 2""",
-)
-_cte(
-    "split_sr",
-    "blocks",
-    """SELECT mask, strategy_id,
-              max(CASE WHEN inside THEN sr END) AS sr_in, max(CASE WHEN NOT inside THEN sr END) AS sr_out
-       FROM (SELECT mask, strategy_id, inside,
-                    CASE WHEN sqrt(greatest((q - s * s / n) / (n - 1), 0.0)) >= 1e-12
-                         THEN s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(252.0) ELSE 0.0 END AS sr
-             FROM (SELECT x.mask, b.strategy_id, (x.mask >> CAST(b.block AS INT)) & 1 = 1 AS inside,
-                          sum(n) AS n, sum(s) AS s, sum(q) AS q
-                   FROM blocks b CROSS JOIN (SELECT CAST(range AS BIGINT) AS mask FROM range(65536) WHERE bit_count(range) = 8) x
-                   GROUP BY 1, 2, 3))
-       GROUP BY 1, 2""",
+    "b_sharpe",
+    "b_psr b_ddsr",
+    f"SELECT d.strategy_id, {_out(_DSR)}, q.p > 0.95 AS is_significant FROM b_dsr d"
+    " JOIN b_psr p ON p.strategy_id = d.strategy_id JOIN b_ddsr q ON q.strategy_id = d.strategy_id",
 )
 _cte(
-    "deltas",
-    "split_sr",
-    "SELECT mask, arg_min(sr_out, row(-sr_in, strategy_id)) - quantile_cont(sr_out, 0.5) AS d FROM split_sr GROUP BY 1",
-)
-_oracle(
-    "pbo",
-    "deltas",
-    "pbo@r;median_oos_delta_sr=med@r;n_combinations=n@i;"
-    "logit_pbo=ln(least(greatest(pbo, 1e-6), 1 - 1e-6) / (1.0 - least(greatest(pbo, 1e-6), 1 - 1e-6)))@r;is_overfit=(pbo > 0.5)",
-    "FROM (SELECT avg(CASE WHEN d < 0 THEN 1.0 ELSE 0.0 END) AS pbo, quantile_cont(d, 0.5) AS med, count(*) AS n FROM deltas)",
+    "b_regime",
+    "log",
+    """SELECT strategy_id, (isodow(t0) - 1) % 3 AS regime, count(*) AS n_trades,
+              avg(CASE WHEN net_pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(r) AS mean_ret, stddev_samp(r) AS std_ret,
+              avg(r) / CASE WHEN stddev_samp(r) IS NOT NULL THEN greatest(stddev_samp(r), 1e-10) END * sqrt(252.0) AS sharpe,
+              avg(r) * 252 AS ann_return
+       FROM (SELECT *, net_pnl / greatest(notional, 1.0) AS r FROM log) GROUP BY 1, 2""",
+)
+_cte("b_pbo", "b_deltas", f"SELECT {_out(_PBO)} {_pbo_of('b_deltas')}")
+ORACLES["evaluation_report"] = _sql(
+    "b_basic b_sharpe b_regime b_pbo",
+    " UNION ALL ".join(
+        [
+            _cells("basic", "b_basic", "sharpe_ratio sortino_ratio calmar_ratio max_drawdown win_rate n_trades total_return"),
+            _cells(
+                "deflated_sharpe",
+                "b_sharpe",
+                "sr sr_per_period psr dsr e_max_sr skewness excess_kurtosis is_significant",
+            ),
+            _cells(
+                "regime",
+                "b_regime",
+                "n_trades win_rate mean_ret std_ret sharpe ann_return",
+                suffix="'_' || CAST(regime AS VARCHAR)",
+            ),
+            _cells("overfitting", "b_pbo", "pbo logit_pbo median_oos_delta_sr n_combinations is_overfit", who="'all'"),
+        ]
+    ),
 )
 _oracle(
     "strategy_candidates",

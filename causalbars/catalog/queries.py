@@ -50,7 +50,7 @@ GRID_SECONDS = 4 * 3_600
 # Taken over from the ticks by one division: equal to the last bit in any engine.
 EXACT = {"open", "high", "low", "close", "volume", "entry_price", "exit_price"}
 # Large sums and ratios of small numbers carry fewer digits than six places show.
-PLACES = {"equity": 2, "sharpe_ratio": 4, "sortino_ratio": 4, "calmar_ratio": 4}
+PLACES = {"equity": 2, "sharpe_ratio": 4, "sortino_ratio": 4, "calmar_ratio": 4, "value": 4}
 
 
 def present(df: DataFrame) -> DataFrame:
