@@ -945,3 +945,41 @@ def evaluation_report(spark, sf):
     return stats.evaluation_report(
         backtest.performance_summary(equity, trades), returns, regimes, n_trials=50, returns_matrix=matrix
     )
+
+
+@query
+def research_report(spark, sf):
+    """The whole chain on bars with news: features with sentiment and regime, labels, purged folds, a classifier's
+    out-of-fold forecasts, sizes under two position limits, a capped backtest and its report."""
+    number = F.substring("ticker", 2, 9).cast("int")
+    bars = tables.intraday_bars(spark, sf, GRID_SECONDS).withColumns(
+        {"instrument": number, "sector": F.concat(F.lit("S"), (number % 3).cast("string"))}
+    )
+    bars = stage(bars, "bars")
+    returns = stage(features.add_return_features(bars.select("ticker", "timestamp", "close"), spec=INTRADAY), "returns")
+    regimes = stage(regime.regime_labels(returns), "regimes")
+    matrix = features.build_feature_matrix(bars, tables.news(spark, sf), regimes, spec=INTRADAY)
+    matrix = stage(matrix, "matrix")
+    events = labels.label_universe(bars.select(*_PATH), **{**LABELING, "spacing": 5}, spec=INTRADAY)
+    rows = stage(models.join_features(events, matrix), "training")
+    folds = stage(cv.purged_folds(rows, FOLDS, EMBARGO), "folds")
+    oof = stage(models.BaselineClassifier().fit(folds, FOLDS), "oof")
+    edge = (F.get("proba", F.lit(2)) - F.get("proba", F.lit(0))) * F.col("realized_vol")
+    predicted = oof.withColumn("p50", edge).withColumns(
+        {"p10": F.col("p50") - F.col("realized_vol"), "p90": F.col("p50") + F.col("realized_vol")}
+    )
+    built = stage(meta.build_meta_labels(predicted, resolved_only=True), "meta")
+    signals = stage(sizing.enrich_signals(built.drop("close"), matrix), "signals")
+    book = [
+        sizing.PositionSizer(max_position_frac=f, impact_coeff=SIZER.impact_coeff)
+        .compute_sizes(signals, PORTFOLIO)
+        .withColumn("strategy_id", F.lit(i))
+        for i, f in ((0, 0.02), (1, 0.05))
+    ]
+    book = stage(book[0].unionByName(book[1]), "book")
+    result = backtest.run_backtest(book, bars.select("ticker", "timestamp", "close"), PORTFOLIO, CAP_TIGHT, spec=INTRADAY)
+    equity, trades = stage(result.equity_curve(), "equity"), stage(result.trade_log(), "trades")
+    daily = stage(backtest.daily_returns(equity), "daily")
+    return stats.evaluation_report(
+        backtest.performance_summary(equity, trades), daily, trades, 2, daily.withColumnRenamed("day", "t")
+    )
