@@ -17,7 +17,7 @@ from causalbars.plans.staging import stage
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACES = b" \t\n\x0b\x0c\r"
-_KNOWN_WORDS = 200_000
+_KNOWN_WORDS = 150_000
 _BATCH = 1 << 16
 
 
@@ -103,7 +103,7 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
 def _describe(width: int, bands: int, rows: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(width)
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             sizes, digests, hashed = [], [], [None] * batch.num_rows
             waiting: list[tuple[int, np.ndarray]] = []
             total = 0

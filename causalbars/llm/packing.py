@@ -29,7 +29,7 @@ class ByteBpe:
     A part is a word, which stands for a space and the word, or a line break and a word.
     """
 
-    def __init__(self, path: str, words: int = 600_000):
+    def __init__(self, path: str, words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -18,7 +18,7 @@ from causalbars.plans.quantiles import exact_quantiles
 from causalbars.plans.staging import stage
 
 _SHAPE = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 150_000
 
 
 class NgramHasher:
@@ -133,12 +133,14 @@ def log_weight(model: ImportanceModel, text: Column) -> Column:
     """Sum of a text's n-gram log ratios; null without any word."""
     ratio, sizes = model.log_ratio, (model.word_buckets, model.shape_buckets)
 
+    def score(buckets: np.ndarray) -> float | None:
+        return float(ratio[buckets].sum()) if len(buckets) else None
+
     @F.pandas_udf("double")
     def weigh(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher = NgramHasher(*sizes)
         for batch in texts:
-            found = [hasher.buckets(t or "") for t in batch]
-            yield pd.Series([float(ratio[b].sum()) if len(b) else None for b in found], dtype="float64")
+            yield pd.Series([score(hasher.buckets(t or "")) for t in batch], dtype="float64")
 
     return weigh(text)
 
