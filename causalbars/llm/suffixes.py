@@ -17,6 +17,9 @@ _BASE = 0x9E3779B97F4A7C15
 _CHUNK = 2_000_000
 _CORES = 24  # bytes of the sampled substring
 _WINDOWS = 1_500_000
+_HOT = 20_000  # contexts of one sample from which on its windows are dealt out one by one
+_SLICE = 4_000  # contexts that are split at a time
+_HELD = 40_000  # rows that are settled at a time
 
 u64 = np.uint64
 
@@ -203,8 +206,13 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[
 def _cores(window: int):
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, _, starts, lengths in _segments(batches, window):
-            found, times = np.unique(anchors(PrefixHashes(data), starts, lengths, window).core, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(times, 2))], ["core", "times"])
+            hashes = PrefixHashes(data)
+            a = anchors(hashes, starts, lengths, window)
+            found, times = np.unique(a.core, return_counts=True)
+            # Different contexts are what the next pass sends; one more for equal ones, so that a sample met twice is above 1.
+            _, first = np.unique(_context_hash(hashes, a.core, a.start, a.lo, a.hi, window), return_index=True)
+            kinds = np.unique(a.core[first], return_counts=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(kinds + (times > kinds))], ["core", "times"])
 
     return cores
 
@@ -241,10 +249,74 @@ def _batch(core, doc, row, start, lo, hi, context) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["core", "doc", "row", "start", "lo", "hi", "context"])
 
 
+def _window_hashes(table: pa.Table, window: int):
+    """Of rows with a context: the bytes, their prefix hashes, and per window its row, its distance from the core, its place in the bytes and its hash."""
+    context = table.column("context").combine_chunks()
+    lengths = pa.compute.binary_length(context).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = b"".join(context.to_pylist())
+    hashes = PrefixHashes(np.frombuffer(raw, np.uint8))
+    n = lengths - window + 1
+    member = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(lengths) - lengths)[member] + step
+    return raw, hashes, member, step + table.column("lo").to_numpy()[member], at, mix64(hashes.of(at, window))
+
+
+def _hot_rows(batch: pa.RecordBatch, hot) -> tuple[np.ndarray, Iterator[pa.Table]]:
+    """Which rows carry the context of a hot sample, and these in slices."""
+    table = pa.Table.from_batches([batch])
+    own = hot.has(batch.column("core").to_numpy()) & batch.column("context").is_valid().to_numpy(zero_copy_only=False)
+    rows = table.filter(pa.array(own))
+    return own, (rows.slice(i, _SLICE) for i in range(0, rows.num_rows, _SLICE))
+
+
+def _hot_windows(window: int, hot):
+    def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _hot_rows(batch, hot)[1]:
+                found, times = np.unique(_window_hashes(rows, window)[-1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(times, 2))], ["core", "times"])
+
+    return hot_windows
+
+
+def _split(window: int, hot, again):
+    """Contexts of hot samples as single windows under their own hash, those met once left out; the other rows as they are."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, slices = _hot_rows(batch, hot)
+            yield batch.filter(pa.array(~own))
+            for rows in slices:
+                raw, hashes, member, shift, at, key = _window_hashes(rows, window)
+                some = np.flatnonzero(again.has(key.view(np.int64)))
+                member, shift, at, key = member[some], shift[some], at[some], key[some]
+                doc, row, start = (rows.column(c).to_numpy()[member] for c in ("doc", "row", "start"))
+                place = start + shift
+                order = np.lexsort((place, row, doc))
+                doc, row, place, at, key = doc[order], row[order], place[order], at[order], key[order]
+                zero = np.zeros(len(order), np.int64)
+                repeat = _repeated_contexts(hashes, key, at, zero, zero, doc, row, place, window)
+                keep = np.flatnonzero(repeat == 0)
+                yield _batch(key[keep], doc[keep], row[keep], place[keep], zero[keep], zero[keep], [raw[i : i + window] for i in at[keep].tolist()])
+                gone = np.flatnonzero(repeat == 1)
+                doc, row, place = doc[gone], row[gone], place[gone]
+                fresh = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)][: len(gone)])
+                size = np.diff(np.r_[fresh, len(gone)])
+                yield _batch(mix64(row[fresh].view(u64)), doc[fresh], row[fresh], place[fresh], zero[: len(fresh)], size - 1, [None] * len(fresh))
+
+    return split
+
+
+def _context_hash(hashes: PrefixHashes, core, start, lo, hi, window: int) -> np.ndarray:
+    length = hi - lo + window
+    return mix64(hashes.of(start + lo, length) + mix64(core + (length * 256 - lo).astype(u64)))
+
+
 def _repeated_contexts(hashes: PrefixHashes, core, start, lo, hi, doc, row, place, window: int) -> np.ndarray:
     """Per anchor, in order of place: 0 first of its context, 1 equal to an earlier one (byte by byte), 2 the same row again."""
     length = hi - lo + window
-    whole = mix64(hashes.of(start + lo, length) + mix64(core + (length * 256 - lo).astype(u64)))
+    whole = _context_hash(hashes, core, start, lo, hi, window)
     order = np.argsort(whole, kind="stable")
     new = np.r_[True, whole[order][1:] != whole[order][:-1]] if len(order) else np.zeros(0, bool)
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
@@ -312,28 +384,44 @@ def _resolve(window: int):
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count >= 40_000:
+            if count >= _HELD:
                 table = pa.Table.from_batches(held)
                 core = table.column("core").to_numpy()
                 cut = int(np.searchsorted(core, core[-1], side="left"))
                 if cut:
                     yield from runs(table.slice(0, cut))
                     table = table.slice(cut)
+                else:  # one key: of equal contexts the first stays to be compared with, of a single window that is one row
+                    settled, table = firsts(table)
+                    yield settled
                 held, count = table.to_batches(), table.num_rows
         if held:
             yield from runs(pa.Table.from_batches(held))
 
+    def firsts(table: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+        known = table.column("context").is_null().to_numpy()
+        rows, data, offset = unpacked(table.filter(pa.array(~known)))
+        state = np.ones(table.num_rows, np.int8)
+        state[~known] = _repeated_contexts(
+            PrefixHashes(data), rows["core"], offset - rows["lo"], rows["lo"].astype(np.int64), rows["hi"].astype(np.int64), rows["doc"], rows["row"], rows["start"], window
+        )
+        gone = np.flatnonzero(state == 1)
+        lo, hi = (table.column(c).to_numpy().astype(np.int64)[gone] for c in ("lo", "hi"))
+        return spans(table, gone, lo, hi), table.filter(pa.array(state == 0))
+
+    def unpacked(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        rows = {c: table.column(c).to_numpy() for c in ("core", "doc", "row", "start", "lo", "hi")}
+        rows["core"] = rows["core"].view(u64)
+        context = table.column("context").combine_chunks()
+        lengths = pa.compute.binary_length(context).to_numpy(zero_copy_only=False).astype(np.int64)
+        return rows, np.frombuffer(b"".join(context.to_pylist()), np.uint8), np.cumsum(lengths) - lengths
+
     def runs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         settled = table.filter(pa.compute.is_null(table.column("context")))
         yield spans(settled, np.arange(settled.num_rows), settled.column("lo").to_numpy(), settled.column("hi").to_numpy())
         table = table.filter(pa.compute.is_valid(table.column("context")))
         if table.num_rows:
-            rows = {c: table.column(c).to_numpy() for c in ("core", "doc", "row", "start", "lo", "hi")}
-            rows["core"] = rows["core"].view(u64)
-            context = table.column("context").combine_chunks()
-            lengths = pa.compute.binary_length(context).to_numpy().astype(np.int64)
-            data = np.frombuffer(b"".join(context.to_pylist()), np.uint8)
-            yield spans(table, *_settle(rows, data, np.cumsum(lengths) - lengths, window))
+            yield spans(table, *_settle(*unpacked(table), window))
 
     def spans(table: pa.Table, member: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
         doc, row, start = (table.column(c).to_numpy()[member] for c in ("doc", "row", "start"))
@@ -364,7 +452,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     2. The texts are read again.  Samples that occur once are dropped, by a test of fixed size (``bit_table``) that only
        lets too many through.  The others carry their context, the bytes of all their windows; contexts met
        again within a task are settled there and not sent.
-    3. Per sample, equal contexts are settled as wholes, and of different ones all windows are sorted as suffixes by a
+    3. A sample with more than ``_HOT`` contexts, such as a common line with ever other surroundings, is not met in one
+       task: its windows go under their own hashes, which equal windows share.  They are counted first and those met once are
+       dropped; equal ones are settled within a task as before.
+    4. Per sample, equal contexts are settled as wholes, and of different ones all windows are sorted as suffixes by a
        mergesort that compares with prefix hashes and binary search; neighbours that agree on ``window`` bytes are
        compared byte by byte before the later one counts as repeated.
     """
@@ -374,8 +465,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         F.col(f"`{text}`").alias("text"),
     )
     counted = source.mapInArrow(_cores(window), "core bigint, times bigint").groupBy("core").agg(F.sum("times").alias("times"))
-    several = stage(counted.where("times > 1").select("core"), "cores")
-    found = source.mapInArrow(_contexts(window, bit_table(several)), _ROWS)
+    several = stage(counted.where("times > 1"), "cores")
+    found = source.mapInArrow(_contexts(window, bit_table(several.select("core"))), _ROWS)
+    many = several.where(F.col("times") > _HOT).select("core")
+    if not many.isEmpty():
+        hot = bit_table(many)
+        found = stage(found, "contexts")
+        met = found.mapInArrow(_hot_windows(window, hot), "core bigint, times bigint").groupBy("core").agg(F.sum("times").alias("times"))
+        found = found.mapInArrow(_split(window, hot, bit_table(met.where("times > 1").select("core"))), _ROWS)
     spread = found.repartition("core").sortWithinPartitions("core", "doc", "row", "start")
     spans = spread.mapInArrow(_resolve(window), "doc bigint, row bigint, a bigint, b bigint")
     grouped = spans.groupBy("row", "doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))

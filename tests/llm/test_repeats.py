@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import frame
 from pyspark.sql import functions as F
@@ -129,6 +130,51 @@ def test_short_periods_and_long_texts_in_pieces(spark, monkeypatch):
     assert {(r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()} == {k: v for (k, _), v in want.items()}
 
 
+def common_line():
+    """A line shorter than the window in many documents, with other bytes around it; some passages stand twice."""
+    draw = np.random.default_rng(9)
+    line = "All rights are reserved by the owner of this page."
+    rows = []
+    for i in range(240):
+        before, after = ("".join(draw.choice(list("abcdefgh "), 90)) for _ in range(2))
+        rows.append((i, f"{before}{line}{after}"))
+    rows += [(300 + i, f"new {i} {rows[i * 7][1][20:215]} end {i}") for i in range(30)]
+    return rows + [(400 + i, rows[5][1][30:190] + "z" * i) for i in range(50)] + [rows[9], rows[9]]
+
+
+def test_windows_of_a_hot_sample_meet_in_many_groups(spark, monkeypatch):
+    """What one key of the last shuffle holds stays bounded, and the cuts stay exact."""
+    monkeypatch.setattr(suffixes, "_HOT", 30, raising=False)
+    rows = common_line()
+    docs = frame(spark, rows, "doc_id bigint, text string").repartition(8)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs).collect()}
+    assert got == {k: v for (k, _), v in brute_cut(rows, 100).items()}
+
+    def sizes(window):
+        def count(batches):
+            seen = Counter()
+            for batch in batches:
+                seen.update(c for c, x in zip(batch.column("core").to_pylist(), batch.column("context").is_valid().to_pylist(), strict=True) if x)
+            core, n = list(seen), list(seen.values())
+            zero = pa.array([0] * len(core), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(n, pa.int64()), zero, zero], ["doc", "row", "a", "b"])
+
+        return count
+
+    monkeypatch.setattr(suffixes, "_resolve", sizes)
+    assert 1 < max(r.row for r in suffixes.repeated_spans(docs).collect()) <= 30
+
+
+def test_one_key_of_equal_windows_is_not_held(monkeypatch):
+    monkeypatch.setattr(suffixes, "_HELD", 50, raising=False)
+    n, window = 1000, 100
+    whole = [np.full(n, 7), np.arange(n), np.arange(n) + 5, np.full(n, 3), np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    batches = [suffixes._batch(*[c[i : i + 20] for c in whole], [b"q" * window] * 20) for i in range(0, n, 20)]
+    out = pa.Table.from_batches(list(suffixes._resolve(window)(iter(batches))))
+    assert sorted(out.column("doc").to_pylist()) == list(range(1, n))
+    assert set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)) == {(3, 103)}
+
+
 def test_nothing_to_cut(empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
