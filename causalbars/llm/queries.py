@@ -130,7 +130,7 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = resampling.fit_importance(docs, table(spark, sf_dir, "labels"))
     scored = stage(resampling.score_documents(docs, model).drop("text"), "importance")
-    return resampling.keep_top(scored, model.share)
+    return resampling.keep_top(scored, resampling.good_share(scored, table(spark, sf_dir, "labels")))
 
 
 @query

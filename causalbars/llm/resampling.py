@@ -70,12 +70,17 @@ def _pair(h: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ImportanceModel:
-    """Log ratio of the target's and the raw text's bucket probabilities; ``share`` of good documents among labelled ones."""
+    """Log ratio of the target's and the raw text's bucket probabilities."""
 
     log_ratio: np.ndarray
     word_buckets: int
     shape_buckets: int
-    share: float
+
+
+def _rated(labels: DataFrame, key: str, good: str) -> DataFrame:
+    """(_key, _good): one row per labelled key."""
+    rated = labels.where(F.col(f"`{good}`").isNotNull() & F.col(f"`{key}`").isNotNull())
+    return rated.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max(F.col(f"`{good}`")).cast("int").alias("_good"))
 
 
 def fit_importance(
@@ -95,11 +100,8 @@ def fit_importance(
     At most ``max_labelled`` labelled documents, chosen by a seeded hash, train the target; their ids are what is broadcast.
     The raw counts cover all documents.  A task sends one row per bucket, and the driver gets one row per bucket in all.
     """
-    rated = labels.where(F.col(f"`{good}`").isNotNull() & F.col(f"`{key}`").isNotNull())
-    rated = rated.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max(F.col(f"`{good}`")).cast("int").alias("_good"))
-    chosen = rated.orderBy(F.xxhash64("_key", F.lit(seed)), "_key").limit(max_labelled)
+    chosen = _rated(labels, key, good).orderBy(F.xxhash64("_key", F.lit(seed)), "_key").limit(max_labelled)
     chosen = stage(chosen, "labelled")
-    share = chosen.agg(F.avg("_good")).first()[0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = NgramHasher(word_buckets, shape_buckets)
@@ -126,7 +128,17 @@ def fit_importance(
         target[r.bucket] += r.target
     parts = (slice(0, word_buckets), slice(word_buckets, None))
     ratio = np.concatenate([np.log(target[p] / target[p].sum()) - np.log(raw[p] / raw[p].sum()) for p in parts])
-    return ImportanceModel(ratio, word_buckets, shape_buckets, 0.0 if share is None else float(share))
+    return ImportanceModel(ratio, word_buckets, shape_buckets)
+
+
+def good_share(scored: DataFrame, labels: DataFrame, key: str = "doc_id", good: str = "quality") -> float:
+    """Share of good ones among all labelled documents of ``scored`` that have a word; 0 without any.
+
+    Every label counts once, however many there are: ``max_labelled`` bounds the fit, not this.
+    """
+    worded = scored.where("log_weight is not null").select(F.col(f"`{key}`").alias("_key"))
+    share = _rated(labels, key, good).join(worded, "_key", "left_semi").agg(F.avg("_good")).first()[0]
+    return 0.0 if share is None else float(share)
 
 
 def log_weight(model: ImportanceModel, text: Column) -> Column:
@@ -175,9 +187,9 @@ def select_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     """Documents with log_weight, gumbel_key and kept, as many kept as the labels' share of good ones.
 
     Nulls: a null text has no words and is not kept; a null key gets the noise of its hash; labels with a null key or
-    rating don't count, and with none at all nothing is kept.  Repeated rows get equal keys.  An empty table stays
+    rating or without a document that has a word don't count, and with none at all nothing is kept.  Repeated rows get equal keys.  An empty table stays
     empty; input columns with the added names are replaced.
     """
     model = fit_importance(docs, labels, key, text, seed=seed)
     scored = stage(score_documents(docs, model, key, text, seed), "importance")
-    return keep_top(scored, model.share)
+    return keep_top(scored, good_share(scored, labels, key))

@@ -1,5 +1,6 @@
 """Sharding, mixing, packing, resampling and search: the whole table decides."""
 
+import functools
 import zlib
 from collections import Counter
 
@@ -141,6 +142,14 @@ def test_resampling_tells_target_text_from_the_rest(spark):
     assert not any(r.kept for r in resampling.select_quality(docs, labels.where("false")).collect())
 
 
+def test_all_labels_of_documents_decide_the_share(spark, monkeypatch):
+    """Also those that the fit leaves out, and none of a document that is missing or has no word."""
+    monkeypatch.setattr(resampling, "fit_importance", functools.partial(resampling.fit_importance, max_labelled=7))
+    docs = frame(spark, [(i, f"word{i % 13} of {i}") for i in range(500)] + [(500, " "), (501, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 < 7)) for i in range(400)] + [(i, 0) for i in range(500, 900)], "doc_id bigint, quality int")
+    assert resampling.select_quality(docs, labels).where("kept").count() == 350
+
+
 def test_top_k_keeps_exactly_k(spark):
     scored = frame(spark, [(i, float(i % 97) + i / 1e4) for i in range(500)] + [(500, None)], "id int, gumbel_key double")
     for share in (0.0, 0.1, 0.333, 0.9, 1.0):
