@@ -2,16 +2,16 @@
 
 Prices, profit and loss, equity and all statistics are relational.  Only the
 admission of signals under a cap on open positions is a state machine; it runs
-per strategy, on rows that a relational step has first bounded to
-``cap x days``.
+as a stream in the order of days, from the first day on that a relational
+step cannot decide.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,31 +91,55 @@ def with_trade_days(trades: DataFrame) -> DataFrame:
     )
 
 
-def _admission():
-    """Admission of one strategy's bounded rows; see ``admit_signals``.
+def _admission(initial_capital: float):
+    """Admission of rows that come by strategy, day and rank; see ``admit_signals``.
 
-    A closure, so that it travels to the executors by value.
+    The state is the open account of one strategy: capital, open positions, and one entry per day on which some will
+    close.  Rows of rank 0 are the opening balance.
     """
 
-    def admit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["open_day", "rank"])
-        capital, cap = float(rows["capital"].iloc[0]), int(rows["cap"].iloc[0])
-        open_trades: list[tuple] = []
-        taken = []
-        for today, day in rows.groupby("open_day", sort=True):
-            while open_trades and open_trades[0][0] <= today:
-                capital += heapq.heappop(open_trades)[1]
-            for i, closes, cost, net in zip(day.index, day["close_day"], day["entry_cost"], day["net_pnl"]):
-                if len(open_trades) >= cap or capital <= 0:
-                    break
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sid, today, capital, n_open = None, None, initial_capital, 0
+        pending: dict = {}
+        days: list = []
+
+        def later(day, n: int, cash: float) -> None:
+            if day not in pending:
+                pending[day] = [0, 0.0]
+                heapq.heappush(days, day)
+            pending[day][0] += n
+            pending[day][1] += cash
+
+        for batch in batches:
+            taken = []
+            rows = zip(*[batch.column(c).to_pylist() for c in _NARROW], strict=True)
+            for i, (strategy, day, rank, closes, n, cost, net, cap) in enumerate(rows):
+                if strategy != sid:
+                    sid, today, capital, n_open = strategy, None, initial_capital, 0
+                    pending.clear(), days.clear()
+                if rank == 0:
+                    later(closes, n, net)
+                    continue
+                if day != today:
+                    today = day
+                    while days and days[0] <= today:
+                        moved, cash = pending.pop(heapq.heappop(days))
+                        n_open += moved
+                        capital += cash
+                if n_open >= cap or capital <= 0:
+                    continue
                 capital += cost
-                heapq.heappush(open_trades, (closes, net))
+                n_open += 1
+                later(closes, n, net)
                 taken.append(i)
-        return rows.loc[taken, [STRATEGY, "open_day", "rank"]]
+            yield batch.take(pa.array(taken, pa.int64())).select([STRATEGY, "open_day", "rank"])
 
     return admit
 
 
+_NARROW = (STRATEGY, "open_day", "rank", "close_day", "n", "entry_cost", "net_pnl", "cap")
+
+
 def admit_signals(
     trades: DataFrame, initial_capital: float, max_concurrent: int | str, ties: Sequence[str] = ("ticker",)
 ) -> DataFrame:
@@ -124,21 +148,23 @@ def admit_signals(
     ``max_concurrent`` is a number or the name of a per-strategy column.  Signals
     are offered in (t0, ties) order.  Days start by closing what has expired; a
     full book or capital used up ends a day's entries; signals without a usable
-    price are passed over.  Strategies whose cap and capital never bind are
-    recognised from daily totals and keep all their trades.  For the others, no
-    day can admit more than the cap, so the first ``cap`` usable signals of each day
-    decide everything: they are found by a ranked limit (which Spark applies before
-    the shuffle up to its own limit of 1,000), and what reaches the state machine is
-    at most cap x days rows.  Signals of one ticker and time count one by one.
+    price are passed over.  Up to the first day on which taking every trade would break
+    cap or capital, nothing is refused: these days are decided from daily totals, all of them for
+    most strategies.  The days from there on are walked through in order, as a stream that
+    starts with the account of the days before, one row per day on which some of its positions close.
+    No day can admit more than the cap, so only the first ``cap`` usable signals of each of these days
+    are sent: they are found by a ranked limit (which Spark applies before
+    the shuffle up to its own limit of 1,000).  Signals of one ticker and time count one by one.
     """
     cap = F.col(max_concurrent) if isinstance(max_concurrent, str) else F.lit(max_concurrent)
     usable = with_trade_days(trades).where(F.col("entry_price").isNotNull() & (F.col("entry_price") > 0))
-    slack = stage(_never_bound(usable.withColumn("_cap", cap), initial_capital), "slack")
-    free = usable.join(slack.where("slack").select(STRATEGY), STRATEGY, "left_semi")
-    bound = usable.join(slack.where("NOT slack").select(STRATEGY, "largest"), STRATEGY)
+    slack = stage(_first_bound(usable.withColumn("_cap", cap), initial_capital), "slack")
+    placed = usable.join(slack, STRATEGY)
+    free = placed.where(F.col("_from").isNull() | (F.col("open_day") < F.col("_from")))
+    bound = placed.where(F.col("open_day") >= F.col("_from"))
 
     # One number: a constant bound is what lets Spark cut the ranking before the shuffle.
-    largest = slack.where("NOT slack").agg(F.max("largest")).first()[0] or 0
+    largest = slack.where(F.col("_from").isNotNull()).agg(F.max("largest")).first()[0] or 0
     by_day = Window.partitionBy(STRATEGY, "open_day").orderBy("t0", *ties)
     bound = bound.withColumn("rank", F.row_number().over(by_day)).where(F.col("rank") <= F.lit(largest))
     # Stored: a signal is known by its day and rank, also where others have its ticker and time.
@@ -148,42 +174,51 @@ def admit_signals(
         "open_day",
         "rank",
         "close_day",
-        "entry_cost",
-        "net_pnl",
+        F.lit(-1).cast("long").alias("n"),
+        F.coalesce("entry_cost", F.lit(0.0)).alias("entry_cost"),
+        F.coalesce("net_pnl", F.lit(0.0)).alias("net_pnl"),
         cap.cast("long").alias("cap"),
-        F.lit(float(initial_capital)).alias("capital"),
     )
+    opening = (
+        free.where(F.col("_from").isNotNull())
+        .select(STRATEGY, "_from", F.explode(_moves()).alias("m"))
+        .groupBy(STRATEGY, F.col("_from").alias("open_day"), F.greatest("m.day", "_from").alias("close_day"))
+        .agg(F.sum("m.n").cast("long").alias("n"), F.coalesce(F.sum("m.cash"), F.lit(0.0)).alias("net_pnl"))
+        .withColumns({"rank": F.lit(0), "entry_cost": F.lit(0.0), "cap": F.lit(0).cast("long")})
+    )
+    in_order = narrow.unionByName(opening).repartition(STRATEGY).sortWithinPartitions(STRATEGY, "open_day", "rank").select(*_NARROW)
     schema = T.StructType([narrow.schema[c] for c in (STRATEGY, "open_day", "rank")])
-    taken = narrow.groupBy(STRATEGY).applyInPandas(_admission(), schema)
-    admitted = bound.join(taken, [STRATEGY, "open_day", "rank"], "left_semi").drop("rank", "largest")
-    return free.unionByName(admitted)
-
+    taken = in_order.mapInArrow(_admission(float(initial_capital)), schema)
+    admitted = bound.join(taken, [STRATEGY, "open_day", "rank"], "left_semi")
+    return free.drop("_from", "largest").unionByName(admitted.drop("rank", "_from", "largest"))
 
-def _never_bound(trades: DataFrame, initial_capital: float) -> DataFrame:
-    """Per strategy: would taking every trade keep within the cap and the capital?
 
-    If, with all trades taken, no day ends with more open positions than the cap or
-    without capital, then no signal was ever refused and the account need not be
-    walked through.  Runs on one row per strategy and day.
-    """
-    moves = F.array(
+def _moves() -> Column:
+    """What a trade does to the account when it opens and when it closes."""
+    return F.array(
         F.struct(F.col("open_day").alias("day"), F.lit(1).alias("n"), F.col("entry_cost").alias("cash")),
         F.struct(F.col("close_day").alias("day"), F.lit(-1).alias("n"), F.col("net_pnl").alias("cash")),
     )
+
+
+def _first_bound(trades: DataFrame, initial_capital: float) -> DataFrame:
+    """Per strategy ``_from``: the first day that would end above the cap or without capital if every trade were taken.
+
+    Before it no signal is refused, and where it is null none ever is, so the account need not be
+    walked through.  Runs on one row per strategy and day.
+    """
     days = (
-        trades.select(STRATEGY, "_cap", F.explode(moves).alias("m"))
+        trades.select(STRATEGY, "_cap", F.explode(_moves()).alias("m"))
         .groupBy(STRATEGY, F.col("m.day").alias("day"))
         .agg(F.sum("m.n").alias("n"), F.sum("m.cash").alias("cash"), F.min("_cap").alias("_cap"))
     )
     by_day = so_far(Window.partitionBy(STRATEGY).orderBy("day"))
+    held = F.coalesce((F.col("_open") <= F.col("_cap")) & (F.col("_capital") > 0), F.lit(False))
     return (
         days.withColumn("_open", F.sum("n").over(by_day))
-        .withColumn("_capital", F.lit(float(initial_capital)) + F.sum("cash").over(by_day))
+        .withColumn("_capital", F.lit(float(initial_capital)) + F.coalesce(F.sum("cash").over(by_day), F.lit(0.0)))
         .groupBy(STRATEGY)
-        .agg(
-            ((F.max(F.col("_open") - F.col("_cap")) <= 0) & (F.min("_capital") > 0)).alias("slack"),
-            F.max("_cap").cast("long").alias("largest"),
-        )
+        .agg(F.min(F.when(~held, F.col("day"))).alias("_from"), F.max("_cap").cast("long").alias("largest"))
     )
 
 

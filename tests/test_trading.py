@@ -349,3 +349,34 @@ def test_equal_signals_count_one_by_one(spark):
     admitted = backtest.admit_signals(trades, 1000.0, 2)
     assert sorted(r.ticker for r in admitted.collect()) == ["A", "B"]
     assert backtest.admit_signals(trades, 1000.0, 5000).count() == 3
+
+
+def test_only_days_from_the_first_refusal_on_are_walked_through(spark, monkeypatch):
+    """Capital that runs out late under an unlimited cap, and comes back when later positions close."""
+    rng = np.random.default_rng(12)
+    first = dt.datetime(2024, 1, 1, 10)
+    rows = []
+    for d in range(120):
+        for k in range(3):
+            net = -400.0 if (d, k) == (80, 0) else 500.0 if (d, k) == (81, 0) else float(rng.normal(0, 1))
+            ends = d + (20 if (d, k) == (81, 0) else int(rng.integers(1, 9)))
+            rows.append((0, f"T{k}", first + dt.timedelta(days=d), first + dt.timedelta(days=ends), 10.0, -0.1, net))
+    schema = "strategy_id int, ticker string, t0 timestamp, t1 timestamp, entry_price double, entry_cost double, net_pnl double"
+    capital, book, want = 300.0, [], []
+    for d in range(120):
+        today = first + dt.timedelta(days=d)
+        capital += sum(r[6] for r in book if r[3] <= today)
+        book = [r for r in book if r[3] > today]
+        for r in (r for r in rows if r[2] == today):
+            if capital <= 0:
+                break
+            capital += r[5]
+            book.append(r)
+            want.append((r[2], r[1]))
+    assert 250 < len(want) < 350
+    stored = {}
+    keep = backtest.stage
+    monkeypatch.setattr(backtest, "stage", lambda df, name: stored.setdefault(name, keep(df, name)))
+    got = backtest.admit_signals(spark.createDataFrame(rows, schema).repartition(4), 300.0, 1_000_000)
+    assert sorted((r.t0, r.ticker) for r in got.collect()) == sorted(want)
+    assert 0 < stored["bound"].count() < 150
