@@ -949,7 +949,7 @@ def evaluation_report(spark, sf):
 
 @query
 def research_report(spark, sf):
-    """The whole chain on bars with news: features with sentiment and regime, labels, purged folds, a classifier's
+    """The chain without conformal calibration and meta model, on bars with news: features with sentiment and regime, labels, purged folds, a classifier's
     out-of-fold forecasts, sizes under two position limits, a capped backtest and its report."""
     number = F.substring("ticker", 2, 9).cast("int")
     bars = tables.intraday_bars(spark, sf, GRID_SECONDS).withColumns(
