@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalbars.llm import forest, minhash, mixing, oracles, packing, pii, quality, resampling, sharding, suffixes, urls
+from causalbars.llm import alignment, forest, minhash, mixing, oracles, packing, pii, quality, resampling, sharding, suffixes, urls
 from causalbars.llm.common import n_words, table
 from causalbars.plans.staging import stage
 
@@ -124,6 +124,32 @@ def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers on every document, and how common its links are."""
+    aligned = alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path())
+    digest = aligned.select(
+        "_row",
+        "doc_id",
+        "n_a",
+        "n_b",
+        "n_groups",
+        "n_links",
+        F.when(F.col("groups") == "", "").otherwise(F.sha2(F.encode("groups", "UTF-8"), 256)).alias("groups_sha256"),
+    )
+    return (
+        digest.join(alignment.link_scores(aligned), "_row", "left")
+        .drop("_row")
+        .fillna(0, ["n_best", "count_sum"])
+    )
+
+
 @query
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log importance weight of every document and whether the Gumbel top-k keeps it."""
