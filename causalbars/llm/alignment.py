@@ -20,6 +20,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,6 +117,7 @@ class Encoders:
         self.a, self.b = ByteIds(a_path, plain=True), PieceIds(b_path)
         self.a_bytes, self.b_bytes = self.a.bytes_of(), self.b.bytes_of()
         self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_name, self.b_name = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
 
     def a_text(self, ids: list[int]) -> bytes:
         return b"".join([self.a_bytes[i] for i in ids])
@@ -127,31 +129,40 @@ class Encoders:
 class WordFragments(PartTable):
     """The closed groups of every word."""
 
-    def __init__(self, encoders: Encoders):
+    def __init__(self, encoders: Encoders, words: int = 200_000):
         self.encoders = encoders
-        super().__init__(" ")
+        super().__init__(" ", words)
 
     def forget(self) -> None:
         super().forget()
-        self.n_a, self.n_b, self.n_groups, self.sound = Grown(np.int64), Grown(np.int64), Grown(np.int64), Grown(bool)
+        self.n_a, self.n_b, self.n_groups, self.sound = Grown(np.int32), Grown(np.int32), Grown(np.int32), Grown(bool)
         self.text: list[str] = []
-        self.links = Ragged(np.int64)
+        self.links = Ragged(np.int32)
         self.pairs: dict[int, int] = {}
 
     def learn(self, parts: list[str]) -> None:
         e = self.encoders
-        texts, groups, links, sound = [], [], [], []
+        a_name, b_name = e.a_name, e.b_name
         a_ids, b_ids = e.a.encode(parts), e.b.encode(parts)
+        groups, links, sound = [], [], []
         for part, a, b in zip(parts, a_ids, b_ids, strict=True):
-            raw = part.encode()
-            good = e.a_text(a) == raw and e.b_text(b) == raw
-            found, _ = Tokens(a, list(accumulate([e.a_size[i] for i in a])), b, list(accumulate([e.b_size[i] for i in b]))).groups() if good else ([], None)
-            text, pairs = _close(found)
-            texts.append(text[0] if text else "")
-            groups.append(len(found))
+            raw, text, pairs = part.encode(), [], []
+            if good := e.a_text(a) == raw and e.b_text(b) == raw:
+                # One pass over A's tokens; B's are taken up to the end of each.
+                a_end = b_end = a_from = b_from = j = 0
+                for i, x in enumerate(a):
+                    a_end += e.a_size[x]
+                    while b_end < a_end:
+                        b_end += e.b_size[b[j]]
+                        j += 1
+                    if a_end == b_end:
+                        text.append(f"{','.join([a_name[k] for k in a[a_from : i + 1]])}|{','.join([b_name[k] for k in b[b_from:j]])}")
+                        pairs.append(x << _PAIR | b[j - 1])
+                        a_from, b_from = i + 1, j
+            self.text.append(";".join(text))
+            groups.append(len(text))
             links.append([self.pairs.setdefault(p, len(self.pairs)) for p in pairs])
             sound.append(good)
-        self.text += texts
         self.n_a.extend([len(a) for a in a_ids])
         self.n_b.extend([len(b) for b in b_ids])
         self.n_groups.extend(groups)
@@ -163,7 +174,7 @@ class WordFragments(PartTable):
         codes, sizes = self.split(texts)
         starts = np.cumsum(sizes) - sizes
         sound = np.logical_and.reduceat(self.sound.view()[codes], starts)
-        out = {n: np.where(sound, np.add.reduceat(c.view()[codes], starts), 0) for n, c in (("n_a", self.n_a), ("n_b", self.n_b), ("n_groups", self.n_groups))}
+        out = {n: np.where(sound, np.add.reduceat(c.view()[codes], starts, dtype=np.int64), 0) for n, c in (("n_a", self.n_a), ("n_b", self.n_b), ("n_groups", self.n_groups))}
         at, text = codes.tolist(), self.text.__getitem__
         out["groups"] = [";".join(map(text, at[s : s + n])) if good else "" for s, n, good in zip(starts.tolist(), sizes.tolist(), sound.tolist(), strict=True)]
         # Links of each text, equal ones counted.
@@ -221,10 +232,11 @@ def align_tokens(
 
         arrow, words = to_arrow_schema(schema), _words(a_path, b_path)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for some in slices(np.array([len(t or "") for t in texts]), 2_000_000):
-                full = np.array([bool(t) for t in texts[some]])
-                found = _spread(words.align([t for t in texts[some] if t]), full) if full.any() else _nothing(len(full))
+            keys = batch.column(0)
+            for some in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), 1_000_000):
+                texts = batch.column(1).slice(some.start, some.stop - some.start).to_pylist()
+                full = np.array([bool(t) for t in texts])
+                found = _spread(words.align([t for t in texts if t]), full) if full.any() else _nothing(len(full))
                 found["n_links"] = found["n_groups"]
                 yield pa.RecordBatch.from_arrays([keys[some.start : some.stop].cast(arrow.field(0).type), *[pa.array(found[f.name], f.type) if not isinstance(found[f.name], pa.Array) else found[f.name].cast(f.type) for f in list(arrow)[1:]]], schema=arrow)
 
