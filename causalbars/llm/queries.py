@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalbars.llm import alignment, forest, minhash, mixing, oracles, packing, pii, quality, resampling, sharding, suffixes, urls
+from causalbars.llm import alignment, forest, minhash, mixing, oracles, packing, phrases, pii, quality, resampling, sharding, suffixes, urls
 from causalbars.llm.common import n_words, table
 from causalbars.plans.staging import stage
 
@@ -150,6 +150,20 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in benchmark passages of ten words, and the items they come from."""
+    judged = phrases.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @query
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log importance weight of every document and whether the Gumbel top-k keeps it."""
