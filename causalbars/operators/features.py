@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from causalbars.functions.exprs import floored, preceding, rolling, so_far
+from causalbars.functions.exprs import floored, preceding, rolling
 from causalbars.plans.series import DAILY, BlockedSeries, SeriesSpec, block_series, drop_internal, numbered
 from causalbars.plans.staging import stage
 
-# Window lengths of the reference feature set.
+# Window lengths and names of the reference feature set.
 VOL_WINDOW = 20
 MOMENTUM_WINDOWS = (5, 20, 60)
 ADV_WINDOW = 20
@@ -172,27 +172,22 @@ def sequence_windows(
         *keys, F.col("t0").alias("_ts"), F.struct(*events.columns).alias("_event"), F.lit(0).alias("_is_row")
     )
     both = probes.unionByName(rows, allowMissingColumns=True)
-    blocks = block_series(both, length, spec=series, weight=F.col("_is_row"))
-    # An event sees the rows counted before it; events sort before a row of the same time.
-    seen = F.sum("_is_row").over(so_far(blocks.window("_is_row")))
-    by_seen = Window.partitionBy(*keys, "_block").orderBy("_seen")
-    window_rows = F.collect_list(F.struct("_ts", "_x")).over(by_seen.rangeBetween(-(length - 1), 0))
+    blocks = block_series(both, 0, spec=series, weight=F.col("_is_row"))
+    # Events sort before a row of the same time, so the position of the row before them is that of their last feature row.
+    placed = blocks.df.withColumn("_pos", blocks.position("_is_row")).select(*keys, "_pos", "_is_row", "_x", "_event")
+    placed = stage(placed, "positions")
+    n_rows = F.least(F.col("_pos") + 1, F.lit(length)).cast("int")
+    seen = placed.where("_is_row = 0").withColumn("n_rows", n_rows).where(F.col("n_rows") >= max(length // 2, 1))
+    # Feature vectors are moved for the windows of events only, once for events of one place.
+    wanted = seen.select(*keys, F.col("_pos").alias("_last"), "n_rows").distinct()
+    wanted = wanted.select(*keys, "_last", F.explode(F.sequence(F.col("_last") - F.col("n_rows") + 1, F.col("_last"))).alias("_pos"))
+    held = wanted.join(placed.where("_is_row = 1").select(*keys, "_pos", "_x"), [*keys, "_pos"])
+    windows = held.groupBy(*keys, F.col("_last").alias("_pos")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda r: r["_x"]).alias("_rows")
+    )
     zero_row = F.array(*[F.lit(0.0).cast("float") for _ in columns])
-    return (
-        blocks.df.withColumn("_seen", seen)
-        .withColumn("_rows", _feature_vectors(window_rows))
-        .where((F.col("_is_row") == 0) & blocks.own_rows())
-        .withColumn("n_rows", F.size("_rows"))
-        .where(F.col("n_rows") >= length // 2)
-        .select(
-            "_event.*",
-            "n_rows",
-            F.concat(F.array_repeat(zero_row, F.lit(length) - F.col("n_rows")), F.col("_rows")).alias("sequence"),
-        )
+    return seen.join(windows, [*keys, "_pos"]).select(
+        "_event.*",
+        "n_rows",
+        F.concat(F.array_repeat(zero_row, F.lit(length) - F.col("n_rows")), F.col("_rows")).alias("sequence"),
     )
-
-
-def _feature_vectors(collected: Column) -> Column:
-    """Drop probe entries, order by time and keep the feature vectors."""
-    rows = F.filter(collected, lambda r: r["_x"].isNotNull())
-    return F.transform(F.array_sort(rows), lambda r: r["_x"])

@@ -45,34 +45,71 @@ def label_candidates(
     return drop_internal(df.where(blocks.own_rows() & keep).withColumnRenamed("_pos", "bar_no"))
 
 
-def _with_path(blocks: BlockedSeries, price: str, max_holding: int, vol_window: int) -> DataFrame:
-    """Add volatility and the bars ahead; both windows share the block's sort order."""
-    df, w = blocks.df, blocks.window()
-    ts = blocks.spec.ts
-    ahead = F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(price).alias("px"))).over(
-        w.rowsBetween(1, max_holding)
-    )
-    return (
-        df.withColumn("_lr", F.log(F.try_divide(F.col(price), F.lag(price).over(w))))
-        .withColumn("_vol", rolling(F.stddev_samp, "_lr", preceding(w, vol_window), 5))
-        .withColumn("_ahead", ahead)
+BRANCH = 16  # price bars, or segments, in a segment of the next level
+
+
+def _first_touch(placed: DataFrame, events: DataFrame, keys: list[str], max_holding: int) -> DataFrame:
+    """Attach to each event ``_hit`` (level, seg, ts, px), the first bar behind it beyond one of its barriers, and ``_last``.
+
+    ``placed`` holds the bars (keys, _pos, _ts, _px).  An event at ``_pos`` looks at the bars up to ``_limit``, where ``_last`` (ts, px) stands.
+    A table of lowest and highest prices of aligned segments of 16, 256, ... bars says whether a segment can hold a
+    touch.  The event's bars are covered by few segments, small ones first; the first that holds a
+    touch is opened level by level.  An event thus asks for some 30 rows a level, whatever ``max_holding`` is.
+    """
+    px, at = F.col("_px"), F.struct(F.col("_ts").alias("ts"), F.col("_px").alias("px"))
+    top = 0
+    while BRANCH ** (top + 1) <= max_holding:
+        top += 1
+    table = placed.select(*keys, F.lit(0).alias("_level"), F.col("_pos").alias("_seg"), px.alias("_low"), px.alias("_high"), at.alias("_bar"))
+    below = table
+    for level in range(1, top + 1):
+        seg = F.floor(F.col("_seg") / BRANCH).alias("_seg")
+        below = stage(below.groupBy(*keys, seg).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")), "price-segments")
+        table = table.unionByName(below.withColumn("_level", F.lit(level)), allowMissingColumns=True)
+
+    first, limit, covers = F.col("_pos") + 1, F.col("_limit"), []
+    for level in range(top + 1):
+        last = F.floor(limit / BRANCH**level)
+        end = last if level == top else F.least(F.ceil(first / BRANCH) * BRANCH - 1, last)
+        segs = F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))
+        covers.append(_segments(segs, level, False))
+        first = F.ceil(first / BRANCH)
+    covers.append(_segments(F.array(limit), 0, True))
+
+    event = [*keys, "_pos", "_up", "_down"]
+    touches = (F.col("_high") >= F.col("_up")) | (F.col("_low") <= F.col("_down"))
+    found = F.struct("_level", "_seg", F.col("_bar.ts").alias("ts"), F.col("_bar.px").alias("px"))
+    asked = events.select(*event, F.inline(F.flatten(F.array(*covers))))
+    met = asked.join(table, [*keys, "_level", "_seg"])
+    hits = met.groupBy(*event).agg(
+        F.min(F.when(touches & ~F.col("_is_last"), found)).alias("_hit"), F.max(F.when(F.col("_is_last"), F.col("_bar"))).alias("_last")
     )
+    for level in range(top, 0, -1):
+        hits = stage(hits, "touches")
+        opened = F.col("_hit._level") == level
+        inner = F.explode(F.sequence(F.col("_hit._seg") * BRANCH, F.col("_hit._seg") * BRANCH + BRANCH - 1)).alias("_seg")
+        asked = hits.where(opened).select(*event, "_last", F.lit(level - 1).alias("_level"), inner)
+        met = asked.join(table, [*keys, "_level", "_seg"]).where(touches)
+        deeper = met.groupBy(*event).agg(F.min(found).alias("_hit"), F.first("_last").alias("_last"))
+        hits = hits.where(~F.coalesce(opened, F.lit(False))).unionByName(deeper)
+    return events.join(hits.drop("_up", "_down"), [*keys, "_pos"]).withColumn("_hit", F.when(F.col("_hit._seg") <= limit, F.col("_hit")))
+
+
+def _segments(numbers: Column, level: int, is_last: bool) -> Column:
+    return F.transform(numbers, lambda s: F.struct(F.lit(level).alias("_level"), s.alias("_seg"), F.lit(is_last).alias("_is_last")))
 
 
-def _outcome(events: DataFrame, price: str, ts: str, pt: float, sl: float, vertical_weight: float) -> DataFrame:
-    """First barrier touch of each event row; the upper barrier is tested first."""
-    p0 = F.col(price)
-    df = events.withColumns({"_up": p0 * (1.0 + pt * F.col("sigma_t0")), "_down": p0 * (1.0 - sl * F.col("sigma_t0"))})
-    touched = F.filter("_ahead", lambda b: (b["px"] >= F.col("_up")) | (b["px"] <= F.col("_down")))
-    here = F.struct(F.col(ts).alias("ts"), p0.alias("px"))
-    last = F.coalesce(F.try_element_at("_ahead", F.lit(-1)), here)
-    df = df.withColumn("_hit", F.get(touched, F.lit(0))).withColumn("_exit", F.coalesce("_hit", last))
+def _outcome(events: DataFrame, vertical_weight: float) -> DataFrame:
+    """Labels from the first barrier touch of each event row; the upper barrier is tested first."""
+    p0 = F.col("_px")
+    hit = F.struct(F.col("_hit.ts").alias("ts"), F.col("_hit.px").alias("px"))
+    df = events.withColumn("_exit", F.when(F.col("_hit").isNull(), F.col("_last")).otherwise(hit))
     ret = (F.col("_exit.px") - p0) / p0
     kind = (
         F.when(F.col("_hit").isNull(), "vertical").when(F.col("_hit.px") >= F.col("_up"), "upper").otherwise("lower")
     )
     return (
-        df.withColumn("t0", F.col(ts))
+        df.withColumn("t0", F.col("_ts"))
         .withColumn("t1", F.col("_exit.ts"))
         .withColumn("return_at_touch", ret)
         .withColumn("barrier_type", kind)
@@ -116,17 +153,38 @@ def barrier_labels(
         wanted = events.withColumnRenamed("t0", spec.ts).withColumn("_wanted", F.lit(True))
         wanted = wanted.select(*keys, spec.ts, "_wanted", *[c for c in ("sigma",) if c in events.columns])
         bars = bars.join(wanted, [*keys, spec.ts], "left")
-    blocks = block_series(bars, vol_window + 1, max_holding, spec)
-    df = _with_path(blocks, price, max_holding, vol_window)
+    blocks = block_series(bars, vol_window + 1, 0, spec)
+    w = blocks.window()
+    df = (
+        blocks.df.withColumn("_lr", F.log(F.try_divide(F.col(price), F.lag(price).over(w))))
+        .withColumn("_vol", rolling(F.stddev_samp, "_lr", preceding(w, vol_window), 5))
+        .withColumn("_pos", blocks.position())
+    )
     if events is None:
-        df = df.withColumn("_pos", blocks.position())
         keep = _candidate(blocks, max_holding, vol_window, spacing, min_events)
     else:
         keep = F.coalesce(F.col("_wanted"), F.lit(False))
-    df = df.where(blocks.own_rows() & keep)
     sigma = F.col("sigma") if events is not None and "sigma" in events.columns else F.col("_vol")
-    df = df.withColumn("sigma_t0", F.when(sigma.isNotNull(), F.greatest(sigma, F.lit(vol_floor))))
-    return _outcome(df, price, spec.ts, pt, sl, vertical_weight).select(*keys, *LABEL_COLUMNS, *extra)
+    placed = df.where(blocks.own_rows()).select(
+        *keys,
+        F.col(spec.ts).alias("_ts"),
+        F.col(price).alias("_px"),
+        "_pos",
+        F.when(
+            keep,
+            F.struct(
+                F.least(F.col("_pos") + max_holding, blocks.series_length() - 1).alias("_limit"),
+                F.when(sigma.isNotNull(), F.greatest(sigma, F.lit(vol_floor))).alias("sigma_t0"),
+                *extra,
+            ),
+        ).alias("_event"),
+    )
+    placed = stage(placed, "positions")
+    chosen = placed.where("_event is not null").select(*keys, "_ts", "_px", "_pos", "_event.*")
+    p0, move = F.col("_px"), F.col("sigma_t0")
+    chosen = chosen.withColumns({"_up": p0 * (1.0 + pt * move), "_down": p0 * (1.0 - sl * move)})
+    touched = _first_touch(placed.drop("_event"), chosen, keys, max_holding)
+    return _outcome(touched, vertical_weight).select(*keys, *LABEL_COLUMNS, *extra)
 
 
 def with_overlap_counts(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalbars.functions.exprs import rolling
-from causalbars.plans.series import SeriesSpec, asof_join, global_position
+from causalbars.plans.series import SeriesSpec, asof_join, global_position, running_totals
 from causalbars.plans.staging import stage
 
 # Regime window, minimum history, number of regimes.
@@ -28,36 +28,41 @@ def cross_section_of_rolling(
     """Mean over tickers of a rolling statistic on the common timestamp grid.
 
     The statistic runs over the last ``window`` grid steps; a ticker that has no row
-    at a step still contributes while it has ``min_count`` values in reach.  Instead
-    of a timestamps x tickers table, each row is extended over the gap to the
-    ticker's next row, by at most ``window`` steps, and only where the history is
-    long enough to matter.
+    at a step still contributes while it has ``min_count`` values in reach.  A ticker's statistic
+    changes only where one of its rows enters or leaves the window, so each row brings two change points, and the
+    cross-section is the running total of their differences.  A value that is not finite makes the mean NaN while it is in reach.
     """
     points = df.where(F.col(value).isNotNull()).select("ticker", "timestamp", F.col(value).alias("_x"))
-    grid = _grid(points)
-    reach = window - 1
+    grid = stage(_grid(points), "grid")
     size = max(rows_per_block, 2 * window)
     home = F.floor(F.col("g") / size)
     placed = (
         points.join(grid, "timestamp")
         .drop("timestamp")
-        .withColumn("_block", F.explode(F.sequence(home, F.floor((F.col("g") + 2 * reach) / size))))
+        .withColumn("_block", F.explode(F.sequence(home, F.floor((F.col("g") + 2 * window) / size))))
     )
+    enters, leaves = F.struct("g", "_x"), F.struct((F.col("g") + window).alias("g"), F.lit(None).cast("double").alias("_x"))
+    changes = placed.select("ticker", "_block", F.inline(F.array(enters, leaves)))
     by_block = Window.partitionBy("ticker", "_block").orderBy("g")
-    trailing = by_block.rangeBetween(-reach, 0)
-    last_step = F.least(
-        F.coalesce(F.lead("g").over(by_block) - 1, F.col("g") + reach),
-        F.when(F.count("_x").over(trailing) >= min_count, F.col("g") + reach).otherwise(F.col("g")),
+    odd = F.isnan("_r") | (F.abs("_r") == float("inf"))
+    now = F.struct(
+        F.when(~odd, F.col("_r")).otherwise(0.0).alias("r"),
+        F.when(F.col("_r").isNotNull(), 1).otherwise(0).alias("n"),
+        F.when(odd, 1).otherwise(0).alias("odd"),
     )
-    filled = placed.withColumn("_last", last_step).select(
-        "ticker", "_block", F.posexplode(F.sequence("g", "_last")).alias("_step", "g"), "_x"
+    before = F.lag("_now").over(by_block)
+    moved = (
+        changes.withColumn("_r", rolling(stat, "_x", by_block.rangeBetween(-(window - 1), 0), min_count))
+        .withColumn("_now", now)
+        .withColumn("_before", before)
+        .where(F.floor(F.col("g") / size) == F.col("_block"))
     )
-    filled = filled.withColumn("_x", F.when(F.col("_step") == 0, F.col("_x")))
-    stats = filled.withColumn("_r", rolling(stat, "_x", trailing, min_count)).where(
-        F.floor(F.col("g") / size) == F.col("_block")
+    deltas = moved.groupBy("g").agg(
+        *[F.sum(F.col(f"_now.{c}") - F.coalesce(F.col(f"_before.{c}"), F.lit(0))).alias(c) for c in ("r", "n", "odd")]
     )
-    per_step = stats.groupBy("g").agg(F.avg("_r").alias(name))
-    return grid.join(per_step, "g").select("timestamp", name)
+    totals = running_totals(deltas, "g", ["r", "n", "odd"], bucket=F.floor(F.col("g") / 4096))
+    mean = F.when(F.col("odd_cum") > 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col("r_cum"), F.col("n_cum")))
+    return grid.join(totals, "g").select("timestamp", mean.alias(name))
 
 
 def regime_inputs(features: DataFrame, window: int = REGIME_WINDOW, min_count: int = REGIME_MIN_ROWS) -> DataFrame:

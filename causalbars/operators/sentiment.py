@@ -1,4 +1,4 @@
-"""Bar-interval inference, the news-to-bar range join, decayed sentiment."""
+"""Bar-interval inference and decayed sentiment."""
 
 from __future__ import annotations
 
@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from causalbars.functions.exprs import MICROS, seconds
 from causalbars.plans.quantiles import exact_quantiles
 from causalbars.plans.staging import stage
-from causalbars.plans.series import DAILY, SeriesSpec, block_series
+from causalbars.plans.series import DAILY, SeriesSpec, block_series, ordered_parts, running_in_parts
 
 # Decay horizon in bars, decay rate, fallback bar interval.
 DECAY_BARS = 12
 DECAY_RATE = 3.0
 FALLBACK_SECONDS = 300.0
 
+# Order of rows at one moment: a story is seen by a bar that looks back from it, and by one that looks back to it.
+_FROM, _STORY, _UP_TO = 0, 1, 2
+
 
 def bar_interval(bars: DataFrame, spec: SeriesSpec = DAILY) -> DataFrame:
     """One row: the median over tickers of the median time between bars, in seconds."""
@@ -28,24 +31,6 @@ def bar_interval(bars: DataFrame, spec: SeriesSpec = DAILY) -> DataFrame:
     return overall.agg(F.coalesce(F.max("bar_seconds"), F.lit(FALLBACK_SECONDS)).alias("bar_seconds"))
 
 
-def range_join(
-    intervals: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, at: str, width: int
-) -> DataFrame:
-    """Inner join of points with the closed intervals ``[start, end]`` they fall into.
-
-    All three are whole microseconds and no interval is longer than ``width``.
-    Cutting time into buckets of ``width``, an interval meets its start's bucket
-    and the next one only, while a point lies in exactly one: an equi-join on
-    (keys, bucket) that no pair passes twice.  A hot bucket is split by the
-    adaptive skew join, both sides being plain shuffled inputs.
-    """
-    first = F.floor(F.col(start) / width)
-    left = intervals.withColumn("_cell", F.explode(F.array(first, first + 1)))
-    right = points.withColumn("_cell", F.floor(F.col(at) / width))
-    pairs = left.join(right, [*keys, "_cell"])
-    return pairs.where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_cell")
-
-
 def neutral_sentiment(bars: DataFrame) -> DataFrame:
     return bars.withColumns(
         {
@@ -67,34 +52,53 @@ def merge_sentiment(
     """Credibility-weighted sentiment that decays over ``decay_bars`` bars.
 
     A story counts for the bars from the moment it is usable, for ``decay_bars``
-    bar intervals, both ends included.  Stories that become usable at the same
-    instant weigh alike on every bar, so they are summed before the join.
-    ``(ticker, timestamp)`` identifies a bar.
+    bar intervals, both ends included.  ``(ticker, timestamp)`` identifies a bar.
+
+    No bar meets a story.  Time is cut into cells as wide as the horizon, so what a bar sees is the beginning of its own
+    cell up to the bar, and the end of the cell before from one horizon back.  Decay is a factor relative to the
+    start of a cell, so both are running sums, from the front and from the back of the cells, of positive
+    terms (nothing is subtracted).  They are accumulated in parts of the sorted rows: a bucket that holds most of
+    the news is split as well.
     """
     keys = list(spec.keys)
     if bar_seconds is None:
         bar_seconds = bar_interval(bars, spec).first()["bar_seconds"]  # a single number
     horizon = round(bar_seconds * decay_bars * MICROS)
     max_age = max(bar_seconds * decay_bars, 1.0)
+    width = max(horizon, 1)
+    # How much less a story from the start of the row's cell weighs by now, and the inverse for a later story.
+    since = (F.col("_now") - F.col("_cell") * width) / MICROS
+    decay = F.exp(-DECAY_RATE * since / max_age)
     stories = (
-        news.withColumn("_u", F.unix_micros(F.col("article_public_ts") + seconds(latency_seconds)))
-        .groupBy(*keys, "_u")
+        news.select(*keys, F.unix_micros(F.col("article_public_ts") + seconds(latency_seconds)).alias("_now"), "credibility", "headline_sentiment")
+        .groupBy(*keys, "_now")
         .agg(
             F.sum(F.col("credibility") * F.col("headline_sentiment")).alias("_cs"),
             F.sum("credibility").alias("_c"),
             F.count(F.lit(1)).alias("_k"),
             F.max("credibility").alias("_m"),
         )
-        .withColumn("_until", F.col("_u") + horizon)
+        .withColumn("_cell", F.floor(F.col("_now") / width))
+        .withColumns({"_cs": F.col("_cs") / decay, "_c": F.col("_c") / decay})
+        .select(*keys, "_cell", F.col("_now").alias("_at_time"), F.lit(_STORY).alias("_kind"), "_cs", "_c", "_k", "_m")
     )
-    points = bars.select(*keys, spec.ts, F.unix_micros(spec.ts).alias("_t"))
-    pairs = range_join(stories, points, keys, "_u", "_until", "_t", max(horizon, 1))
-    decay = F.exp(-DECAY_RATE * ((F.col("_t") - F.col("_u")) / MICROS) / max_age)
-    weight = F.sum(decay * F.col("_c"))
-    per_bar = pairs.groupBy(*keys, spec.ts).agg(
-        F.when(weight > 1e-10, F.sum(decay * F.col("_cs")) / weight).alias("weighted_sentiment"),
-        F.sum("_k").alias("sentiment_count"),
-        F.max("_m").alias("max_credibility"),
+    now = F.unix_micros(spec.ts)
+    looks = [F.struct(now.alias("_at_time"), F.lit(_UP_TO).alias("_kind"))]
+    if horizon:
+        looks.append(F.struct((now - horizon).alias("_at_time"), F.lit(_FROM).alias("_kind")))
+    looking = bars.where(F.col(spec.ts).isNotNull()).select(*keys, spec.ts, now.alias("_now"), F.inline(F.array(*looks)))
+    looking = looking.withColumn("_cell", F.floor(F.col("_at_time") / width))
+    rows = looking.unionByName(stories, allowMissingColumns=True)
+    parts = ordered_parts(rows, [*keys, "_cell", "_at_time", "_kind"], "news-and-bars")
+    found = None
+    for kind, backward in ((_UP_TO, False), (_FROM, True)):
+        run = running_in_parts(parts, [*keys, "_cell"], ["_cs", "_c", "_k"], ["_m"], backward).where(F.col("_kind") == kind)
+        found = run if found is None else found.unionByName(run)
+    weight = F.sum(decay * F.col("_c_run"))
+    per_bar = found.where("_k_run > 0").groupBy(*keys, spec.ts).agg(
+        F.when(weight > 1e-10, F.sum(decay * F.col("_cs_run")) / weight).alias("weighted_sentiment"),
+        F.sum("_k_run").alias("sentiment_count"),
+        F.max("_m_run").alias("max_credibility"),
     )
     return bars.join(per_bar, [*keys, spec.ts], "left").fillna(
         {"weighted_sentiment": 0.0, "sentiment_count": 0, "max_credibility": 0.0}

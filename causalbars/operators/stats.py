@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from causalbars.functions.exprs import rate
 from causalbars.functions.normal import norm_cdf, norm_quantile
 from causalbars.operators.backtest import STRATEGY, YEAR
-from causalbars.plans.series import global_position
+from causalbars.plans.series import numbered
+from causalbars.plans.staging import stage
 
 # Euler-Mascheroni constant, significance level, candidate multipliers.
 EULER = 0.5772156649
@@ -89,16 +94,20 @@ def deflated_sharpe(
     )
 
 
+_TILE = 256  # strategies in a tile
+_CELLS = 1 << 20  # numbers of all strategies that one task holds for its splits
+
+
 def overfitting_probability(
     returns: DataFrame, n_subsets: int = 4, periods: int = YEAR, t: str = "t", ret: str = "ret"
 ) -> DataFrame:
     """Probability that the best strategy in sample falls below the median out of sample.
 
     Returns are cut into ``n_subsets`` equal blocks of time.  All a Sharpe ratio needs
-    from a block is its count, sum and sum of squares, so the data is read once into
-    (strategy, block) statistics; every split of the blocks then adds up
-    ``n_subsets`` numbers per strategy.  The splits are a fixed list given by
-    ``n_subsets`` alone.  Values are centred per strategy before squaring.
+    from a block is its count, mean and variance, so the data is aggregated once into
+    (strategy, block) statistics.  What the two halves of every split hold is then a matrix product, (splits x blocks) times
+    (blocks x strategies), in tiles of 256 strategies; the tiles of some splits meet for the best strategy and the median, as
+    many splits as fit one task.  The splits are a fixed list given by ``n_subsets`` alone.
 
     Returns that are null or not finite are left out.  A strategy may have no returns in some blocks: a half with fewer
     than two returns has a Sharpe ratio of 0.  With fewer than two strategies nothing can be compared, and the result is
@@ -106,65 +115,57 @@ def overfitting_probability(
     """
     value = F.col(ret)
     returns = returns.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    several = returns.select(STRATEGY).distinct().limit(2).count() == 2
-    returns = returns.where(F.lit(several))
-    half = n_subsets // 2
-    steps = global_position(returns.select(t).distinct(), t, [t], "_pos")
-    length = F.floor(returns.agg(F.count_distinct(t)).scalar() / n_subsets)
-    rows = returns.join(steps, t).withColumn("_length", length)
-    enough = F.col("_length") >= 4
-    rows = rows.where(enough).withColumn("_block", F.floor(F.col("_pos") / F.col("_length")).cast("int")).where(
-        F.col("_block") < n_subsets
-    )
-    centre = rows.groupBy(STRATEGY).agg(F.avg(ret).alias("_mid"))
-    x = F.col(ret) - F.col("_mid")
-    blocks = (
-        rows.join(centre, STRATEGY)
-        .groupBy(STRATEGY, "_block")
-        .agg(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            F.sum(x).alias("s"),
-            F.sum(x * x).alias("q"),
-            F.first("_mid").alias("_mid"),
-        )
+    returns = returns.select(F.col(t).alias("_t"), STRATEGY, value.cast("double").alias("_x"))
+    numbers = numbered(returns.select("_t").distinct(), ["_t"], "_pos")
+    length = numbers.count() // n_subsets
+    rows = returns.join(numbers, "_t").withColumn("_block", F.floor(F.col("_pos") / max(length, 1)).cast("int"))
+    blocks = rows.where((F.lit(length) >= 4) & (F.col("_block") < n_subsets)).groupBy(STRATEGY, "_block").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"), F.var_pop("_x").alias("var")
     )
     # one short array (n_subsets entries) per strategy
-    per_strategy = blocks.groupBy(STRATEGY).agg(
-        F.sort_array(F.collect_list(F.struct("_block", "n", "s", "q"))).alias("_b"), F.first("_mid").alias("_mid")
-    )
-    splits = F.filter(
-        F.sequence(F.lit(0), F.lit(2**n_subsets - 1)), lambda m: F.bit_count(m) == half
-    )
-    runs = per_strategy.withColumn("_split", F.explode(splits))
+    per_strategy = stage(blocks.groupBy(STRATEGY).agg(F.collect_list(F.struct("_block", "n", "mean", "var")).alias("_b")), "block-returns")
+    n_strategies = per_strategy.count()
+    half = n_subsets // 2
+    splits = [m for m in range(2**n_subsets) if m.bit_count() == half]
+    width = max(1, min(len(splits), _CELLS // max(n_strategies, 1)))
+    kind = per_strategy.schema[STRATEGY].dataType
+    schema = T.StructType().add("part", "int").add("best", T.ArrayType(T.DoubleType())).add("name", T.ArrayType(kind)).add("out", "binary")
 
-    def half_sharpe(inside: bool) -> Column:
-        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-        chosen = F.filter(
-            "_b", lambda b: (F.call_function("shiftright", F.col("_split"), b["_block"]) % 2 == (1 if inside else 0))
-        )
-        total = F.aggregate(
-            chosen,
-            zero,
-            lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["s"] + b["s"]).alias("s"), (a["q"] + b["q"]).alias("q")),
-        )
-        n = F.when(total["n"] >= 2, total["n"])
-        mean = F.col("_mid") + total["s"] / n
-        variance = (total["q"] - total["s"] * total["s"] / n) / (n - 1)
-        sd = F.sqrt(F.when(n.isNotNull(), F.greatest(variance, F.lit(0.0))))
-        return F.when(sd >= 1e-12, mean / sd * math.sqrt(periods)).otherwise(0.0)
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        chosen = (np.array(splits)[:, None] >> np.arange(n_subsets)) & 1
+        for batch in batches:
+            for some in range(0, batch.num_rows, _TILE):
+                held = sorted(batch.slice(some, _TILE).to_pylist(), key=lambda r: r[STRATEGY])
+                table = np.zeros((3, n_subsets, len(held)))
+                for i, row in enumerate(held):
+                    for b in row["_b"]:
+                        table[:, b["_block"], i] = b["n"], b["mean"], b["var"]
+                for part in range(0, len(splits), width):
+                    inside = chosen[part : part + width].astype(float)
+                    sharpe_in, sharpe_out = (_half_sharpe(m, *table) * math.sqrt(periods) for m in (inside, 1 - inside))
+                    top = sharpe_in.argmax(axis=1)
+                    at = np.arange(len(top)), top
+                    # The best strategy of the tile first, then all.
+                    out = np.column_stack([sharpe_out[at], sharpe_out])
+                    values = [part // width, sharpe_in[at].tolist(), [held[k][STRATEGY] for k in top], out.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
-    scored = runs.select(STRATEGY, "_split", half_sharpe(True).alias("_in"), half_sharpe(False).alias("_out"))
-    # Rows per split = number of strategies.  Ties in sample go to the lowest strategy.
-    per_split = scored.groupBy("_split").agg(
-        F.min_by("_out", F.struct((-F.col("_in")).alias("a"), F.col(STRATEGY).alias("b"))).alias("_best"),
-        F.percentile("_out", F.lit(0.5)).alias("_median"),
-    )
-    delta = F.col("_best") - F.col("_median")
+    def deltas(group: pa.Table) -> pa.Table:
+        best = np.array(group.column("best").to_pylist())
+        names = group.column("name").to_pylist()
+        outs = [np.frombuffer(o, float).reshape(best.shape[1], -1) for o in group.column("out").to_pylist()]
+        median = np.median(np.column_stack([o[:, 1:] for o in outs]), axis=1)
+        # Ties in sample go to the lowest strategy.
+        winner = [min(np.flatnonzero(best[:, k] == best[:, k].max()), key=lambda i: names[i][k]) for k in range(best.shape[1])]
+        return pa.table({"delta": [outs[i][k, 0] - median[k] for k, i in enumerate(winner)]})
+
+    compared = per_strategy.where(F.lit(n_strategies >= 2)).mapInArrow(tiles, schema).groupBy("part").applyInArrow(deltas, "delta double")
     clipped = F.least(F.greatest("pbo", F.lit(1e-6)), F.lit(1 - 1e-6))
     return (
-        per_split.agg(
-            rate(delta < 0).alias("pbo"),
-            F.percentile(delta, F.lit(0.5)).alias("median_oos_delta_sr"),
+        compared.agg(
+            rate(F.col("delta") < 0).alias("pbo"),
+            F.percentile("delta", F.lit(0.5)).alias("median_oos_delta_sr"),
             F.count(F.lit(1)).alias("n_combinations"),
         )
         .withColumn("logit_pbo", F.log(clipped / (1.0 - clipped)))
@@ -172,6 +173,18 @@ def overfitting_probability(
     )
 
 
+def _half_sharpe(inside: np.ndarray, n: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Mean over deviation of the blocks that ``inside`` (splits x blocks) takes, for the strategies of a tile (blocks x strategies)."""
+    centre = (n * mean).sum(axis=0) / np.maximum(n.sum(axis=0), 1)
+    off = mean - centre
+    count, total, square = inside @ n, inside @ (n * off), inside @ (n * (var + off * off))
+    enough = count >= 2
+    count = np.where(enough, count, 2)
+    sd = np.sqrt(np.maximum(square - total * total / count, 0) / (count - 1))
+    usable = enough & (sd >= 1e-12)
+    return np.where(usable, (centre + total / count) / np.where(usable, sd, 1), 0.0)
+
+
 def regime_breakdown(
     trades: DataFrame, regime: str = "regime", pnl: str = "net_pnl", notional: str = "notional", periods: int = YEAR,
     keys: Sequence[str] = (),

@@ -12,7 +12,9 @@ as long as each block also receives the few neighbouring rows it looks at.
    the spans next to a block border, to the neighbouring block;
 4. windows run per (key, block) and only a block's own rows are kept.
 
-Step 3 is a broadcast join whenever the counts are small (Catalyst decides from
+A span with more rows than a block is cut into finer ones first.
+
+The counts are stored, so step 3 is a broadcast join whenever they are small (Catalyst decides from
 their real size) and a sort-merge join on (key, span) otherwise.
 """
 
@@ -105,16 +107,12 @@ def block_series(
     size = max(spec.rows_per_block, lookback + 1, lookahead + 1)
     keys = list(spec.keys)
     rows = df.withColumn(_WEIGHT, (F.lit(1) if weight is None else weight).cast("int"))
-    rows = rows.withColumn(
-        _SPAN, F.floor(as_ordinal(F.col(spec.ts), df.schema[spec.ts].dataType) / (spec.span_seconds * MICROS))
-    )
+    rows, counts = _counted_spans(rows, spec, as_ordinal(F.col(spec.ts), df.schema[spec.ts].dataType), size)
 
     by_key = Window.partitionBy(*keys)
     in_order = by_key.orderBy(_SPAN)
     spans = (
-        rows.groupBy(*keys, _SPAN)
-        .agg(F.sum(_WEIGHT).alias("_cnt"))
-        .withColumn(_HI, F.sum("_cnt").over(so_far(in_order)))
+        counts.withColumn(_HI, F.sum("_cnt").over(so_far(in_order)))
         .withColumn(_LO, F.col(_HI) - F.col("_cnt"))
         .withColumn(_N, F.sum("_cnt").over(by_key))
         .withColumn(_HOME, F.floor(F.col(_LO) / size))
@@ -143,6 +141,40 @@ def block_series(
     return BlockedSeries(placed, spec)
 
 
+_PIECES = 1024  # finer spans in a dense one, each step
+
+
+def _counted_spans(rows: DataFrame, spec: SeriesSpec, at: Column, size: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their counting span ``_span``, and the stored counts ``_cnt`` of rows that count in each (keys, span).
+
+    A span that holds more than ``size`` rows is dense: each pass cuts those that are left into 1,024 pieces of time, down to single
+    microseconds (five passes from 30 days).  Rows of one key and one microsecond stay together.
+    """
+    keys, width = list(spec.keys), spec.span_seconds * MICROS
+
+    def counts(of: DataFrame, *span: str) -> DataFrame:
+        found = of.groupBy(*keys, *span).agg(F.sum(_WEIGHT).alias("_cnt"), F.count(F.lit(1)).alias("_rows"))
+        return stage(found, "span-counts")
+
+    rows = rows.withColumn(_SPAN, F.floor(at / width))
+    found, step, names = counts(rows, _SPAN), width, [_SPAN]
+    dense = found.where(F.col("_rows") > size)
+    if dense.isEmpty():
+        return rows, found.drop("_rows")
+    rows = rows.withColumnRenamed(_SPAN, "_whole").withColumn("_fine", F.lit(0).cast("long"))
+    found = found.withColumnRenamed(_SPAN, "_whole").withColumn("_fine", F.lit(0).cast("long"))
+    names = ["_whole", "_fine"]
+    while step > 1 and not (dense := found.where(F.col("_rows") > size)).isEmpty():
+        step = -(-step // _PIECES)
+        marks = dense.select(*keys, *names, F.lit(True).alias("_dense"))
+        fine = F.floor((at - F.col("_whole") * width) / step) * step + 1
+        rows = rows.join(marks, [*keys, *names], "left")
+        rows = rows.withColumn("_fine", F.when(F.col("_dense"), fine).otherwise(F.col("_fine"))).drop("_dense")
+        found = counts(rows, *names)
+    span = F.struct(*names)
+    return rows.withColumn(_SPAN, span).drop(*names), found.withColumn(_SPAN, span).drop("_rows", *names)
+
+
 def running_totals(
     df: DataFrame,
     order: str,
@@ -175,27 +207,15 @@ def running_totals(
     return out.drop("_bucket", *[f"_off_{v}" for v in values])
 
 
-def global_position(df: DataFrame, ts: str, ties: Sequence[str], name: str = "pos") -> DataFrame:
-    """Zero-based position of every row in the total order ``(ts, *ties)``.
+_PART, _AT = "_part", "_at"
 
-    Rows before a timestamp are counted on the distinct timestamps; inside one
-    timestamp rows are numbered by the tie columns.  A group is therefore one
-    timestamp, never the table.
-    """
-    before = running_totals(df.groupBy(ts).agg(F.count(F.lit(1)).alias("_c")), ts, ["_c"])
-    before = before.select(ts, (F.col("_c_cum") - F.col("_c")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(ts).orderBy(*ties))
-    return df.join(before, ts).withColumn(name, F.col("_before") + rank - 1).drop("_before")
 
+def ordered_parts(df: DataFrame, order: Sequence[str], name: str = "ordered") -> DataFrame:
+    """``df`` sorted by ``order`` (nulls first) into parts of about equal size, written once.
 
-def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """``df`` with gapless global row numbers from 0 in the order of ``order`` (nulls first).
-
-    A range partitioning sorts the rows; a row's number is its index in its partition plus
-    the rows of the partitions before, which is one number per partition.  Rows that are equal
-    in ``order`` are dealt to several partitions by a running id, so a hot value is split;
-    which of two equal rows comes first is immaterial.  The sorted rows are written once,
-    so counts and numbers come from the same rows even after the loss of an executor.
+    A range partitioning makes the parts.  Rows equal in ``order`` are dealt to several of them by a running id, so a hot value is
+    split.  Adds the part's number ``_part`` and ``_at``, which grows with the order and counts the rows of a part from 0 in
+    its lower 33 bits.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = (
@@ -203,24 +223,65 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
         .repartitionByRange(n, *order, "_tie")
         .sortWithinPartitions(*order, "_tie")
         .drop("_tie")
-        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn(_AT, F.monotonically_increasing_id())
     )
-    ranked = stage(ranked, "numbered").withColumn("_part", F.shiftright("_at", 33))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return stage(ranked, name).withColumn(_PART, F.shiftright(_AT, 33))
+
+
+def running_in_parts(
+    df: DataFrame, keys: Sequence[str], sums: Sequence[str], maxima: Sequence[str] = (), backward: bool = False
+) -> DataFrame:
+    """Add ``<column>_run``: the sum or maximum of a column over the rows of the same keys up to a row, in the order of the parts.
+
+    ``df`` comes from ``ordered_parts`` with an order that begins with ``keys``.  Rows are accumulated within (keys, part), and what the parts
+    before hold is one row for each part and key, so no group is larger than a part, however many rows a key
+    has.  Backward, it is the rows from a row to the end.
+    """
+    keys = list(keys)
+    within, over = Window.partitionBy(*keys, _PART), Window.partitionBy(*keys)
+    within = within.orderBy(F.desc(_AT)) if backward else within.orderBy(_AT)
+    over = over.orderBy(F.desc(_PART)) if backward else over.orderBy(_PART)
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    each = [(c, F.sum) for c in sums] + [(c, F.max) for c in maxima]
+    parts = df.groupBy(*keys, _PART).agg(*[f(c).alias(f"_all_{c}") for c, f in each])
+    parts = parts.select(*keys, _PART, *[f(f"_all_{c}").over(before).alias(f"_before_{c}") for c, f in each])
+    same = [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in (*keys, _PART)]
+    held = df.join(parts.withColumnsRenamed({k: f"_p_{k}" for k in (*keys, _PART)}), same)
+    for c, f in each:
+        here, earlier = f(c).over(so_far(within)), F.col(f"_before_{c}")
+        total = F.coalesce(here + earlier, here, earlier) if f is F.sum else F.greatest(here, earlier)
+        held = held.withColumn(f"{c}_run", total)
+    return held.drop(*[f"_before_{c}" for c, _ in each], *[f"_p_{k}" for k in (*keys, _PART)])
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with gapless global row numbers from 0 in the order of ``order`` (nulls first).
+
+    A row's number is its index in its part plus the rows of the parts before, which is one number
+    per part.  Which of two equal rows comes first is immaterial.  The sorted rows are written once,
+    so counts and numbers come from the same rows even after the loss of an executor.
+    """
+    ranked = ordered_parts(df, order, "numbered")
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranked.groupBy("_part")
+        ranked.groupBy(_PART)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+        .select(_PART, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     )
-    index = F.col("_at").bitwiseAND((1 << 33) - 1)
-    # One row per partition of the range partitioning, so its size is set by a parameter.
+    index = F.col(_AT).bitwiseAND((1 << 33) - 1)
+    # One row per part of the range partitioning, so its size is set by a parameter.
     return (
-        ranked.join(F.broadcast(offsets), "_part")
+        ranked.join(F.broadcast(offsets), _PART)
         .withColumn(name, F.col("_before") + index)
-        .drop("_part", "_at", "_before")
+        .drop(_PART, _AT, "_before")
     )
 
 
+def global_position(df: DataFrame, ts: str, ties: Sequence[str], name: str = "pos") -> DataFrame:
+    """Zero-based position of every row in the total order ``(ts, *ties)``; no group is a timestamp, however many rows it has."""
+    return numbered(df, [ts, *ties], name)
+
+
 def asof_join(
     probes: DataFrame,
     rows: DataFrame,

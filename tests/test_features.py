@@ -157,6 +157,34 @@ def test_sentiment_equals_brute_force(spark, bars, bars_pdf):
             assert r.weighted_sentiment == 0 and r.max_credibility == 0
 
 
+def test_sentiment_of_a_hot_bucket(spark):
+    """Two thirds of the news, all at other moments, in one horizon of one ticker, and bars among them."""
+    rng = np.random.default_rng(2)
+    start, n = pd.Timestamp("2024-01-02"), 900
+    at = np.where(np.arange(n) < 600, rng.integers(0, 7200, n), rng.integers(-40_000, 90_000, n))
+    news = pd.DataFrame(
+        {
+            "ticker": np.where(np.arange(n) < 600, "K0", rng.choice(["K0", "K1"], n)),
+            "article_public_ts": start + pd.to_timedelta(at, unit="s"),
+            "headline_sentiment": rng.uniform(-1, 1, n),
+            "credibility": rng.uniform(0, 1, n),
+        }
+    )
+    bars = pd.DataFrame({"ticker": np.repeat(["K0", "K1"], 150), "timestamp": list(start + np.arange(150) * pd.Timedelta("97s")) * 2})
+    for bar_seconds in (600.0, 0.0):
+        merged = sentiment.merge_sentiment(spark.createDataFrame(bars), spark.createDataFrame(news), bar_seconds=bar_seconds)
+        got = merged.toPandas()
+        assert len(got) == len(bars)
+        for r in got.itertuples():
+            age = (r.timestamp - news.article_public_ts).dt.total_seconds() - 45
+            hit = news[(news.ticker == r.ticker) & (age >= 0) & (age <= 12 * bar_seconds)]
+            assert r.sentiment_count == len(hit)
+            w = np.exp(-3 * age[hit.index] / max(12 * bar_seconds, 1)) * hit.credibility
+            want = (w * hit.headline_sentiment).sum() / w.sum() if len(hit) else 0
+            assert r.weighted_sentiment == pytest.approx(want, abs=1e-9)
+            assert r.max_credibility == pytest.approx(hit.credibility.max() if len(hit) else 0)
+
+
 def test_matrix_carries_the_regime_of_its_time(spark, bars):
     times = bars.select("timestamp").distinct()
     regimes = times.withColumn("regime", (F.hour("timestamp") % 3).cast("long")).where(F.hour("timestamp") != 5)

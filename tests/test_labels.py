@@ -58,6 +58,25 @@ def test_labels_equal_brute_force(bars, bars_pdf, hold, spacing):
         assert r.raw_weight == pytest.approx(abs(ret) * (0.5 if kind == "vertical" else 1.0))
 
 
+def test_long_holding_periods(spark):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame(
+        {"ticker": "A", "timestamp": pd.Timestamp("2024-01-01") + np.arange(5000) * pd.Timedelta("1h"), "close": 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 5000)))}
+    )
+    df = spark.createDataFrame(pdf)
+    for barrier in (8.0, 30.0):
+        got = labels.barrier_labels(df, None, barrier, barrier, 2000, spacing=37, spec=SMALL)
+        want = brute(pdf, barrier, barrier, 2000, 37)
+        rows = got.collect()
+        assert len(rows) == len(want)
+        for r in rows:
+            t1, kind, label, ret = want[r.ticker, pd.Timestamp(r.t0)]
+            assert (pd.Timestamp(r.t1), r.barrier_type, r.label) == (t1, kind, label)
+        if barrier == 30.0:
+            assert {r.barrier_type for r in rows} >= {"vertical", "upper"}
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_own_sigma_and_unknown_times(spark):
     df = path(spark, [100.0, 101.0, 99.0, 110.0])
     ts = df.orderBy("timestamp").first().timestamp

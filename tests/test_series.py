@@ -7,7 +7,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from causalbars.plans.quantiles import exact_quantiles
-from causalbars.plans.series import SeriesSpec, asof_join, block_series, global_position, running_totals
+from causalbars.plans.series import (
+    SeriesSpec,
+    asof_join,
+    block_series,
+    global_position,
+    ordered_parts,
+    running_in_parts,
+    running_totals,
+)
 
 TINY_BLOCKS = [
     SeriesSpec(span_seconds=3_600, rows_per_block=7),
@@ -121,3 +129,42 @@ def test_exact_quantiles_equal_numpy(spark, kind):
         assert row["n"] == len(part)
         for k, v in levels.items():
             assert row[k] == pytest.approx(np.quantile(part, v), rel=1e-12, abs=1e-15)
+
+
+def test_dense_span_is_split(spark):
+    n = 100_000
+    rows = spark.range(n).select(
+        F.lit("hot").alias("ticker"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 7).alias("timestamp"), "id"
+    )
+    blocks = block_series(rows, 3, spec=SeriesSpec(span_seconds=86_400, rows_per_block=1_000))
+    held = blocks.df.groupBy("ticker", "_block").count().agg(F.max("count"), F.count("*")).first()
+    assert held[0] <= 3_000 and held[1] >= 100
+    placed = blocks.df.withColumn("pos", blocks.position()).withColumn("back", F.lag("id", 3).over(blocks.window()))
+    own = placed.where(blocks.own_rows())
+    assert own.count() == n
+    assert own.where("pos <> id or (id >= 3 and back <> id - 3) or (id < 3 and back is not null)").count() == 0
+
+
+def test_one_hot_moment_is_no_group(spark):
+    rows = spark.range(2000).select(
+        F.when(F.col("id") < 1000, F.lit(500)).otherwise(F.col("id")).alias("ts"), (F.lit(5000) - F.col("id")).alias("tie")
+    )
+    got = global_position(rows, "ts", ["tie"]).toPandas().sort_values(["ts", "tie"])
+    assert (got["pos"].to_numpy() == np.arange(2000)).all()
+    parts = ordered_parts(rows, ["ts", "tie"]).groupBy("_part").count()
+    assert parts.agg(F.max("count")).first()[0] < 1000
+
+
+def test_running_aggregates_over_parts(spark):
+    rng = np.random.default_rng(3)
+    n = 500
+    pdf = pd.DataFrame({"k": np.where(np.arange(n) < 350, 7, rng.integers(0, 5, n)), "t": rng.permutation(n), "x": rng.normal(size=n)})
+    pdf.loc[::9, "x"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x"))).withColumn("y", F.col("x"))
+    parts = ordered_parts(df, ["k", "t"])
+    for backward in (False, True):
+        got = running_in_parts(parts, ["k"], ["x"], ["y"], backward).toPandas().sort_values(["k", "t"], ascending=not backward)
+        by_key = pdf.sort_values(["k", "t"], ascending=not backward).groupby("k").x
+        want_sum, want_max = by_key.transform(lambda s: s.expanding().sum()), by_key.transform(lambda s: s.expanding().max())
+        np.testing.assert_allclose(got.x_run.to_numpy(float), want_sum.to_numpy(), rtol=1e-12, atol=1e-12)
+        np.testing.assert_allclose(got.y_run.to_numpy(float), want_max.to_numpy())
