@@ -129,7 +129,7 @@ def overfitting_probability(
     splits = [m for m in range(2**n_subsets) if m.bit_count() == half]
     width = max(1, min(len(splits), _CELLS // max(n_strategies, 1)))
     kind = per_strategy.schema[STRATEGY].dataType
-    schema = T.StructType().add("part", "int").add("best", T.ArrayType(T.DoubleType())).add("name", T.ArrayType(kind)).add("out", "binary")
+    schema = T.StructType().add("part", "integer").add("best", T.ArrayType(T.DoubleType())).add("name", T.ArrayType(kind)).add("out", "binary")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
