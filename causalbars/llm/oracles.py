@@ -228,3 +228,87 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
+
+
+def _back_step() -> str:
+    """Costs of four states before a turn, from those after it (s0 to s3)."""
+    kept = "CASE WHEN fault = 2 THEN 1000000000 WHEN fault = 1 THEN 5 ELSE 0 END"
+    user = f"s2 + ({kept}) + CASE WHEN initial = 'u' THEN 0 ELSE 1 END"
+    assistant = f"s3 + ({kept}) + CASE WHEN initial = 'a' THEN 0 ELSE 1 END"
+    system = f"CASE WHEN initial = 's' THEN s1 + ({kept}) ELSE 1000000000 END"
+    base = (
+        f"SELECT *, least(s0 + 2, {user}, {system}) AS b0, least(s1 + 2, {user}) AS b1, "
+        f"least(s2 + 2, {assistant}) AS b2, least(s3 + 2, {user}) AS b3 FROM joined"
+    )
+    return (
+        "SELECT c, i, least(b0, b2 + 5, b3 + 10)::BIGINT AS s0, least(b1, b2 + 5, b3 + 10)::BIGINT AS s1, "
+        f"least(b2, b3 + 5)::BIGINT AS s2, least(b3, b2 + 5)::BIGINT AS s3 FROM ({base})"
+    )
+
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP13_REPAIR_CONVERSATIONS = f"""
+WITH RECURSIVE crc_table AS (
+  WITH RECURSIVE t(n, k, v) AS (
+    SELECT n, 0, n FROM range(256) r(n)
+    UNION ALL
+    SELECT n, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t WHERE k < 8)
+  SELECT list(v ORDER BY n) AS tab FROM t WHERE k = 8),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(
+        regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda acc, byte: xor(acc >> 8, tab[xor(acc & 255, byte) + 1])), 4294967295)::BIGINT % 20 AS fault
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, range(2) copy(k) WHERE fault <> 0 AND (k = 0 OR fault = 3)),
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM given)),
+turns AS (
+  SELECT c, turn, role, text, left(role, 1) AS initial, right(rtrim(text, {_BLANKS}), 1) AS last_sign,
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM damaged JOIN ids ON damaged.conv_id IS NOT DISTINCT FROM ids.conv_id),
+judged AS (
+  SELECT *, CASE WHEN last_sign = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN last_sign NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'sound' END AS named,
+    lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair
+  FROM turns),
+rows_of AS (SELECT *, CASE named WHEN 'sound' THEN 0 WHEN 'truncated' THEN 1 ELSE 2 END AS fault FROM judged),
+counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (named = 'blank') AS blank,
+    count(*) FILTER (named = 'duplicate') AS duplicate, count(*) FILTER (named = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM rows_of GROUP BY c),
+back(c, i, s0, s1, s2, s3) AS (
+  SELECT c, n + 1, 0::BIGINT, 10::BIGINT, 5::BIGINT, 0::BIGINT FROM counts
+  UNION ALL
+  {_back_step().replace("joined", "(SELECT b.c, b.i - 1 AS i, s0, s1, s2, s3, initial, fault FROM back b JOIN rows_of r ON r.c = b.c AND r.i = b.i - 1)")}),
+edges AS (
+  SELECT b.c, b.i, q, [b.s0, b.s1, b.s2, b.s3][q + 1] AS here, [b.s0, b.s1, b.s2, b.s3][[2, 2, 3, 2][q + 1] + 1] AS there,
+    [2, 2, 3, 2][q + 1] AS next, [a.s0, a.s1, a.s2, a.s3] AS later, initial, fault, role, text
+  FROM back b JOIN range(4) states(q) ON true LEFT JOIN back a ON a.c = b.c AND a.i = b.i + 1
+    LEFT JOIN rows_of r ON r.c = b.c AND r.i = b.i),
+best AS (
+  SELECT c, i, q, CASE
+    WHEN later[q + 1] + 2 = here THEN struct_pack(edit := 'D', to_i := i + 1, to_q := q, line := NULL::VARCHAR)
+    WHEN there + 5 = here THEN struct_pack(edit := 'I', to_i := i, to_q := next, line := CASE next WHEN 2 THEN 'user:' ELSE 'assistant:' END)
+    WHEN role IS NULL THEN NULL
+    WHEN q = 0 AND initial = 's' AND later[2] + 5 * fault = here THEN struct_pack(edit := 'K', to_i := i + 1, to_q := 1, line := role || ':' || text)
+    WHEN initial = CASE next WHEN 2 THEN 'u' ELSE 'a' END AND later[next + 1] + 5 * fault = here
+      THEN struct_pack(edit := 'K', to_i := i + 1, to_q := next, line := role || ':' || text)
+    ELSE struct_pack(edit := 'R', to_i := i + 1, to_q := next, line := CASE next WHEN 2 THEN 'user:' ELSE 'assistant:' END || text) END AS e
+  FROM edges),
+walk(c, i, q, step, edit, line) AS (
+  SELECT c, 1::BIGINT, 0, 0, ''::VARCHAR, NULL::VARCHAR FROM counts
+  UNION ALL
+  SELECT w.c, e.to_i, e.to_q, step + 1, e.edit, e.line FROM walk w JOIN best b ON b.c = w.c AND b.i = w.i AND b.q = w.q WHERE e IS NOT NULL),
+told AS (
+  SELECT c, string_agg(edit, '' ORDER BY step) AS audit, sha256(coalesce(string_agg(line, chr(10) ORDER BY step), '')) AS repaired_sha256
+  FROM walk GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(s0, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (c) LEFT JOIN told USING (c) LEFT JOIN back ON back.c = ids.c AND back.i = 1
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalbars.llm import alignment, forest, minhash, mixing, oracles, packing, phrases, pii, quality, resampling, sharding, suffixes, urls
+from causalbars.llm import alignment, forest, minhash, mixing, oracles, packing, phrases, pii, quality, repair, resampling, sharding, suffixes, urls
 from causalbars.llm.common import n_words, table
 from causalbars.plans.staging import stage
 
@@ -164,6 +164,37 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns with seeded faults, told by a checksum of conversation and turn; nulls are one space."""
+    space = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    fault = F.crc32(F.encode(name, "UTF-8")) % 20
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), fault.alias("_fault")
+    ).where("_fault <> 0")
+    text = F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text).withColumn("role", F.when(F.col("_fault") == 4, "user").otherwise(F.col("role")))
+    copies = F.when(F.col("_fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("_copy", F.explode(copies)).drop("_copy", "_fault")
+
+
+@query
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after seeded damage."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = repair.repair_conversations(damaged(given))
+    told = repaired.conversations.join(repair.digests(repaired.edits), "_c", "left").withColumnRenamed("conv_id", "_conv")
+    every = given.select("conv_id").distinct().join(told, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    found = F.col("_c").isNotNull()
+    return every.select(
+        "conv_id",
+        *[F.when(found, F.col(c)).otherwise(0).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
 @query
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log importance weight of every document and whether the Gumbel top-k keeps it."""

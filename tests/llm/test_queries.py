@@ -6,7 +6,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not found")
-NAMES = ["op12_decontaminate", "op1_quality_rules", "op4_pii", "op5_mix_sources", "op6_feistel_shards", "op9_url_filter"]
+NAMES = ["op12_decontaminate", "op13_repair_conversations", "op1_quality_rules", "op4_pii", "op5_mix_sources", "op6_feistel_shards", "op9_url_filter"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -30,4 +30,4 @@ def test_query_equals_sql(spark, name):
 def test_every_operator_has_a_query():
     from causalbars.llm.queries import LLM_QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == [*range(1, 13)]
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == [*range(1, 14)]
