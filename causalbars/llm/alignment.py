@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from causalbars.llm.words import _CUT, ByteIds, Grown, PartTable, PieceIds, Ragged, slices
+from causalbars.llm.words import _CUT, ByteIds, Grown, PartTable, PieceIds, Ragged, flatten, slices
 from causalbars.plans.staging import stage
 
 _PAIR = 32  # a link is one number: A's id above, B's id below
@@ -116,8 +116,9 @@ class Encoders:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteIds(a_path, plain=True), PieceIds(b_path)
         self.a_bytes, self.b_bytes = self.a.bytes_of(), self.b.bytes_of()
-        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
-        self.a_name, self.b_name = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        # Every id with the sign that follows it: A's within and at the end of a group, then B's.
+        self.names = [f"{i}{sign}" for side, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for sign in signs for i in range(len(side))]
 
     def a_text(self, ids: list[int]) -> bytes:
         return b"".join([self.a_bytes[i] for i in ids])
@@ -129,7 +130,7 @@ class Encoders:
 class WordFragments(PartTable):
     """The closed groups of every word."""
 
-    def __init__(self, encoders: Encoders, words: int = 200_000):
+    def __init__(self, encoders: Encoders, words: int = 150_000):
         self.encoders = encoders
         super().__init__(" ", words)
 
@@ -141,33 +142,41 @@ class WordFragments(PartTable):
         self.pairs: dict[int, int] = {}
 
     def learn(self, parts: list[str]) -> None:
+        """Align all parts at once: one after the other they are one text, in which both tokenizers end a token with each."""
         e = self.encoders
-        a_name, b_name = e.a_name, e.b_name
-        a_ids, b_ids = e.a.encode(parts), e.b.encode(parts)
-        groups, links, sound = [], [], []
-        for part, a, b in zip(parts, a_ids, b_ids, strict=True):
-            raw, text, pairs = part.encode(), [], []
-            if good := e.a_text(a) == raw and e.b_text(b) == raw:
-                # One pass over A's tokens; B's are taken up to the end of each.
-                a_end = b_end = a_from = b_from = j = 0
-                for i, x in enumerate(a):
-                    a_end += e.a_size[x]
-                    while b_end < a_end:
-                        b_end += e.b_size[b[j]]
-                        j += 1
-                    if a_end == b_end:
-                        text.append(f"{','.join([a_name[k] for k in a[a_from : i + 1]])}|{','.join([b_name[k] for k in b[b_from:j]])}")
-                        pairs.append(x << _PAIR | b[j - 1])
-                        a_from, b_from = i + 1, j
-            self.text.append(";".join(text))
-            groups.append(len(text))
-            links.append([self.pairs.setdefault(p, len(self.pairs)) for p in pairs])
-            sound.append(good)
-        self.n_a.extend([len(a) for a in a_ids])
-        self.n_b.extend([len(b) for b in b_ids])
-        self.n_groups.extend(groups)
-        self.sound.extend(sound)
-        self.links.append(links)
+        (a, n_a), (b, n_b) = flatten(e.a.encode(parts)), flatten(e.b.encode(parts))
+        size = pc.binary_length(pa.array(parts, pa.large_string())).to_numpy()
+        sound = self._sound(parts, size, a, n_a, b, n_b)
+        a, b = a[np.repeat(sound, n_a)], b[np.repeat(sound, n_b)]
+        a_end, b_end = np.cumsum(e.a_size[a]), np.cumsum(e.b_size[b])
+        common = np.intersect1d(a_end, b_end, assume_unique=True)
+        a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+        a_last, b_last = np.searchsorted(a_end, common), np.searchsorted(b_end, common)
+        # Tokens by group, those of A first; a name holds the sign behind a token.
+        name = np.concatenate([a, b + 2 * len(e.a_size)])
+        name[a_last] += len(e.a_size)
+        name[len(a) + b_last] += len(e.b_size)
+        ordered = name[np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")]
+        names = list(map(e.names.__getitem__, ordered.tolist()))
+        ends = np.cumsum(np.where(sound, n_a + n_b, 0)).tolist()
+        self.text += ["".join(names[start:end])[:-1] for start, end in zip([0, *ends], ends, strict=False)]
+        n_groups = np.diff(np.searchsorted(common, np.cumsum(np.where(sound, size, 0)), "right"), prepend=0)
+        link, at = np.unique(a[a_last] << _PAIR | b[b_last], return_inverse=True)
+        number = np.array([self.pairs.setdefault(p, len(self.pairs)) for p in link.tolist()], np.int64)
+        self.links.extend(number[at], n_groups)
+        for column, values in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.sound, sound)):
+            column.extend(values)
+
+    def _sound(self, parts: list[str], size: np.ndarray, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Which parts both tokenizers give back byte by byte."""
+        e, raw, sound = self.encoders, "".join(parts).encode(), np.ones(len(parts), bool)
+        for ids, n, sizes, text in ((a, n_a, e.a_size, e.a_text), (b, n_b, e.b_size, e.b_text)):
+            ends = np.cumsum(n)
+            long = np.diff(np.concatenate([[0], np.cumsum(sizes[ids])])[ends], prepend=0)
+            if not (long == size).all() or text(ids.tolist()) != raw:
+                for i, (start, end) in enumerate(zip((ends - n).tolist(), ends.tolist(), strict=True)):
+                    sound[i] &= text(ids[start:end].tolist()) == parts[i].encode()
+        return sound
 
     def align(self, texts: list[str]) -> dict[str, list | np.ndarray | pa.Array]:
         """Result columns of texts that are not empty."""
@@ -309,10 +318,10 @@ def _long(rows: DataFrame, a_path: str, b_path: str, key: str, chunk: int, fan:
         arrow, e = to_arrow_schema(schema), _words(a_path, b_path).encoders
         for batch in batches:
             for row in batch.to_pylist():
-                a = [i for ids in e.a.encode(_CUT.split(row["a_part"].decode())) for i in ids]
-                b = [i for ids in e.b.encode(_CUT.split(row["b_part"].decode())) for i in ids]
+                a = [*chain.from_iterable(e.a.encode(_CUT.split(row["a_part"].decode())))]
+                b = [*chain.from_iterable(e.b.encode(_CUT.split(row["b_part"].decode())))]
                 sound = e.a_text(a) == row["a_part"] and e.b_text(b) == row["b_part"]
-                tokens = Tokens(a, [row["a_start"] + n for n in accumulate([e.a_size[i] for i in a])], b, [row["b_start"] + n for n in accumulate([e.b_size[i] for i in b])])
+                tokens = Tokens(a, (row["a_start"] + np.cumsum(e.a_size[a])).tolist(), b, (row["b_start"] + np.cumsum(e.b_size[b])).tolist())
                 record = _record(Fragment.of(tokens) if sound else Fragment(Tokens()), len(a), len(b), sound)
                 yield pa.RecordBatch.from_pylist([{key: row[key], "_row": row["_row"], "_chunk": row["_chunk"], **record}], schema=arrow)
 

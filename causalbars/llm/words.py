@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,12 @@ class Grown:
         return self.data[: self.size]
 
 
+def flatten(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All lists in one, and the length of each."""
+    length = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(length.sum())), length
+
+
 class Ragged:
     """Lists of numbers under the codes 0, 1, 2, ..."""
 
@@ -49,10 +56,13 @@ class Ragged:
         self.flat, self.start, self.length = Grown(kind), Grown(np.int64), Grown(np.int64)
 
     def append(self, lists: list[list[int]]) -> None:
-        sizes = [len(x) for x in lists]
-        self.start.extend(self.flat.size + np.cumsum([0, *sizes[:-1]]) if sizes else [])
-        self.length.extend(sizes)
-        self.flat.extend([v for x in lists for v in x])
+        self.extend(*flatten(lists))
+
+    def extend(self, flat: np.ndarray, length: np.ndarray) -> None:
+        """Lists that stand one after the other in ``flat``."""
+        self.start.extend(self.flat.size + np.cumsum(length) - length)
+        self.length.extend(length)
+        self.flat.extend(flat)
 
     def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of all codes, one after the other, and the length of each."""
