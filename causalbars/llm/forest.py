@@ -12,30 +12,46 @@ from pyspark.sql import functions as F
 from causalbars.plans.staging import stage
 
 
+def _planes(dims: int, trees: int, bits: int, seed: int) -> np.ndarray:
+    """Random projections (trees, dims + 1, bits), alike wherever they are drawn."""
+    return np.random.default_rng(seed).standard_normal((trees, dims + 1, bits)).astype(np.float32)
+
+
+def _codes(points: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """One hash string per tree and point: the signs of its projections, the first in the highest bit."""
+    bits = planes.shape[2]
+    weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.uint32)
+    points = points.astype(np.float32)
+    return np.stack([(points @ p > 0) @ weights for p in planes]).astype(np.uint32)
+
+
 class PrefixForest:
     """Sorted arrays of hash strings, one per tree, over one block of vectors.
 
-    A hash string is ``bits`` signs of random projections.  Inner products become angles by one more coordinate,
-    sqrt(M^2 - |x|^2) with M the longest vector of all, which is 0 for a query.
+    Inner products become angles by one more coordinate, sqrt(M^2 - |x|^2) with M the longest vector of
+    all, which is 0 for a query.  The sorted strings and their order are stored with the block.
     """
 
-    def __init__(self, vectors: np.ndarray, longest: float, trees: int, bits: int, seed: int):
-        self.vectors, self.trees, self.bits, self.seed = vectors, trees, bits, seed
+    def __init__(self, vectors: np.ndarray, codes: np.ndarray, order: np.ndarray, planes: np.ndarray):
+        self.vectors, self.sorted, self.order, self.planes = vectors, codes, order, planes
+        self.bits = planes.shape[2]
+
+    @staticmethod
+    def build(vectors: np.ndarray, longest: float, planes: np.ndarray) -> PrefixForest:
         rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0.0))
-        codes = self._codes(np.column_stack([vectors, rest]))
-        self.order = np.argsort(codes, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(codes, self.order, axis=1)
-
-    def _codes(self, points: np.ndarray) -> np.ndarray:
-        """One code per tree and point, the first sign in the highest bit."""
-        draw = np.random.default_rng(self.seed)
-        out = np.empty((self.trees, len(points)), np.uint32)
-        weights = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.uint32)
-        points = points.astype(np.float32)
-        for t in range(self.trees):
-            planes = draw.standard_normal((points.shape[1], self.bits)).astype(np.float32)
-            out[t] = (points @ planes > 0) @ weights
-        return out
+        codes = _codes(np.column_stack([vectors, rest]), planes)
+        order = np.argsort(codes, axis=1, kind="stable").astype(np.uint32)
+        return PrefixForest(vectors, np.take_along_axis(codes, order, axis=1), order, planes)
+
+    def _longest(self, codes: np.ndarray) -> np.ndarray:
+        """For each query the longest prefix that it shares with a string of any tree: that of a neighbour in sorted order."""
+        best = np.zeros(codes.shape[1], int)
+        for held, asked in zip(self.sorted, codes, strict=True):
+            at = np.searchsorted(held, asked)
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(held) - 1)):
+                other = (held[near] ^ asked).astype(np.float64)
+                best = np.maximum(best, self.bits - np.frexp(other)[1])
+        return best
 
     def _ranges(self, codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Per tree and query, the run of the sorted array that shares ``depth`` leading bits."""
@@ -46,27 +62,49 @@ class PrefixForest:
         high = np.stack([np.searchsorted(s, f, "right") for s, f in zip(self.sorted, last, strict=True)])
         return low, high
 
-    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
-        """Rows met by each query when all trees ascend together until ``enough`` matches are collected.
+    def candidates(self, queries: np.ndarray, own: np.ndarray, k: int, fresh: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, rows met) when all trees ascend together, one bit at a time, from a query's longest match on.
 
-        The first depth is that of the longest prefix any tree shares with a query; each step up is one bit shorter in all trees.
+        ``own`` is a query's own row in the block, or -1, which is no candidate.  A query goes on until it has met ``8 * k`` rows, and
+        then until twice as many rows bring at most the share ``fresh`` of its ``k`` best that were not among them before.  At
+        depth 0 it has met all rows.  So the number of candidates follows the data: few where neighbours are much
+        nearer than others, up to all where they are not.
         """
-        codes = self._codes(np.column_stack([queries, np.zeros(len(queries))]))
-        low, high = np.zeros(codes.shape, np.int64), np.zeros(codes.shape, np.int64)
+        codes = _codes(np.column_stack([queries, np.zeros(len(queries))]), self.planes)
+        start = self._longest(codes)
+        n = len(self.vectors)
+        met = np.zeros((len(queries), n), bool)
+        met[own >= 0, own[own >= 0]] = True
+        count, base = np.zeros(len(queries), int), np.full(len(queries), 4 * k)
+        best: list[set] = [set()] * len(queries)
         waiting = np.arange(len(queries))
-        for depth in range(self.bits, -1, -1):
-            lo, hi = self._ranges(codes[:, waiting], depth)
-            found = (hi - lo).sum(axis=0) >= min(enough, len(self.vectors))
-            low[:, waiting[found]], high[:, waiting[found]] = lo[:, found], hi[:, found]
-            waiting = waiting[~found]
+        for depth in range(int(start.max(initial=0)), -1, -1):
+            active = waiting[start[waiting] >= depth]
+            if not len(active):
+                continue
+            low, high = self._ranges(codes[:, active], depth)
+            done = []
+            for i, q in enumerate(active.tolist()):
+                runs = [self.order[t, low[t, i] : high[t, i]] for t in np.flatnonzero(high[:, i] > low[:, i])]
+                if runs:
+                    met[q, np.concatenate(runs)] = True
+                count[q] = met[q].sum() - (own[q] >= 0)
+                if depth and count[q] < 2 * base[q]:
+                    continue
+                rows = np.flatnonzero(met[q])
+                rows = rows[rows != own[q]]
+                if depth:
+                    score = self.vectors[rows] @ queries[q]
+                    now = set(rows[np.argpartition(score, len(rows) - k)[len(rows) - k :]].tolist())
+                    gained = len(now - best[q])
+                    best[q], base[q] = now, count[q]
+                    if gained > fresh * k:
+                        continue
+                yield q, rows
+                done.append(q)
+            waiting = np.setdiff1d(waiting, done)
             if not len(waiting):
-                break
-        mark = np.zeros(len(self.vectors), bool)
-        for q in range(len(queries)):
-            mark[:] = False
-            for t in np.flatnonzero(high[:, q] > low[:, q]):
-                mark[self.order[t, low[t, q] : high[t, q]]] = True
-            yield np.flatnonzero(mark)
+                return
 
 
 def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -77,17 +115,24 @@ def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
-def nearest_in(forest: PrefixForest, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, enough: int) -> Iterator[tuple[list[int], list[float]]]:
-    """For each query the ids and scores of its k nearest among the candidates, ties to the smaller id."""
-    for query, own_id, rows in zip(queries, own, forest.candidates(queries, enough), strict=True):
-        rows = rows[ids[rows] != own_id]
+def nearest_in(
+    forest: PrefixForest, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, fresh: float
+) -> Iterator[tuple[int, list[int], list[float]]]:
+    """For each query its id, and ids and scores of its k nearest among the candidates, ties to the smaller id."""
+    order = np.argsort(ids)
+    at = order[np.minimum(np.searchsorted(ids[order], own), len(ids) - 1)]
+    row = np.where(ids[at] == own, at, -1)
+    for q, rows in forest.candidates(queries, row, k, fresh):
+        query = queries[q]
+        # An id may stand in a block more than once, with other vectors.
+        rows = rows[ids[rows] != own[q]]
         if len(rows) > k:
             rough = forest.vectors[rows] @ query
             border = np.partition(rough, len(rough) - k)[len(rough) - k]
             rows = rows[rough >= border - 1e-9 * max(1.0, np.abs(rough).max())]
         score = inner_products(forest.vectors[rows], query)
         best = np.lexsort((ids[rows], -score))[:k]
-        yield ids[rows[best]].tolist(), score[best].tolist()
+        yield int(own[q]), ids[rows[best]].tolist(), score[best].tolist()
 
 
 def usable(vector: Column) -> Column:
@@ -105,76 +150,85 @@ def nearest(
     k: int = 20,
     trees: int = 80,
     bits: int = 24,
-    share: float = 0.8,
+    fresh: float = 0.05,
     rows_per_block: int = 8192,
-    queries_per_block: int = 4096,
+    queries_per_block: int = 2048,
+    partitions: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """The k nearest rows of each query by inner product: query_id, rank, vec_id, score.
 
-    All rows are indexed: they are dealt to blocks of about ``rows_per_block``, each with a forest of its own, and the
-    index is stored (vectors only; hashing is repeated where a block is searched).  Queries go in blocks to every
-    index block; a query collects ``share`` times the block's rows as matches over all trees, with repetition, before its
-    candidates are scored, and the best of all blocks are merged.  Memory is set by the block sizes.
+    All rows are indexed: they are dealt to blocks of about ``rows_per_block``, and the index of a block (vectors, sorted hash strings
+    of all trees) is built and stored once.  Each block of queries is sent to every index block, where a query meets as many
+    rows as its own neighbours call for (``PrefixForest.candidates``), all of a small table; the best of all blocks are merged.
+    Memory is set by the block sizes, and ``partitions`` (the session's number of shuffle partitions, if not given) by how many tasks share the work.
 
     Of equal vectors only the k + 1 smallest ids can be among anyone's nearest, so the others are left out of
     the index (not of the queries), which also splits a hot vector before the shuffle.
 
-    Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part, nor do
-    null ids; repeated rows count once; a query is never its own neighbour; an empty table has no result.
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; vectors of different lengths
+    have no inner product and do not meet; repeated rows count once; a query is never its own neighbour; an empty table has no result.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{vector}`").cast("array<double>").alias("_v"), is_query.alias("_q"))
-    rows = rows.where(F.col("_id").isNotNull() & usable(F.col("_v")))
-    lengths = rows.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if lengths is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    rows = rows.where(F.size("_v") == lengths["n"]).dropDuplicates(["_id", "_v"])
-    same = Window.partitionBy("_v").orderBy("_id")
-    norm = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)
+    rows = rows.where(F.col("_id").isNotNull() & usable(F.col("_v"))).dropDuplicates(["_id", "_v"]).withColumn("_dims", F.size("_v"))
     rows = stage(rows, "vectors")
-    indexed = rows.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1)
-    n, n_queries, longest = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("_q"), 1)), F.max(norm)).first()
-    blocks, query_blocks = -(-n // rows_per_block), max(1, -(-n_queries // queries_per_block))
-
-    index = _blocks(indexed, blocks, "_id", seed, "index")
-    asked = _blocks(rows.where("_q"), query_blocks, "_id", seed + 1, "asked")
-    pairs = index.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).join(
-        asked.select(F.col("_block").alias("_to"), F.col("_ids").alias("_qids"), F.col("_vectors").alias("_qvectors")), "_to"
+    same = Window.partitionBy("_v").orderBy("_id")
+    indexed = rows.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).drop("_n")
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    sizes = rows.groupBy("_dims").agg(
+        F.ceil(F.count(F.lit(1)) / rows_per_block).alias("_blocks"),
+        F.ceil(F.greatest(F.count_if("_q"), F.lit(1)) / queries_per_block).alias("_parts"),
+        (F.max(norm) * (1 + 1e-9)).alias("_longest"),
     )
-    longest = float(longest) ** 0.5 * (1 + 1e-9)
-    dims = int(lengths["n"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, data, own, asked in zip(*[batch.column(i) for i in range(4)], strict=True):
-                ids, own = np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(own.as_py(), "<i8")
-                points = np.frombuffer(data.as_py(), "<f8").reshape(-1, dims)
-                queries = np.frombuffer(asked.as_py(), "<f8").reshape(-1, dims)
-                forest = PrefixForest(points, longest, trees, bits, seed)
-                found = list(nearest_in(forest, ids, queries, own, k, int(share * len(ids)) + 1))
-                columns = [pa.array(own), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "ids", "scores"])
+    sizes = stage(sizes, "vector-sizes")
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(part: DataFrame, number: str, salt: int) -> DataFrame:
+        deal = F.pmod(F.xxhash64("_id", F.lit(salt)), F.col(number)).cast("int")
+        return part.select("_id", "_v", "_dims").join(sizes, "_dims").withColumn("_block", deal)
 
+    def payload(group: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+        ids = group.column("_id").to_numpy().astype("<i8")
+        flat = group.column("_v").combine_chunks().flatten().to_numpy().astype("<f8")
+        return group.column("_block")[0].as_py(), ids, flat.reshape(len(ids), -1)
+
+    def build(group: pa.Table) -> pa.Table:
+        block, ids, points = payload(group)
+        dims = points.shape[1]
+        forest = PrefixForest.build(points, group.column("_longest")[0].as_py(), _planes(dims, trees, bits, seed))
+        packed = [pa.array([x.tobytes()], pa.binary()) for x in (ids, points, forest.sorted, forest.order)]
+        return pa.table([pa.array([dims], pa.int32()), pa.array([block], pa.int32()), *packed], ["_dims", "_block", "_ids", "_vectors", "_sorted", "_order"])
+
+    def ask(group: pa.Table) -> pa.Table:
+        part, ids, points = payload(group)
+        columns = [pa.array([points.shape[1]], pa.int32()), pa.array([part], pa.int32()), pa.array([group.column("_blocks")[0].as_py()]), pa.array([ids.tobytes()]), pa.array([points.tobytes()])]
+        return pa.table(columns, ["_dims", "_part", "_blocks", "_qids", "_qvectors"])
+
+    def search(group: pa.Table) -> pa.Table:
+        found = []
+        for row in group.to_pylist():
+            dims = row["_dims"]
+            ids, own = np.frombuffer(row["_ids"], "<i8"), np.frombuffer(row["_qids"], "<i8")
+            points, queries = (np.frombuffer(row[c], "<f8").reshape(-1, dims) for c in ("_vectors", "_qvectors"))
+            codes, order = (np.frombuffer(row[c], np.uint32).reshape(trees, -1) for c in ("_sorted", "_order"))
+            forest = PrefixForest(points, codes, order, _planes(dims, trees, bits, seed))
+            found += nearest_in(forest, ids, queries, own, k, fresh)
+        columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))]
+        return pa.table(columns, ["query_id", "ids", "scores"])
+
+    index = dealt(indexed, "_blocks", seed).groupBy("_dims", "_block")
+    index = stage(index.applyInArrow(build, "_dims int, _block int, _ids binary, _vectors binary, _sorted binary, _order binary"), "index")
+    asked = dealt(rows.where("_q"), "_parts", seed + 1).groupBy("_dims", "_block")
+    asked = stage(asked.applyInArrow(ask, "_dims int, _part int, _blocks long, _qids binary, _qvectors binary"), "asked")
+    asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1)))
+    pairs = index.repartition(n, "_dims", "_block").join(asked.repartition(n, "_dims", "_block").hint("shuffle_hash"), ["_dims", "_block"])
     best = (
-        pairs.repartition(max(1, blocks * query_blocks), "_block", "_to")
-        .select("_ids", "_vectors", "_qids", "_qvectors")
-        .mapInArrow(search, "query_id bigint, ids array<bigint>, scores array<double>")
+        pairs.groupBy("_dims", "_block", "_part")
+        .applyInArrow(search, "query_id bigint, ids array<bigint>, scores array<double>")
         .select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("_f"))
         .select("query_id", F.col("_f.ids").alias("vec_id"), F.col("_f.scores").alias("score"))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
-
-
-def _blocks(rows: DataFrame, n: int, key: str, seed: int, name: str) -> DataFrame:
-    """One stored row per block: its ids and vectors as packed numbers."""
-
-    def pack(group: pa.Table) -> pa.Table:
-        ids = group.column("_id").to_numpy().astype("<i8")
-        flat = group.column("_v").combine_chunks().flatten().to_numpy().astype("<f8")
-        return pa.table({"_block": pa.array([group.column("_block")[0].as_py()], pa.int32()), "_ids": pa.array([ids.tobytes()]), "_vectors": pa.array([flat.tobytes()])})
-
-    dealt = rows.select("_id", "_v", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)).cast("int").alias("_block"))
-    return stage(dealt.groupBy("_block").applyInArrow(pack, "_block int, _ids binary, _vectors binary"), name)
