@@ -2,94 +2,44 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from causalbars.llm.words import ByteIds, PartTable, Ragged, slices
 from causalbars.plans.staging import stage
 
-_TAIL = ".,;:!?"
-_RUN = re.compile(r"\s\s")
+class IdTable(PartTable):
+    """Ids of texts as little-endian 32-bit bytes, as the tokenizer gives them for whole texts without adding special tokens."""
 
+    def __init__(self, path: str, words: int = 250_000):
+        self.tokenizer = ByteIds(path, plain=False)
+        self.added = self.tokenizer.added()
+        super().__init__("", words)
 
-class ByteBpe:
-    """Ids of a byte-level BPE tokenizer file as little-endian 32-bit bytes, with a bounded memory of words.
+    def forget(self) -> None:
+        super().forget()
+        self.ids = Ragged(np.uint32)
 
-    The tokenizer never joins text across a single space or line break between two other characters (a space goes to the
-    word behind it, a line break stands alone), so a text is the sequence of its parts, and the ids of a part are
-    looked up or asked for once.  A text with longer runs of white space is encoded whole.
-
-    A part is a word, which stands for a space and the word, or a line break and a word.
-    """
-
-    def __init__(self, path: str, words: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words = words
-        self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.line = self._ask("\n")
-
-    def _ask(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encode new parts together, a line break behind each."""
-        line = int(np.frombuffer(self.line, "<u4")[0])
-        for i in range(0, len(parts), 500):
-            some = parts[i : i + 500]
-            joined = "".join([f"{p[1:]}\n" if p[0] == "\n" else f" {p}\n" for p in some])
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
-            raw, start = ids.tobytes(), 0
-            for p, end in zip(some, (4 * np.flatnonzero(ids == line)).tolist(), strict=True):
-                self.known[p] = self.line + raw[start:end] if p[0] == "\n" else raw[start:end]
-                start = end + 4
-
-    def _part(self, part: str) -> bytes:
-        return self.known.get(part) or self._ask(part if part[:1] == "\n" else f" {part}")
+    def learn(self, parts: list[str]) -> None:
+        self.ids.append(self.tokenizer.encode(parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.words:
-            self.known.clear()
-            self.tails.clear()
-        split = [None if _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        wanted: set[str] = set()
-        for parts in split:
-            if parts:
-                wanted.update(islice(parts, 1, None))
-        wanted = {p for p in wanted if p not in self.known}
-        # Punctuation behind a letter or digit is tokenized by itself.
-        tails = []
-        for p in wanted.copy():
-            stem = p.rstrip(_TAIL)
-            if stem != p and stem and stem[-1].isalnum():
-                wanted.discard(p)
-                wanted.add(stem)
-                tails.append((p, stem, p[len(stem) :]))
-        wanted = {p for p in wanted if p not in self.known}
-        self._learn([p for p in wanted if p.strip("\n") and not p[-1].isspace() and not p.lstrip("\n")[0].isspace()])
-        for p, stem, tail in tails:
-            if stem in self.known:
-                self.known[p] = self.known[stem] + (self.tails.get(tail) or self.tails.setdefault(tail, self._ask(tail)))
-        out = []
-        for text, parts in zip(texts, split, strict=True):
-            if not parts:
-                out.append(self._ask(text))
-                continue
-            try:
-                ids = b"".join(map(self.known.__getitem__, islice(parts, 1, None)))
-            except KeyError:
-                ids = b"".join(map(self._part, parts[1:]))
-            out.append(self._ask(parts[0]) + ids if parts[0] else ids)
+        """A text that holds an added token is encoded whole, since the token may stand across parts."""
+        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        codes, sizes = self.split(["" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
+        ids, length = self.ids.take(codes)
+        ends = np.cumsum(np.add.reduceat(length, np.cumsum(sizes) - sizes)) * 4
+        raw = ids.astype("<u4").tobytes()
+        out = [raw[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.whole(texts[i]), "<u4").tobytes()
         return out
 
 
@@ -237,10 +187,9 @@ def pack_documents(
             return pa.RecordBatch.from_pydict(_columns(done, first, part), schema=arrow)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for some in _chunks(texts, 2_000_000):
-                ids = encoder.encode([t or "" for t in texts[some]])
-                for k, i in zip(keys[some], ids, strict=True):
+            for some in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), 1_000_000):
+                keys, texts = (batch.column(i).slice(some.start, some.stop - some.start).to_pylist() for i in range(2))
+                for k, i in zip(keys, encoder.encode([t or "" for t in texts]), strict=True):
                     packer.add((k, 0, len(i) // 4 + 1, i + end))
                 if done := packer.finished():
                     yield out(done, _base(0, part) + n)
@@ -269,22 +218,11 @@ def pack_documents(
     return out.select(F.col("key").alias(key), "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset")
 
 
-_ENCODERS: dict[str, ByteBpe] = {}
+_ENCODERS: dict[str, IdTable] = {}
 
 
-def _encoder(path: str) -> ByteBpe:
+def _encoder(path: str) -> IdTable:
     """One per worker process, kept between its tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ByteBpe(path)
+        _ENCODERS[path] = IdTable(path)
     return _ENCODERS[path]
-
-
-def _chunks(texts: list[str | None], chars: int) -> Iterator[slice]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
