@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalbars.llm.common import put
+from causalbars.llm.graph import components
+from causalbars.plans.series import numbered
 from causalbars.plans.staging import stage
 
-#: Distinct membership patterns (sets of sources that some document has) that the flow is solved for.
-MAX_PATTERNS = 20_000
 _BUCKETS = 4096
 
 
@@ -68,21 +69,6 @@ class FlowNetwork:
             sent += amount
 
 
-def targets(sizes: dict, weights: dict, total: int, most: float) -> dict[object, float]:
-    """Share ``total`` by weight; a target stops at ``most`` times its source's size, the excess is reshared."""
-    open_sources, left, out = list(sizes), float(total), {}
-    while open_sources:
-        weight = sum(weights[s] for s in open_sources)
-        full = [s for s in open_sources if left * weights[s] / weight > most * sizes[s]]
-        if not full:
-            return out | {s: left * weights[s] / weight for s in open_sources}
-        for s in full:
-            out[s] = float(most * sizes[s])
-            left -= out[s]
-        open_sources = [s for s in open_sources if s not in full]
-    return out
-
-
 def plan_flow(patterns: dict[tuple, int], wanted: dict[object, float], passes: int) -> dict[tuple, int]:
     """Words to take from each pattern: demand of sources met at least repetition cost.
 
@@ -104,6 +90,66 @@ def plan_flow(patterns: dict[tuple, int], wanted: dict[object, float], passes: i
     return {key: sum(net.flow(e) for e in supply[key]) for key in keys}
 
 
+def _named(source: str) -> Column:
+    """A source as a join key; null is a source too."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
+
+
+def _targets(edges: DataFrame, total: int, weights: Sequence[float], most: int) -> DataFrame:
+    """_source and _target: ``total`` words shared by weight; a target stops at ``most`` times its source's size, the excess is reshared."""
+    sizes = edges.groupBy("_source", "_s").agg(F.sum("_total").alias("_words"))
+    sizes = numbered(sizes.withColumn("_last", F.col("_s").isNull()), ["_last", "_s"], "_i")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights)).cast("int"))
+    sizes = stage(sizes.select("_source", (most * F.col("_words")).cast("double").alias("_most"), weight.alias("_weight")), "mix-sources")
+    rate, full = 0.0, -1
+    while True:
+        is_full = F.col("_weight") * rate > F.col("_most")
+        n, taken, open_weight = sizes.agg(
+            F.count_if(is_full), F.sum(F.when(is_full, F.col("_most")).otherwise(0.0)), F.sum(F.when(is_full, 0.0).otherwise(F.col("_weight")))
+        ).first()
+        if n == full or not open_weight:
+            break
+        full, rate = n, (total - taken) / open_weight
+    return sizes.select("_source", F.least(F.col("_weight") * rate, "_most").alias("_target"))
+
+
+def _flows(edges: DataFrame, passes: int) -> DataFrame:
+    """_pattern and _flow, the words that the flow takes of each pattern."""
+    lone = edges.groupBy("_source").agg(F.count(F.lit(1)).alias("_p")).where("_p > 1").select("_source")
+    hung = edges.join(lone, "_source", "left_semi").select("_pattern").distinct()
+    roots = components(edges.join(hung, "_pattern", "left_semi").select(F.concat(F.lit("p"), "_pattern").alias("a"), "_source").withColumnRenamed("_source", "b"))
+    roots = roots.where("node like 'p%'").select(F.substring("node", 2, 1 << 30).alias("_pattern"), "root")
+    grouped = edges.join(roots, "_pattern", "left").withColumn("_group", F.coalesce("root", F.concat(F.lit("p"), "_pattern")))
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = grouped.select("_group", "_pattern", "_total", "_source", "_target").repartition(n, "_group").sortWithinPartitions("_group", "_pattern")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, patterns, sources, held, out = None, {}, {}, {}, []
+
+        def close() -> None:
+            flow = plan_flow({(*s,): held[p] for p, s in patterns.items()}, sources, passes)
+            out.extend((p, flow[(*s,)]) for p, s in patterns.items())
+
+        def ready() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], ["_pattern", "_flow"])
+
+        for batch in batches:
+            for group, p, total, source, target in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group != now:
+                    if patterns:
+                        close()
+                    now, patterns, sources, held = group, {}, {}, {}
+                patterns.setdefault(p, []).append(source)
+                sources[source], held[p] = target, total
+            yield ready()
+            out = []
+        if patterns:
+            close()
+            yield ready()
+
+    return rows.mapInArrow(solve, "_pattern string, _flow bigint")
+
+
 def mix_sources(
     docs: DataFrame,
     sources: Column,
@@ -120,8 +166,11 @@ def mix_sources(
     last, weigh ``weights``, repeating; their shares add up to all words; a target stops at ``passes``
     times the words of the source's documents.
 
-    1. Sizes are summed per membership pattern before the shuffle; only these sums go to the driver.
-    2. A min-cost flow routes pattern capacity to source quotas (``plan_flow``).
+    1. Sizes are summed per membership pattern before the shuffle.  Targets are found on the table of sources, from a few totals
+       a round, however many sources there are.
+    2. A min-cost flow routes pattern capacity to source quotas (``plan_flow``).  Patterns that share no source, directly or
+       through others, have flows of their own, which tasks solve side by side; nothing goes to the driver.  Only
+       patterns that hang together are in one task.
     3. A pattern's documents are all taken ``flow div size`` times, and those first in a seeded hash order once more,
        as many as come nearest to the rest.  The order's border is found from sums of 4,096 hash ranges per
        pattern, and only the range on the border is sorted, so a hot source is never in one task.
@@ -130,7 +179,6 @@ def mix_sources(
     negative size counts as 0; documents with no source are never taken; equal keys are taken alike;
     an empty table stays empty; input columns with the added names are replaced.
     """
-    spark = docs.sparkSession
     names = F.coalesce(F.array_sort(F.array_distinct(sources)), F.array().cast("array<string>"))
     words = F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long")
     pattern = F.to_json(F.struct(names.alias("s")), {"ignoreNullFields": "false"})
@@ -139,36 +187,26 @@ def mix_sources(
     docs = docs.withColumns({"_pattern": pattern, "_size": words, "_order": order})
     light = stage(docs.select("_pattern", names.alias("_sources"), "_size", "_order"), "mix-sizes")
 
-    sums = light.groupBy("_pattern").agg(F.first("_sources").alias("_sources"), F.sum("_size").alias("_total"))
-    rows = sums.limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} distinct sets of sources")
-    patterns = {tuple(r._sources or ()): r._total for r in rows}
-    ids = {tuple(r._sources or ()): r._pattern for r in rows}
-    known = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(t for p, t in patterns.items() if s in p) for s in known}
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(known)}
-    total = sum(t for p, t in patterns.items() if p)
-    wanted = targets(sizes, weight, total, passes)
-    flow = plan_flow(patterns, wanted, passes)
-    if not rows:
-        return put(
-            docs,
-            mix_size=F.col("_size"),
-            mix_pattern_size=F.col("_size"),
-            mix_target=F.lit(0.0),
-            mix_repeats=F.lit(0),
-            mix_taken=F.lit(0).cast("long"),
-        ).drop("_pattern", "_size", "_order")
-
-    plan = spark.createDataFrame(
-        [
-            (ids[p], t, float(sum(wanted[s] for s in p)), flow[p] // t if t else 0, flow[p] % t if t else 0)
-            for p, t in patterns.items()
-        ],
-        "_pattern string, _total bigint, _target double, _passes bigint, _rest bigint",
+    sums = stage(light.groupBy("_pattern").agg(F.first("_sources").alias("_sources"), F.sum("_size").alias("_total")), "mix-patterns")
+    edges = sums.select("_pattern", "_total", F.explode("_sources").alias("_s")).withColumn("_source", _named("_s"))
+    total = sums.where(F.size("_sources") > 0).agg(F.sum("_total")).first()[0] or 0
+    wanted = _targets(edges, total, weights, passes)
+    edges = stage(edges.join(wanted, "_source").select("_pattern", "_total", "_source", "_target"), "mix-edges")
+    flow = _flows(edges, passes)
+    aims = edges.groupBy("_pattern").agg(F.sum("_target").alias("_target"))
+    plan = (
+        sums.select("_pattern", "_total")
+        .join(aims, "_pattern", "left")
+        .join(flow, "_pattern", "left")
+        .select(
+            "_pattern",
+            "_total",
+            F.coalesce("_target", F.lit(0.0)).alias("_target"),
+            F.coalesce(F.floor(F.try_divide("_flow", "_total")), F.lit(0)).alias("_passes"),
+            F.coalesce(F.expr("try_mod(_flow, _total)"), F.lit(0)).alias("_rest"),
+        )
     )
-    plan = F.broadcast(plan)  # at most MAX_PATTERNS rows
+    plan = stage(plan, "mix-plan")
     by_bucket = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranges = (
         light.groupBy("_pattern", bucket.alias("_bucket"))
@@ -178,11 +216,11 @@ def mix_sources(
     )
     # One row per pattern at most: the hash range in which the rest runs out.
     border = ranges.where((F.col("_end") > F.col("_rest")) & (F.col("_end") - F.col("_words") <= F.col("_rest")) & (F.col("_words") > 0))
-    border = border.select("_pattern", "_bucket", "_rest", (F.col("_end") - F.col("_words")).alias("_before"))
+    border = stage(border.select("_pattern", "_bucket", "_rest", (F.col("_end") - F.col("_words")).alias("_before")), "mix-borders")
     in_order = Window.partitionBy("_pattern").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
     near = (
         light.withColumn("_bucket", bucket)
-        .join(F.broadcast(border), ["_pattern", "_bucket"])
+        .join(border, ["_pattern", "_bucket"])
         .groupBy("_pattern", "_order", "_before", "_rest")
         .agg(F.sum("_size").alias("_size"))
         .withColumn("_end", F.col("_before") + F.sum("_size").over(in_order))
@@ -198,7 +236,7 @@ def mix_sources(
         .select("_pattern", "_total", "_target", "_passes", "_last")
     )
     cuts = stage(cuts, "mix-cuts")
-    chosen = docs.join(F.broadcast(cuts), "_pattern", "left")
+    chosen = docs.join(cuts, "_pattern", "left")
     repeats = (F.coalesce("_passes", F.lit(0)) + F.when(F.col("_order") <= F.col("_last"), 1).otherwise(0)).cast("int")
     return put(
         chosen,
