@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalbars.llm.bits import bit_table, mix64
@@ -138,94 +138,98 @@ def _row_key(key: str, text: str) -> Column:
     return F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
 
 
-#: Longs in the bits of a difference of two sets.
-_LONGS = 8
-_DIFF = [f"_{side}{i}" for side in ("less", "more") for i in range(_LONGS)]
-
-
-def _diff_bits(elements: set) -> list[int]:
-    """Elements of a set as bits, as signed longs: as many distinct bits as elements, or fewer."""
-    bits = 0
-    for e in elements:
-        bits |= 1 << (xxhash.xxh3_64_intdigest(b" ".join(e)) % (64 * _LONGS))
-    raw = bits.to_bytes(8 * _LONGS, "little")
-    return np.frombuffer(raw, "<i8").tolist()
-
-
-def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Each pair (a, b) of row keys with good: whether the full shingle sets are similar enough.
-
-    Also the bits of a without b (_less0 ..) and of b without a (_more0 ..), the size of the latter and of a.
-    """
+def _with_texts(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``pairs`` (a, b) of row keys with the texts _left and _right; pairs of one a come together."""
     needed = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
     texts = docs.select(_row_key(key, text).alias("_row"), F.col(f"`{text}`").alias("_text"))
     texts = stage(texts.where(bit_table(needed).test()(F.col("_row"))).dropDuplicates(["_row"]), "texts")
-    numbers = ["_n_more", "_n_hub", *_DIFF]
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
-        for batch in batches:
-            good, rows = [], []
-            for a, left, right in zip(*[batch.column(i) for i in (0, 2, 3)], strict=True):
-                if a.as_py() != last:
-                    last, own = a.as_py(), shingles_of(left.as_py(), width)
-                other = shingles_of(right.as_py(), width)
-                both = len(own & other)
-                good.append(100 * both >= percent * (len(own) + len(other) - both))
-                more = other - own
-                rows.append([len(more), len(own), *_diff_bits(own - other), *_diff_bits(more)])
-            table = np.array(rows, np.int64).reshape(len(rows), len(numbers))
-            columns = [batch.column(0), batch.column(1), pa.array(good, pa.bool_()), *[pa.array(table[:, i]) for i in range(len(numbers))]]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "good", *numbers])
-
-    joined = (
+    return (
         pairs.join(texts.select(F.col("_row").alias("b"), F.col("_text").alias("_right")), "b")
         .join(texts.select(F.col("_row").alias("a"), F.col("_text").alias("_left")), "a")
         .select("a", "b", "_left", "_right")
     )
-    return joined.mapInArrow(check, "a bigint, b bigint, good boolean, " + ", ".join(f"{n} bigint" for n in numbers))
 
 
-def _common_bound(x: str, y: str) -> Column:
-    """At least as many shingles as x and y share, from how each differs from the same hub.
+def _set_pairs(batch: pa.RecordBatch, width: int, held: list) -> Iterator[tuple[set, set]]:
+    """The shingle sets of both sides; ``held`` keeps the last left one."""
+    for a, left, right in zip(*[batch.column(i) for i in (0, 2, 3)], strict=True):
+        if not held or a.as_py() != held[0]:
+            held[:] = a.as_py(), shingles_of(left.as_py(), width)
+        yield held[1], shingles_of(right.as_py(), width)
 
-    Of the hub's shingles they share no more than those that neither lacks; bits of what is lacking, taken together, are
-    no more than such shingles.  Of other shingles they share no more than x has beyond those whose bits y hasn't.
-    """
 
-    def sum_bits(of) -> Column:
-        total = F.lit(0)
-        for i in range(_LONGS):
-            total = total + F.bit_count(of(i))
-        return total
+def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Each pair (a, b) of row keys with good: whether the full shingle sets are similar enough."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            good = []
+            for x, y in _set_pairs(batch, width, held):
+                both = len(x & y)
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
-    def col(side: str, name: str, i: int) -> Column:
-        return F.col(f"{side}_{name}{i}")
+    return _with_texts(pairs, docs, key, text).mapInArrow(check, "a bigint, b bigint, good boolean")
 
-    lacking = sum_bits(lambda i: col(x, "less", i).bitwiseOR(col(y, "less", i)))
-    alone = [
-        sum_bits(lambda i, p=p, q=q: col(p, "more", i).bitwiseAND(F.bitwise_not(col(q, "more", i)))) for p, q in ((x, y), (y, x))
-    ]
-    beyond = F.least(F.col(f"{x}_n_more") - alone[0], F.col(f"{y}_n_more") - alone[1])
-    return F.col(f"{x}_n_hub") - lacking + beyond
 
+def _differences(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """For each pair (hub, node) ``elements``, hashes of the shingles that only one of them has, and ``need``.
 
-def _open_pairs(members: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
-    """(x, nx, y, ny): members of one bucket in different components that may still be linked.
+    Two members of one hub are similar enough if and only if they share at least the sum of their needs of these elements (an element
+    that both lack, or both have beyond the hub): with t = percent / (100 + percent) and s shared elements, their sets share
+    |hub| - |hub without x| - |hub without y| + s shingles, and a link asks for t * (|x| + |y|).  Needs are whole numbers, 2 * (100 + percent)
+    times that.
+    """
 
-    Every member has been compared with its bucket's hub, the smallest node, unless their sizes forbid a link.  The
-    differences found there bound what two members share, and pairs whose bound is too small are not made.
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            elements, needs = [], []
+            for hub, own in _set_pairs(batch, width, held):
+                less, more = hub - own, own - hub
+                hashed = [xxhash.xxh3_64_intdigest(b" ".join(e), seed) for seed, part in enumerate((less, more)) for e in part]
+                elements.append(np.array(hashed, np.uint64).view(np.int64).tolist())
+                needs.append(2 * percent * len(own) - (100 + percent) * (len(hub) - 2 * len(less)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(elements, pa.list_(pa.int64())), pa.array(needs, pa.int64())], ["hub", "node", "elements", "need"])
+
+    renamed = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return _with_texts(renamed, docs, key, text).mapInArrow(differ, "hub bigint, node bigint, elements array<bigint>, need bigint")
+
+
+def _open_pairs(members: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """(x, nx, y, ny): members of one bucket in different components, enough pairs to find all their links or what follows from them.
+
+    The hub of a bucket is its smallest node, with which its members were compared.  Two members whose needs add up to nothing are
+    linked for certain; each such member is paired with the one of the least need, to which then both are linked.  All others
+    must share elements of their differences from the hub.  Elements are put in order, rare ones first: a member
+    with d elements that must share m of them has one in common with its partner among its first d - m + 1, so
+    only those are joined, and elements that no other member has not at all.
     """
+    scale = 2 * (100 + percent)
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"))
-    told = compared.select(F.col("a").alias("hub"), F.col("b").alias("node"), "_n_more", "_n_hub", *_DIFF)
-    rows = members.join(hubs, "band").where("node <> hub").join(told, ["hub", "node"], "left")
-    rows = stage(rows.drop("hub"), "open-members")
-    sides = [rows.select("band", *[F.col(c).alias(f"{s}{c}") for c in rows.columns if c != "band"]) for s in "xy"]
-    union = F.col("xn") + F.col("yn") - _common_bound("x", "y")
-    unlikely = 100 * _common_bound("x", "y") < percent * union
+    rows = members.join(hubs, "band").where("node <> hub").select("hub", "node", "n", "root").distinct()
+    rows = stage(rows, "open-members")
+    told = stage(_differences(rows.select("hub", "node"), docs, key, text, width, percent), "differences")
+    rows = rows.join(told.select("hub", "node", "need"), ["hub", "node"])
+    least = rows.groupBy("hub").agg(F.min(F.struct("need", "node", "n", "root")).alias("_least"))
+    rows = stage(rows.join(least, "hub"), "needs")
+    certain = rows.where((F.col("need") + F.col("_least.need") <= 0) & (F.col("root") != F.col("_least.root")))
+    certain = certain.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("_least.node").alias("y"), F.col("_least.n").alias("ny"))
+
+    each = told.select("hub", "node", F.size("elements").alias("_d"), F.explode("elements").alias("e"))
+    common = stage(each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1"), "common-elements")
+    # Elements of one member alone come first in the order; those after them are numbered from the end.
+    shared = each.join(common, ["hub", "e"])
+    place = F.row_number().over(Window.partitionBy("hub", "node").orderBy(F.desc("_c"), F.desc("e")))
+    shared = shared.withColumn("_place", F.col("_d") - place + 1).join(rows.select("hub", "node", "n", "root", "need", "_least"), ["hub", "node"])
+    must = F.greatest(F.ceil((F.col("need") + F.col("_least.need")) / scale), F.lit(1))
+    first = stage(shared.where(F.col("_place") <= F.col("_d") - must + 1).select("hub", "e", "node", "n", "root"), "first-elements")
+    sides = [first.select("hub", "e", *[F.col(c).alias(f"{s}{c}") for c in ("node", "n", "root")]) for s in "xy"]
     sizes = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
-    both = sides[0].join(sides[1], "band").where((F.col("xroot") < F.col("yroot")) & sizes & ~F.coalesce(unlikely, F.lit(False)))
-    return both.select(F.col("xnode").alias("x"), F.col("xn").alias("nx"), F.col("ynode").alias("y"), F.col("yn").alias("ny"))
+    sharing = sides[0].join(sides[1], ["hub", "e"]).where((F.col("xroot") < F.col("yroot")) & sizes)
+    sharing = sharing.select(F.col("xnode").alias("x"), F.col("xn").alias("nx"), F.col("ynode").alias("y"), F.col("yn").alias("ny"))
+    return certain.unionByName(sharing.distinct())
 
 
 def _members(docs: DataFrame, key: str, text: str, width: int, percent: int, bands: int, rows: int, star_rounds: int) -> DataFrame:
@@ -258,7 +262,7 @@ def _members(docs: DataFrame, key: str, text: str, width: int, percent: int, ban
             hubs = open_members.groupBy("band").agg(F.min(F.struct(turn.alias("t"), "node", "n")).alias("hub"))
             pairs = open_members.join(hubs, "band").select(F.col("hub.node").alias("x"), F.col("hub.n").alias("nx"), F.col("node").alias("y"), F.col("n").alias("ny"))
         elif compared is not None:
-            pairs = _open_pairs(open_members, compared, percent)
+            pairs = _open_pairs(open_members, source, key, text, width, percent)
         else:
             sides = [open_members.select("band", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}")) for s in "xy"]
             pairs = sides[0].join(sides[1], "band").where("rx < ry")
@@ -301,8 +305,8 @@ def near_duplicates(
     2. A bucket is a band hash that several classes have.  Instead of all pairs of a bucket, each member is paired with one
        hub; pairs with possible set sizes are verified on the full texts, and links merged to components.  After
        ``star_rounds`` rounds with different hubs, what is left are members of one bucket in different components.  Those
-       pairs of them are verified that may be linked by how both differ from the hub (``_common_bound``, which is never
-       too small), so no link in a bucket is lost.
+       pairs of them are verified that may be linked by how both differ from the hub (``_open_pairs``), so no
+       link in a bucket is lost, and no bucket is joined with itself.
     3. A pair of similarity s shares no bucket with probability (1 - s^rows)^bands: 5e-6 at 0.8 for 40 bands of 6.
 
     Texts without words (null, empty) have no shingles and no links.  Null keys are linked by their texts but never name a

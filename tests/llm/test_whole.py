@@ -1,6 +1,7 @@
 """Sharding, mixing, packing, resampling and search: the whole table decides."""
 
 import functools
+import time
 import zlib
 from collections import Counter
 
@@ -46,9 +47,37 @@ def test_written_shards_hold_every_row(spark, docs, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 3
 
 
-def test_targets_stop_and_are_reshared():
-    got = mixing.targets({"a": 100, "b": 10, "c": 90}, {"a": 1, "b": 2, "c": 3}, 200, 3)
-    assert got["b"] == 30 and got["a"] == pytest.approx(42.5) and got["c"] == pytest.approx(127.5)
+def brute_targets(sizes, weights, most):
+    """Sources in their order; a target stops at ``most`` times its size, and the excess is shared by the others."""
+    left, opened, out = float(sum(sizes.values())), dict(zip(sizes, weights, strict=True)), {}
+    while opened:
+        rate = left / sum(opened.values())
+        full = [s for s, w in opened.items() if rate * w > most * sizes[s]]
+        out |= {s: float(most * sizes[s]) for s in full} if full else {s: rate * w for s, w in opened.items()}
+        left -= sum(most * sizes[s] for s in full)
+        opened = {s: w for s, w in opened.items() if s not in full} if full else {}
+    return out
+
+
+def test_targets_stop_and_are_reshared(spark):
+    assert brute_targets({"a": 100, "b": 10, "c": 90}, (1, 2, 3), 3)["b"] == 30
+    draw = np.random.default_rng(7)
+    for sizes in ({"a": 100, "b": 10, "c": 90}, {f"s{i:03}": int(x) for i, x in enumerate(draw.integers(0, 10_000, 200) // draw.integers(1, 900, 200))}):
+        table = frame(spark, list(sizes.items()), "source string, size int")
+        got = mixing.mix_sources(table, F.array("source"), F.col("size"), F.col("source")).collect()
+        want = brute_targets(sizes, [(1, 2, 3)[i % 3] for i in range(len(sizes))], 3)
+        assert {r.source: r.mix_target for r in got} == pytest.approx(want)
+
+
+def test_fifty_thousand_sources(spark):
+    rows = spark.range(150_000).select(F.concat(F.lit("s"), F.lpad(F.pmod("id", F.lit(50_000)).cast("string"), 5, "0")).alias("source"), (F.col("id") % 97 + 1).alias("size"), "id")
+    began = time.time()
+    got = mixing.mix_sources(rows, F.array("source"), F.col("size"), F.col("id")).select("source", "mix_size", "mix_target", "mix_taken").toPandas()
+    assert time.time() - began < 60
+    by_source = got.groupby("source").agg(size=("mix_size", "sum"), largest=("mix_size", "max"), target=("mix_target", "first"), taken=("mix_taken", "sum")).sort_index()
+    want = brute_targets(by_source["size"].to_dict(), [(1, 2, 3)[i % 3] for i in range(50_000)], 3)
+    np.testing.assert_allclose(by_source.target, [want[s] for s in by_source.index])
+    assert ((by_source.taken - by_source.target).abs() <= by_source.largest).all()
 
 
 def test_flow_repeats_only_when_nothing_unread_would_serve():
@@ -82,15 +111,14 @@ def test_overlapping_sources_share_documents(spark):
     assert all(r.mix_taken == 0 for r in got if r.m is None)
 
 
-ODD = ["\n", "a\n\nb", "a  b", " a", "a ", "a \n", "\u00a0x\u00a0", "x\r\ny", "it's, he'll.", "a.b.c!?", "<|endoftext|> q", "", " ", "a\tb c\nd. E", "5.,z 5.", "\u2028a b"]
+ODD = ["<|endoftext|>", "a<|endoftext|>\n<|endoftext|>b", "<|endoftext", "\n", "a\n\nb", "a  b", " a", "a ", "a \n", "\u00a0x\u00a0", "x\r\ny", "it's, he'll.", "a.b.c!?", "<|endoftext|> q", "", " ", "a\tb c\nd. E", "5.,z 5.", "\u2028a b"]
 
 
 def test_encoder_equals_the_tokenizer(rows):
     plain = tokenizers.Tokenizer.from_file(str(TOKENIZER))
-    plain.encode_special_tokens = True
     texts = ODD + [r[1] or "" for r in rows]
     for words in (600_000, 10):
-        encoder = packing.ByteBpe(str(TOKENIZER), words)
+        encoder = packing.IdTable(str(TOKENIZER), words)
         for some in (texts, texts[::-1]):
             for text, ids in zip(some, encoder.encode(some), strict=True):
                 assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:50]
@@ -98,9 +126,9 @@ def test_encoder_equals_the_tokenizer(rows):
 
 @pytest.mark.parametrize(("length", "windows", "merge"), [(2048, 64, 64), (64, 3, 2), (16, 1, 2)])
 def test_pieces_rebuild_every_document(spark, docs, length, windows, merge):
+    docs = docs.unionByName(spark.createDataFrame([(900, "two <|endoftext|><|endoftext|> tokens", "en", "s", 1)], docs.schema))
     got = packing.pack_documents(docs.withColumn("key", F.lit(1)), str(TOKENIZER), length=length, windows=windows, merge=merge, least=4).collect()
     plain = tokenizers.Tokenizer.from_file(str(TOKENIZER))
-    plain.encode_special_tokens = True
     want = Counter()
     for r in docs.select("doc_id", "text").collect():
         ids = plain.encode(r.text or "", add_special_tokens=False).ids + [1]
@@ -187,3 +215,43 @@ def test_forest_finds_nearly_all_neighbours(spark):
     few = table.where("vec_id < 5")
     assert forest.nearest(few, F.col("vec_id") % 20 == 0).count() == 4
     assert forest.nearest(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 21, 100, 500, 2000])
+def test_forest_lists_are_full_at_every_size(spark, n):
+    """Vectors without structure, the hardest case; small tables are met whole."""
+    draw = np.random.default_rng(n)
+    points = [(i, draw.standard_normal(32).tolist()) for i in range(n)]
+    table = frame(spark, points, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in forest.nearest(table, F.col("vec_id") % 20 == 0, partitions=3).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = {q: {v for _, v in near} for q, near in brute_nearest(points, 20).items() if near}
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+    hits = sum(len(set(got[q]) & want[q]) for q in want)
+    assert hits >= (1 if n <= 100 else 0.9) * sum(map(len, want.values()))
+
+
+def test_forest_meets_few_rows_where_neighbours_are_near():
+    draw = np.random.default_rng(1)
+    points = (draw.standard_normal((400, 1, 32)) * 3 + 0.1 * draw.standard_normal((400, 20, 32))).reshape(-1, 32)
+    planes = forest._planes(32, 80, 24, 0)
+    built = forest.PrefixForest.build(points, float(np.linalg.norm(points, axis=1).max()), planes)
+    asked = np.arange(0, 8000, 20)
+    met, hits = 0, 0
+    for q, rows in built.candidates(points[asked], asked, 10, 0.05):
+        met += len(rows)
+        score = points @ points[asked[q]]
+        score[asked[q]] = -np.inf
+        hits += len(set(np.argsort(-score)[:10]) & set(rows.tolist()))
+    assert met < 0.35 * len(asked) * 8000 and hits >= 0.9 * 10 * len(asked)
+
+
+def test_forest_keeps_vectors_of_every_length(spark):
+    draw = np.random.default_rng(3)
+    points = [(i, draw.standard_normal(4 if i % 3 else 7).tolist()) for i in range(120)]
+    got = forest.nearest(frame(spark, points, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5, rows_per_block=16).collect()
+    for q in range(0, 120, 20):
+        same = [(i, x) for i, x in points if len(x) == len(points[q][1]) and i != q]
+        want = sorted((-float(np.dot(x, points[q][1])), i) for i, x in same)[:5]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [i for _, i in want]
