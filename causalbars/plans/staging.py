@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[context.applicationId]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: Sequence[str] = (), row_group_mb: int = 128) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
-    Later steps then scan only the columns they use, Catalyst sees real sizes,
-    and a lost executor costs a re-read instead of a recomputation.
+    Later steps then scan only the columns they use, and only the folders that they ask for of the columns ``partition_by``,
+    Catalyst sees real sizes, and a lost executor costs a re-read instead of a recomputation.  A task that writes holds one
+    row group, so wide rows written beside Python workers ask for smaller ones.
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/causalbars/{spark.sparkContext.applicationId}"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", row_group_mb << 20).partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
