@@ -130,7 +130,7 @@ class Encoders:
 class WordFragments(PartTable):
     """The closed groups of every word."""
 
-    def __init__(self, encoders: Encoders, words: int = 150_000):
+    def __init__(self, encoders: Encoders, words: int = 100_000):
         self.encoders = encoders
         super().__init__(" ", words)
 
@@ -242,18 +242,19 @@ def align_tokens(
         arrow, words = to_arrow_schema(schema), _words(a_path, b_path)
         for batch in batches:
             keys = batch.column(0)
-            for some in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), 1_000_000):
+            for some in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), 400_000):
                 texts = batch.column(1).slice(some.start, some.stop - some.start).to_pylist()
                 full = np.array([bool(t) for t in texts])
                 found = _spread(words.align([t for t in texts if t]), full) if full.any() else _nothing(len(full))
                 found["n_links"] = found["n_groups"]
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([keys[some.start : some.stop].cast(arrow.field(0).type), *[pa.array(found[f.name], f.type) if not isinstance(found[f.name], pa.Array) else found[f.name].cast(f.type) for f in list(arrow)[1:]]], schema=arrow)
 
     done = rows.where(~is_long).mapInArrow(whole, schema)
     composed = _long(rows.where(is_long), a_path, b_path, key, chunk, fan)
     if composed is not None:
         done = done.unionByName(composed.mapInArrow(_finish(schema, key), schema))
-    return stage(done.withColumn("_row", F.monotonically_increasing_id()), "aligned")
+    return stage(done.withColumn("_row", F.monotonically_increasing_id()), "aligned", row_group_mb=16)
 
 
 def _keyed(rows: DataFrame, key: str, fields: str) -> T.StructType:
