@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalbars.plans.series import global_position
+from causalbars.plans.staging import stage
 
+Fitted = TypeVar("Fitted")
 FoldFunction = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -131,6 +136,27 @@ def test_rows_of(folds: DataFrame) -> DataFrame:
     return folds.where(F.col("role") == "test")
 
 
+def fit_folds(fit: Callable[[int], Fitted], n_splits: int, parallel: int = 5) -> list[Fitted]:
+    """``fit(k)`` for every fold, at most ``parallel`` at a time, in the order of the folds.
+
+    Threads of the driver submit the folds' jobs side by side, each in a pool of its own, which a session with the fair scheduler
+    serves in turn (others in the order of submission).  A fit whose last stage leaves cores idle thus does not hold up the next.
+    """
+    context = SparkContext.getOrCreate()
+
+    def one(k: int) -> Fitted:
+        context.setLocalProperty("spark.scheduler.pool", f"fold-{k}")
+        return fit(k)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(n_splits, parallel))) as threads:
+        return list(threads.map(inheritable_thread_target(one), range(n_splits)))
+
+
+def stored_by_fold(folds: DataFrame) -> DataFrame:
+    """``folds`` written with a folder for each fold, so that a fit reads the rows of its own fold only."""
+    return stage(folds, "folds", ["fold"])
+
+
 def evaluate_folds(folds: DataFrame, n_splits: int, train_and_predict: FoldFunction) -> DataFrame:
     """Out-of-fold predictions of a user function ``(train, test) -> test + prediction``.
 
@@ -158,6 +184,12 @@ def fold_metrics(predicted: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     return predicted.groupBy("fold").agg(*[expr.alias(name) for name, expr in metrics.items()])
 
 
+def fold_results(folds: DataFrame, per_fold: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """One record per fold: train_size, test_size, purged_count and ``metrics`` as a map from name to value."""
+    pairs = [x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))]
+    return fold_sizes(folds).join(per_fold.select("fold", F.create_map(*pairs).alias("metrics")), "fold", "left")
+
+
 def metric_summary(per_fold: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Mean and population deviation of each metric over the folds."""
     return per_fold.agg(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causalbars.functions.exprs import preceding, rolling
-from causalbars.operators.cv import test_rows, train_rows
+from causalbars.operators.cv import fit_folds, stored_by_fold, test_rows, train_rows
 from causalbars.plans.quantiles import cut_points, slice_of
 from causalbars.plans.series import SeriesSpec, block_series, drop_internal, running_totals
 
@@ -80,23 +80,24 @@ class MetaClassifier:
         seed: int = 42,
         weight: str | None = "sample_weight",
         holdout: float = 0.1,
+        parallel: int = 5,
     ):
         self.features, self.n_trees, self.max_depth = list(features), n_trees, max_depth
-        self.seed, self.weight, self.holdout = seed, weight, holdout
+        self.seed, self.weight, self.holdout, self.parallel = seed, weight, holdout, parallel
         self.models: list = []
 
     def _assemble(self, df: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=self.features, outputCol="_features").transform(df)
 
     def fit(self, folds: DataFrame, n_splits: int, label: str = "meta_label") -> DataFrame:
-        """Fit one model per fold; returns test rows with ``proba`` and ``prediction``.
+        """Fit one model per fold, side by side; returns test rows with ``proba`` and ``prediction``.
 
         Early stopping watches the tail of the *training* rows, never the test fold.
-        Positives weigh ``max(1, negatives / positives)``.  Stage ``folds`` first.
+        Positives weigh ``max(1, negatives / positives)``.  The rows are stored by fold, and each fit reads its own.
         """
         columns = [c for c in self.features if c in folds.columns]
         self.features = columns
-        rows = self._assemble(folds.dropna(subset=[*columns, label])).withColumn("_y", F.col(label).cast("double"))
+        rows = self._assemble(stored_by_fold(folds.dropna(subset=[*columns, label]))).withColumn("_y", F.col(label).cast("double"))
         booster = GBTClassifier(
             featuresCol="_features",
             labelCol="_y",
@@ -111,8 +112,8 @@ class MetaClassifier:
             predictionCol="_pred",
         )
         booster = booster.setProbabilityCol("_proba").setRawPredictionCol("_raw")
-        self.models, parts = [], []
-        for k in range(n_splits):
+
+        def fit_one(k: int):
             train = train_rows(rows, k)
             stats = train.agg(
                 F.count_if(F.col("_y") == 0),
@@ -126,10 +127,10 @@ class MetaClassifier:
             weight = F.when(F.col("_y") == 1, positive).otherwise(1.0)
             if self.weight:
                 weight = weight * F.col(self.weight) / (stats[4] or 1.0)
-            train = train.withColumn("_fit_weight", weight).withColumn("_holdout", F.col("pos") > cut)
-            model = booster.fit(train)
-            self.models.append(model)
-            parts.append(self._score(model, test_rows(rows, k)))
+            return booster.fit(train.withColumn("_fit_weight", weight).withColumn("_holdout", F.col("pos") > cut))
+
+        self.models = fit_folds(fit_one, n_splits, self.parallel)
+        parts = [self._score(model, test_rows(rows, k)) for k, model in enumerate(self.models)]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)

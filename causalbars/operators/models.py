@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from causalbars.operators.cv import test_rows, train_rows
+from causalbars.operators.cv import fit_folds, stored_by_fold, test_rows, train_rows
 from causalbars.plans.quantiles import exact_quantiles
 
 # Input columns of the baseline classifier, classes, quantile levels.
@@ -68,9 +68,10 @@ class BaselineClassifier:
         max_depth: int = 5,
         seed: int = 42,
         weight: str | None = "sample_weight",
+        parallel: int = 5,
     ):
         self.features, self.n_trees, self.max_depth = list(features), n_trees, max_depth
-        self.seed, self.weight = seed, weight
+        self.seed, self.weight, self.parallel = seed, weight, parallel
         self.models: list = []
 
     def _assemble(self, df: DataFrame) -> DataFrame:
@@ -78,11 +79,11 @@ class BaselineClassifier:
         return assembler.transform(df)
 
     def fit(self, folds: DataFrame, n_splits: int, label: str = "label") -> DataFrame:
-        """Fit one forest per fold; returns test rows with ``proba`` and ``prediction``.
+        """Fit one forest per fold, side by side; returns test rows with ``proba`` and ``prediction``.
 
-        Stage ``folds`` first: every fold reads it.
+        The rows are stored by fold, and each fit reads its own.
         """
-        rows = self._assemble(folds).withColumn("_y", (F.col(label) + 1).cast("double"))
+        rows = self._assemble(stored_by_fold(folds)).withColumn("_y", (F.col(label) + 1).cast("double"))
         forest = RandomForestClassifier(
             featuresCol="_features",
             labelCol="_y",
@@ -94,11 +95,8 @@ class BaselineClassifier:
             predictionCol="_pred",
             rawPredictionCol="_raw",
         )
-        self.models, parts = [], []
-        for k in range(n_splits):
-            model = forest.fit(_balanced(train_rows(rows, k), "_y", self.weight))
-            self.models.append(model)
-            parts.append(self._score(model, test_rows(rows, k)))
+        self.models = fit_folds(lambda k: forest.fit(_balanced(train_rows(rows, k), "_y", self.weight)), n_splits, self.parallel)
+        parts = [self._score(model, test_rows(rows, k)) for k, model in enumerate(self.models)]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)

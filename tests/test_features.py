@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causalbars.operators import features, regime, sentiment
-from causalbars.plans.series import SeriesSpec
+from causalbars.plans.series import SeriesSpec, global_position
 
 SMALL = SeriesSpec(span_seconds=86_400, rows_per_block=80)
 
@@ -115,6 +115,43 @@ def test_regimes_are_causal_and_ordered(spark):
     assert (head.toPandas().sort_values("timestamp").regime.head(200) == 0).all()
 
 
+def test_regimes_walk_forward_on_sufficient_statistics(spark):
+    """The same walk in numpy: one E-step on each chunk with the parameters it was labelled by, added to all before."""
+    rng = np.random.default_rng(1)
+    n = 1000
+    vol = np.abs(np.repeat([0.5, 1.5, 4.0, 1.0, 3.0], n // 5) + rng.normal(0, 0.2, n))
+    ts = pd.Timestamp("2024-01-01") + np.arange(n) * pd.Timedelta("1h")
+    df = spark.createDataFrame(pd.DataFrame({"ticker": "A", "timestamp": ts, "realized_vol": vol, "log_return": rng.normal(0, vol)}))
+    got = regime.regime_labels(df, window=5, min_count=2).toPandas().sort_values("timestamp").set_index("timestamp").regime
+    inputs = global_position(regime.regime_inputs(df, 5, 2), "timestamp", ["timestamp"])
+    rows = inputs.toPandas().sort_values("pos")
+    x = rows[["mean_vol", "mean_corr_proxy"]].to_numpy()
+
+    def shares(points, w, m, c):
+        logs = [np.log(wk) - 0.5 * np.linalg.slogdet(ck)[1] - 0.5 * np.einsum("ij,jk,ik->i", points - mk, np.linalg.inv(ck), points - mk) for wk, mk, ck in zip(w, m, c, strict=True)]
+        e = np.exp(np.array(logs).T - np.max(logs, axis=0)[:, None])
+        return e / e.sum(axis=1, keepdims=True)
+
+    def refit(r, points, m, c):
+        total, m, c = r.sum(axis=0), list(m), list(c)
+        for k in np.flatnonzero(total >= 2):
+            m[k] = r[:, k] @ points / total[k]
+            cov = np.einsum("i,ij,ik->jk", r[:, k], points - m[k], points - m[k]) / total[k]
+            c[k] = cov + np.eye(2) * 1e-6 * np.trace(cov)
+        return total / total.sum(), np.array(m), c
+
+    first = regime.first_mixture(inputs.where("pos < 200"), 200, 3, 42)
+    seen, m, c = shares(x[:200], first.weights, first.means, first.covs), first.means, first.covs
+    hits = 0
+    for start in range(200, len(x), 200):
+        w, m, c = refit(seen, x[:start], m, c)
+        r = shares(x[start : start + 200], w, m, c)
+        want = np.argsort(np.argsort(m[:, 0]))[r.argmax(axis=1)]
+        hits += (got[rows.timestamp.iloc[start : start + 200]].to_numpy() == want).sum()
+        seen = np.vstack([seen, r])
+    assert hits >= len(x) - 200 - 2  # ties of two densities may round either way
+
+
 def test_bar_interval(spark, bars, bars_pdf):
     got = sentiment.bar_interval(bars, SMALL).first()["bar_seconds"]
     gaps = [g.sort_values().diff().dt.total_seconds().median() for _, g in bars_pdf.groupby("ticker")["timestamp"]]

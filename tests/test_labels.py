@@ -1,5 +1,7 @@
 """Triple barrier, weights and purged folds."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -178,3 +180,30 @@ def test_evaluation_and_oof(spark):
     assert (~oof.oof_mask).sum() == 20 and (oof[~oof.oof_mask].oof_prediction == 0).all()
     split = cv.calibration_split(folds, 3).groupBy("part").count().toPandas().set_index("part")["count"]
     assert split["test"] == split["calibration"] == 20
+
+
+def test_folds_are_fitted_side_by_side_on_their_own_rows(spark):
+    folds = cv.stored_by_fold(cv.purged_folds(intervals(spark), 4, 0.02))
+    plan = cv.train_rows(folds, 2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan
+    spans = {}
+
+    def fit(k):
+        began = time.time()
+        total = cv.train_rows(folds, k).agg(F.sum("y")).first()[0]
+        time.sleep(1)
+        spans[k] = began, time.time()
+        return k, total
+
+    side_by_side, one_by_one = cv.fit_folds(fit, 4), cv.fit_folds(fit, 4, parallel=1)
+    assert side_by_side == one_by_one and [k for k, _ in side_by_side] == [0, 1, 2, 3]
+    cv.fit_folds(fit, 4)
+    assert max(b for b, _ in spans.values()) < min(e for _, e in spans.values())
+
+
+def test_fold_results_hold_sizes_and_metrics(spark):
+    folds = cv.purged_folds(intervals(spark), 4, 0.02)
+    predicted = cv.evaluate_folds(folds, 4, cv.mean_model("y"))
+    per_fold = cv.fold_metrics(predicted, {"mse": F.avg((F.col("y") - F.col("prediction")) ** 2)})
+    rows = cv.fold_results(folds, per_fold, ["mse"]).collect()
+    assert len(rows) == 4 and all(r.train_size + r.test_size + r.purged_count == 101 and r.metrics["mse"] > 0 for r in rows)
