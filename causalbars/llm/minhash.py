@@ -197,6 +197,21 @@ def _differences(pairs: DataFrame, docs: DataFrame, key: str, text: str, width:
     return _with_texts(renamed, docs, key, text).mapInArrow(differ, "hub bigint, node bigint, elements array<bigint>, need bigint")
 
 
+_GUESSES = 8  # members of a bucket's largest component that each other member is compared with in a round
+
+
+def _guesses(members: DataFrame, step: int) -> DataFrame:
+    """(x, nx, y, ny): every member of a bucket that is not in its largest component, with some seeded members of that component."""
+    sizes = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_c"))
+    largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("_c", "root")).alias("_root"))
+    rows = members.join(largest, "band")
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(_GUESSES * step + i)).alias("t"), "node", "n")) for i in range(_GUESSES)]
+    hubs = rows.where("root = _root").groupBy("band").agg(F.array(*drawn).alias("_hubs"))
+    hubs = hubs.select("band", F.explode(F.array_distinct(F.transform("_hubs", lambda h: F.struct(h["node"].alias("node"), h["n"].alias("n"))))).alias("hub"))
+    others = rows.where("root <> _root").join(hubs, "band")
+    return others.select(F.col("hub.node").alias("x"), F.col("hub.n").alias("nx"), F.col("node").alias("y"), F.col("n").alias("ny"))
+
+
 def _open_pairs(members: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """(x, nx, y, ny): members of one bucket in different components, enough pairs to find all their links or what follows from them.
 
@@ -250,6 +265,7 @@ def _members(docs: DataFrame, key: str, text: str, width: int, percent: int, ban
     members = stage(firsts.join(shared, "band"), "buckets")
 
     compared, roots = None, None
+    star_rounds = max(star_rounds, 1)
     for step in range(star_rounds + 1):
         open_members = members
         if step:
@@ -257,15 +273,13 @@ def _members(docs: DataFrame, key: str, text: str, width: int, percent: int, ban
             open_members = joined.withColumn("root", F.coalesce("root", "node"))
             mixed = open_members.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
             open_members = stage(open_members.join(mixed, "band"), "open-buckets")
-        if step < star_rounds:
-            turn = F.xxhash64("node", F.lit(step)) if step else F.col("node")
-            hubs = open_members.groupBy("band").agg(F.min(F.struct(turn.alias("t"), "node", "n")).alias("hub"))
+        if not step:
+            hubs = open_members.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"))
             pairs = open_members.join(hubs, "band").select(F.col("hub.node").alias("x"), F.col("hub.n").alias("nx"), F.col("node").alias("y"), F.col("n").alias("ny"))
-        elif compared is not None:
-            pairs = _open_pairs(open_members, source, key, text, width, percent)
+        elif step < star_rounds:
+            pairs = _guesses(open_members, step)
         else:
-            sides = [open_members.select("band", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}")) for s in "xy"]
-            pairs = sides[0].join(sides[1], "band").where("rx < ry")
+            pairs = _open_pairs(open_members, source, key, text, width, percent)
         possible = (F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
         pairs = pairs.where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if compared is not None:
@@ -293,7 +307,7 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 40,
     rows: int = 6,
-    star_rounds: int = 2,
+    star_rounds: int = 4,
 ) -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of their ``width``-word shingle sets.
 
@@ -303,8 +317,9 @@ def near_duplicates(
     1. One pass over the texts gives set size, set digest and band hashes.  Documents with equal sets are one class, found
        by minima that are pre-aggregated; only class representatives go on.
     2. A bucket is a band hash that several classes have.  Instead of all pairs of a bucket, each member is paired with one
-       hub; pairs with possible set sizes are verified on the full texts, and links merged to components.  After
-       ``star_rounds`` rounds with different hubs, what is left are members of one bucket in different components.  Those
+       hub; pairs with possible set sizes are verified on the full texts, and links merged to components.  In the next
+       rounds, ``star_rounds`` in all, whoever is not in a bucket's largest component is compared with eight of that component.  What
+       is left are members of one bucket in different components.  Those
        pairs of them are verified that may be linked by how both differ from the hub (``_open_pairs``), so no
        link in a bucket is lost, and no bucket is joined with itself.
     3. A pair of similarity s shares no bucket with probability (1 - s^rows)^bands: 5e-6 at 0.8 for 40 bands of 6.
@@ -333,7 +348,7 @@ def drop_near_duplicates(
     percent: int = 80,
     bands: int = 40,
     rows: int = 6,
-    star_rounds: int = 2,
+    star_rounds: int = 4,
 ) -> DataFrame:
     """``docs`` with one row of each group of ``near_duplicates``, that of the smallest key (nulls last), then row hash.
 
