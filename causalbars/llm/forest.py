@@ -62,44 +62,56 @@ class PrefixForest:
         high = np.stack([np.searchsorted(s, f, "right") for s, f in zip(self.sorted, last, strict=True)])
         return low, high
 
+    def products(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Inner products to within rounding; many rows are not copied out first."""
+        return (self.vectors @ query)[rows] if 4 * len(rows) > len(self.vectors) else self.vectors[rows] @ query
+
     def candidates(self, queries: np.ndarray, own: np.ndarray, k: int, fresh: float) -> Iterator[tuple[int, np.ndarray]]:
         """(query, rows met) when all trees ascend together, one bit at a time, from a query's longest match on.
 
         ``own`` is a query's own row in the block, or -1, which is no candidate.  A query goes on until it has met ``8 * k`` rows, and
-        then until twice as many rows bring at most the share ``fresh`` of its ``k`` best that were not among them before.  At
-        depth 0 it has met all rows.  So the number of candidates follows the data: few where neighbours are much
+        then until twice as many rows bring at most the share ``fresh`` of its ``k`` best that were not among them before.  If
+        twice as many would be half of the block, it meets all of it.  So the number of candidates follows the data: few where neighbours are much
         nearer than others, up to all where they are not.
         """
         codes = _codes(np.column_stack([queries, np.zeros(len(queries))]), self.planes)
         start = self._longest(codes)
         n = len(self.vectors)
+        every = np.arange(n)
         met = np.zeros((len(queries), n), bool)
         met[own >= 0, own[own >= 0]] = True
-        count, base = np.zeros(len(queries), int), np.full(len(queries), 4 * k)
+        base = np.full(len(queries), 4 * k)
         best: list[set] = [set()] * len(queries)
         waiting = np.arange(len(queries))
-        for depth in range(int(start.max(initial=0)), -1, -1):
+        # Where even a uniform tree has few matches, two bits at a time.
+        near = int(np.log2(n)) + 1
+        depths = [d for d in range(self.bits, -1, -1) if d <= near or (d - near) % 2 == 0]
+        for depth in depths:
+            whole = waiting[4 * base[waiting] >= n] if depth else waiting
+            for q in whole.tolist():
+                # The next step would be half of the block or more.
+                yield q, np.delete(every, own[q]) if own[q] >= 0 else every
+            waiting = np.setdiff1d(waiting, whole)
             active = waiting[start[waiting] >= depth]
             if not len(active):
                 continue
             low, high = self._ranges(codes[:, active], depth)
+            enough = (high - low).sum(axis=0) >= 2 * base[active]
             done = []
-            for i, q in enumerate(active.tolist()):
+            for i, q in zip(np.flatnonzero(enough).tolist(), active[enough].tolist(), strict=True):
                 runs = [self.order[t, low[t, i] : high[t, i]] for t in np.flatnonzero(high[:, i] > low[:, i])]
                 if runs:
                     met[q, np.concatenate(runs)] = True
-                count[q] = met[q].sum() - (own[q] >= 0)
-                if depth and count[q] < 2 * base[q]:
-                    continue
                 rows = np.flatnonzero(met[q])
                 rows = rows[rows != own[q]]
-                if depth:
-                    score = self.vectors[rows] @ queries[q]
-                    now = set(rows[np.argpartition(score, len(rows) - k)[len(rows) - k :]].tolist())
-                    gained = len(now - best[q])
-                    best[q], base[q] = now, count[q]
-                    if gained > fresh * k:
-                        continue
+                if len(rows) < 2 * base[q]:
+                    continue
+                score = self.products(queries[q], rows)
+                now = set(rows[np.argpartition(score, len(rows) - k)[len(rows) - k :]].tolist())
+                gained = len(now - best[q])
+                best[q], base[q] = now, len(rows)
+                if gained > fresh * k:
+                    continue
                 yield q, rows
                 done.append(q)
             waiting = np.setdiff1d(waiting, done)
@@ -127,7 +139,7 @@ def nearest_in(
         # An id may stand in a block more than once, with other vectors.
         rows = rows[ids[rows] != own[q]]
         if len(rows) > k:
-            rough = forest.vectors[rows] @ query
+            rough = forest.products(query, rows)
             border = np.partition(rough, len(rough) - k)[len(rough) - k]
             rows = rows[rough >= border - 1e-9 * max(1.0, np.abs(rough).max())]
         score = inner_products(forest.vectors[rows], query)
