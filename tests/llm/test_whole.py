@@ -1,6 +1,7 @@
 """Sharding, mixing, packing, resampling and search: the whole table decides."""
 
 import functools
+import re
 import time
 import zlib
 from collections import Counter
@@ -255,3 +256,53 @@ def test_forest_keeps_vectors_of_every_length(spark):
         same = [(i, x) for i, x in points if len(x) == len(points[q][1]) and i != q]
         want = sorted((-float(np.dot(x, points[q][1])), i) for i, x in same)[:5]
         assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [i for _, i in want]
+
+
+def plain_buckets(text, m, s):
+    """N-gram buckets of a text by loops over its words."""
+
+    def shape(w):
+        w = re.sub(r"[^\W\d_]+", lambda r: "A" if r[0].isupper() else "a" if r[0].islower() else "Aa", w)
+        return re.sub(r"([^\w\s])\1+", r"\1\1", re.sub(r"\d+", "0", w))
+
+    def pair(x, y):
+        return ((x * 0x9E3779B97F4A7C15 + y * 0xC2B2AE3D27D4EB4F) % (1 << 64)) >> 20
+
+    words = text.split()
+    hashes = [(zlib.crc32(w.lower().encode()), zlib.crc32(shape(w).encode())) for w in words]
+    out = [h % m for h, _ in hashes] + [m + g % s for _, g in hashes]
+    for i in range(1, len(words)):
+        same = words[i] == words[i - 1]
+        if not same:
+            out.append(pair(hashes[i - 1][0], hashes[i][0]) % m)
+        out.append(m + (0 if same else pair(hashes[i - 1][1], hashes[i][1]) % s))
+    return out
+
+
+def test_weights_equal_a_plain_count(spark):
+    draw = np.random.default_rng(12)
+    vocabulary = ["Alpha", "beta", "GAMMA", "d4", "x!!", "...", "é7", "mixedCase", "on", "on"]
+    rows = [(i, " ".join(draw.choice(vocabulary, draw.integers(0, 40)))) for i in range(200)] + [(200, None)]
+    rated = {i: int(i % 5 > 1) for i in range(0, 150)}
+    docs, labels = frame(spark, rows, "doc_id bigint, text string"), spark.createDataFrame(list(rated.items()), "doc_id bigint, quality int")
+    m, s = 20_000, 4_096
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        for b in plain_buckets(text or "", m, s):
+            raw[b] += 1
+            target[b] += rated.get(i) == 1
+
+    def log_share(counts, b):
+        part = range(m) if b < m else range(m, m + s)
+        return np.log((counts[b] + 1) / (len(part) + totals[id(counts), b < m]))
+
+    totals = {(id(c), first): sum(n for b, n in c.items() if (b < m) == first) for c in (raw, target) for first in (True, False)}
+    want = {i: sum(log_share(target, b) - log_share(raw, b) for b in plain_buckets(text, m, s)) if text else None for i, text in rows}
+    got = {r.doc_id: r for r in resampling.select_quality(docs, labels).collect()}
+    for i, weight in want.items():
+        assert got[i].log_weight == (None if weight is None else pytest.approx(weight, abs=1e-9))
+    keyed = sorted((r.gumbel_key for r in got.values() if r.gumbel_key is not None), reverse=True)
+    worded = [i for i, w in want.items() if w is not None]
+    share = np.mean([rated[i] for i in worded if i in rated])
+    kept = {i for i, r in got.items() if r.kept}
+    assert kept == {i for i in worded if got[i].gumbel_key >= keyed[round(share * len(worded)) - 1]}
