@@ -14,6 +14,7 @@ from causalbars.functions.exprs import preceding, rolling
 from causalbars.operators.cv import fit_folds, stored_by_fold, test_rows, train_rows
 from causalbars.plans.quantiles import cut_points, slice_of
 from causalbars.plans.series import SeriesSpec, block_series, drop_internal, running_totals
+from causalbars.plans.staging import stage
 
 # Input columns of the act / skip classifier and the hit-rate window.
 META_FEATURES = ("p50", "p10", "p90", "band_width", "regime", "recent_hit_rate", "vol_norm_return_lag1")
@@ -187,7 +188,8 @@ def binary_metrics(
     scores = predicted.groupBy(*keys, F.col(score).alias("_s")).agg(
         F.count_if(pos).alias("_pos"), F.count_if(~pos).alias("_neg")
     )
-    cuts = predicted.agg(F.percentile_approx(score, cut_points(256), 4000)).scalar()
+    # Approximate: stored, so that every read sees the same slices.
+    cuts = stage(predicted.agg(F.percentile_approx(score, cut_points(256), 4000)), "cuts").scalar()
     scores = scores.withColumn("_cuts", cuts).withColumn("_slice", slice_of(F.col("_s"), "_cuts")).drop("_cuts")
     ranked = running_totals(scores, "_s", ["_neg"], keys, bucket=F.col("_slice"))
     below = F.col("_neg_cum") - F.col("_neg") / 2.0

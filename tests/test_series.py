@@ -131,6 +131,14 @@ def test_exact_quantiles_equal_numpy(spark, kind):
             assert row[k] == pytest.approx(np.quantile(part, v), rel=1e-12, abs=1e-15)
 
 
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_approximate_cuts_are_computed_once(spark, keys):
+    """Sketches that are merged in another order give other cuts: a second computation would not fit the first."""
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    plan = exact_quantiles(df, keys, "x", {"mid": F.lit(0.5)})._jdf.queryExecution().executedPlan().toString()
+    assert "percentile_approx" not in plan
+
+
 def test_dense_span_is_split(spark):
     n = 100_000
     rows = spark.range(n).select(
