@@ -173,28 +173,35 @@ def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int
     return _with_texts(pairs, docs, key, text).mapInArrow(check, "a bigint, b bigint, good boolean")
 
 
+_PARITY = 4  # words of 64 bits that sum up a member's differences
+
+
 def _differences(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """For each pair (hub, node) ``elements``, hashes of the shingles that only one of them has, and ``need``.
+    """For each pair (hub, node) ``elements``, hashes of the shingles that only one of them has, their ``parity`` and ``need``.
 
     Two members of one hub are similar enough if and only if they share at least the sum of their needs of these elements (an element
     that both lack, or both have beyond the hub): with t = percent / (100 + percent) and s shared elements, their sets share
     |hub| - |hub without x| - |hub without y| + s shingles, and a link asks for t * (|x| + |y|).  Needs are whole numbers, 2 * (100 + percent)
-    times that.
+    times that.  Bit i of ``parity`` tells whether the number of elements that are i modulo 256 is odd: where the bits of two members
+    differ, at least one of them has an element that the other has not.
     """
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
-            elements, needs = [], []
+            elements, parities, needs = [], [], []
             for hub, own in _set_pairs(batch, width, held):
                 less, more = hub - own, own - hub
                 hashed = [xxhash.xxh3_64_intdigest(b" ".join(e), seed) for seed, part in enumerate((less, more)) for e in part]
-                elements.append(np.array(hashed, np.uint64).view(np.int64).tolist())
+                hashed = np.array(hashed, np.uint64)
+                elements.append(hashed.view(np.int64).tolist())
+                odd = np.bincount((hashed % np.uint64(64 * _PARITY)).astype(np.int64), minlength=64 * _PARITY) & 1
+                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
                 needs.append(2 * percent * len(own) - (100 + percent) * (len(hub) - 2 * len(less)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(elements, pa.list_(pa.int64())), pa.array(needs, pa.int64())], ["hub", "node", "elements", "need"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(elements, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64())), pa.array(needs, pa.int64())], ["hub", "node", "elements", "parity", "need"])
 
     renamed = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    return _with_texts(renamed, docs, key, text).mapInArrow(differ, "hub bigint, node bigint, elements array<bigint>, need bigint")
+    return _with_texts(renamed, docs, key, text).mapInArrow(differ, "hub bigint, node bigint, elements array<bigint>, parity array<bigint>, need bigint")
 
 
 _GUESSES = 8  # members of a bucket's largest component that each other member is compared with in a round
@@ -219,14 +226,16 @@ def _open_pairs(members: DataFrame, docs: DataFrame, key: str, text: str, width:
     linked for certain; each such member is paired with the one of the least need, to which then both are linked.  All others
     must share elements of their differences from the hub.  Elements are put in order, rare ones first: a member
     with d elements that must share m of them has one in common with its partner among its first d - m + 1, so
-    only those are joined, and elements that no other member has not at all.
+    only those are joined, and elements that no other member has not at all.  What a pair must share, it cannot if too few elements come
+    behind the first common one in either member, or if their parities differ in too many bits: the join leaves such pairs out.
     """
     scale = 2 * (100 + percent)
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"))
     rows = members.join(hubs, "band").where("node <> hub").select("hub", "node", "n", "root").distinct()
     rows = stage(rows, "open-members")
     told = stage(_differences(rows.select("hub", "node"), docs, key, text, width, percent), "differences")
-    rows = rows.join(told.select("hub", "node", "need"), ["hub", "node"])
+    parity = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(_PARITY)]
+    rows = rows.join(told.select("hub", "node", F.size("elements").alias("d"), "need", *parity), ["hub", "node"])
     least = rows.groupBy("hub").agg(F.min(F.struct("need", "node", "n", "root")).alias("_least"))
     rows = stage(rows.join(least, "hub"), "needs")
     certain = rows.where((F.col("need") + F.col("_least.need") <= 0) & (F.col("root") != F.col("_least.root")))
@@ -237,12 +246,19 @@ def _open_pairs(members: DataFrame, docs: DataFrame, key: str, text: str, width:
     # Elements of one member alone come first in the order; those after them are numbered from the end.
     shared = each.join(common, ["hub", "e"])
     place = F.row_number().over(Window.partitionBy("hub", "node").orderBy(F.desc("_c"), F.desc("e")))
-    shared = shared.withColumn("_place", F.col("_d") - place + 1).join(rows.select("hub", "node", "n", "root", "need", "_least"), ["hub", "node"])
+    shared = shared.withColumn("_place", F.col("_d") - place + 1).join(rows, ["hub", "node"])
     must = F.greatest(F.ceil((F.col("need") + F.col("_least.need")) / scale), F.lit(1))
-    first = stage(shared.where(F.col("_place") <= F.col("_d") - must + 1).select("hub", "e", "node", "n", "root"), "first-elements")
-    sides = [first.select("hub", "e", *[F.col(c).alias(f"{s}{c}") for c in ("node", "n", "root")]) for s in "xy"]
+    kept = ["node", "n", "root", "need", "d", "after", *[f"p{i}" for i in range(_PARITY)]]
+    shared = shared.withColumn("after", F.col("_d") - F.col("_place"))
+    first = stage(shared.where(F.col("_place") <= F.col("_d") - must + 1).select("hub", "e", *kept), "first-elements")
+    sides = [first.select("hub", "e", *[F.col(c).alias(f"{s}{c}") for c in kept]) for s in "xy"]
     sizes = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
-    sharing = sides[0].join(sides[1], ["hub", "e"]).where((F.col("xroot") < F.col("yroot")) & sizes)
+    # The first common element has all others behind it, so a pair that is linked meets there.
+    need = F.col("xneed") + F.col("yneed")
+    behind = need <= scale * (1 + F.least("xafter", "yafter"))
+    apart = sum((F.bit_count(F.col(f"xp{i}").bitwiseXOR(F.col(f"yp{i}"))) for i in range(_PARITY)), F.lit(0))
+    alike = 2 * need <= scale * (F.col("xd") + F.col("yd") - apart)
+    sharing = sides[0].join(sides[1], ["hub", "e"]).where((F.col("xroot") < F.col("yroot")) & sizes & (need > 0) & behind & alike)
     sharing = sharing.select(F.col("xnode").alias("x"), F.col("xn").alias("nx"), F.col("ynode").alias("y"), F.col("yn").alias("ny"))
     return certain.unionByName(sharing.distinct())
 
