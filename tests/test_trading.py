@@ -273,6 +273,18 @@ def test_model_helpers(spark):
     assert got["a"].p50 == pytest.approx(14.5) and got["b"].p50 == pytest.approx(15.0)
 
 
+def test_a_forest_is_asked_once_for_a_row(spark):
+    """Its probabilities stand outside any lambda, which would compute them again for each class."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"x": rng.normal(size=60), "_y": (np.arange(60) % 2).astype(float)})
+    model = models.BaselineClassifier(["x"], n_trees=2)
+    rows = model._assemble(spark.createDataFrame(pdf).repartition(2))
+    forest = models.RandomForestClassifier(featuresCol="_features", labelCol="_y", probabilityCol="_proba", predictionCol="_pred", rawPredictionCol="_raw", numTrees=2)
+    out = model._score(forest.fit(rows), rows).select("proba")
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {len(r.proba) for r in out.collect()} == {3} and {r.proba[2] for r in out.collect()} == {0.0}
+
+
 def test_classifiers_cover_every_row(spark):
     from causalbars.operators import cv
     from causalbars.plans.staging import stage
