@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from causalbars.plans.quantiles import exact_quantiles
 from causalbars.plans.series import (
+    Rolling,
     SeriesSpec,
     asof_join,
     block_series,
@@ -62,6 +63,36 @@ def test_a_hot_series_is_spread_over_blocks(bars):
     assert sizes["count"].max() < 120
 
 
+def test_short_series_bring_no_counts(bars):
+    """Series of one block each are not joined with counts of their spans, which grow with the rows."""
+    plan = block_series(bars, 5).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+@pytest.mark.parametrize("spec", [TINY_BLOCKS[1], TINY_BLOCKS[3]])
+def test_rolled_equals_sliding_frames(spark, bars, spec):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        holes = F.when(F.col("volume") % 5 != 0, F.col("close"))
+        blocks = block_series(bars.withColumn("x", holes), 12, spec=spec).in_order()
+        stats = [Rolling("m", "avg", "x", 12, 1, 3), Rolling("s", "stddev_samp", "x", 5, 0), Rolling("v", "avg", F.col("volume"), 0, 0)]
+        rolled = blocks.rolled(blocks.df, stats).where(blocks.own_rows())
+        assert "rowframe, -12" not in rolled._jdf.queryExecution().optimizedPlan().toString().lower()
+        got = rolled.select("ticker", "timestamp", "m", "s", "v")
+        w = Window.partitionBy("ticker").orderBy("timestamp")
+        back, here = w.rowsBetween(-12, -1), w.rowsBetween(-5, 0)
+        want = bars.withColumn("x", holes).select(
+            "ticker",
+            "timestamp",
+            F.when(F.count("x").over(back) >= 3, F.avg("x").over(back)),
+            F.stddev_samp("x").over(here),
+            "volume",
+        )
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("direction", ["backward", "forward"])
 @pytest.mark.parametrize("strict", [False, True])
 def test_asof_join_equals_pandas(spark, bars, bars_pdf, direction, strict):
