@@ -227,3 +227,24 @@ def test_matrix_carries_the_regime_of_its_time(spark, bars):
     regimes = times.withColumn("regime", (F.hour("timestamp") % 3).cast("long")).where(F.hour("timestamp") != 5)
     got = features.build_feature_matrix(bars, regimes=regimes).select("timestamp", "regime").collect()
     assert got and all(r.regime == (0 if r.timestamp.hour == 5 else r.timestamp.hour % 3) for r in got)
+
+
+def test_features_at_events_are_all_there_and_few_others(spark, bars):
+    events = bars.where("volume > 400").select("ticker", F.col("timestamp").alias("t0"))
+    some = features.add_price_features(bars, at=events)
+    want = features.add_price_features(bars).where("volume > 400")
+    assert want.exceptAll(some).count() == 0 and some.exceptAll(want).count() < 10
+
+
+def test_sequence_windows_move_rows_once(spark, bars):
+    """Windows are taken where rows and events stand in order: no join, which would move each feature row some thirty times."""
+    events = bars.where("volume > 400").select("ticker", F.col("timestamp").alias("t0"))
+    windows = features.sequence_windows(events, bars, ["close"], 6)
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_only_the_features_asked_for(spark, bars):
+    some = features.add_price_features(bars, only=["adv", "rsi_14", "vol_norm_return"])
+    assert some.columns == ["ticker", "timestamp", "adv", "rsi_14", "vol_norm_return"]
+    assert some.exceptAll(features.add_price_features(bars).select(some.columns)).count() == 0
