@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causalbars.functions.exprs import rate, so_far
+from causalbars.llm.bits import bit_table
 from causalbars.plans.series import DAILY, SeriesSpec, asof_join
 from causalbars.plans.staging import stage
 
@@ -50,11 +51,46 @@ def _with_exit_fallback(priced: DataFrame) -> DataFrame:
 def price_signals(signals: DataFrame, bars: DataFrame, spec: SeriesSpec = DAILY) -> DataFrame:
     """Entry and exit price per distinct (ticker, t0, t1), joined back to the signals.
 
-    A grid of strategies trades the same events; the as-of joins see each event once.
+    A grid of strategies trades the same events; each event is priced once.  Most of them begin and end at a bar: one look at the bars
+    finds these, and the as-of joins are left with the others and with the bars of their series.
     """
     key = [*spec.keys, "t0", "t1"]
-    entered = stage(with_entry_price(signals.select(*key).distinct(), bars, spec), "entered")
-    return _with_exit_fallback(signals.join(_last_close(entered, bars, spec), key))
+    events = signals.select(*key).distinct().dropna(subset=key)
+    met = stage(_met_closes(stage(events, "trade-times"), bars, spec), "met")
+    entries, exits = "entry_price", "exit_price"
+    late = met.where("_no_entry").drop(entries)
+    if not late.isEmpty():
+        late = with_entry_price(late, _series_of(late, bars, spec), spec)
+        met = stage(met.where("not _no_entry").unionByName(late), "entered")
+    early = met.where("_no_exit").drop(exits)
+    if not early.isEmpty():
+        early = _last_close(early, _series_of(early, bars, spec), spec)
+        met = met.where("not _no_exit").unionByName(early)
+    return _with_exit_fallback(signals.join(met.drop("_no_entry", "_no_exit"), key))
+
+
+def _met_closes(events: DataFrame, bars: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """``entry_price`` and ``exit_price`` of events (keys, t0, t1) from the bars at just these times; ``_no_entry``, ``_no_exit``: there is none."""
+    keys = list(spec.keys)
+    times = events.select(*keys, F.explode(F.array("t0", "t1")).alias(spec.ts))
+    at = bars.select(*keys, spec.ts, "close").where(_asked(times, bars, [*keys, spec.ts]))
+    # Of bars of one time any may be met.
+    at = stage(at.groupBy(*keys, spec.ts).agg(F.max("close").alias("close")), "closes")
+    for t, name, none in (("t0", "entry_price", "_no_entry"), ("t1", "exit_price", "_no_exit")):
+        found = at.select(*keys, F.col(spec.ts).alias(t), F.col("close").alias(name), F.lit(False).alias(none))
+        events = events.join(found, [*keys, t], "left").withColumn(none, F.coalesce(none, F.lit(True)))
+    return events
+
+
+def _series_of(events: DataFrame, bars: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """The bars of the events' series, and few others."""
+    return bars.where(_asked(events.select(*spec.keys), bars, list(spec.keys)))
+
+
+def _asked(wanted: DataFrame, bars: DataFrame, columns: list[str]) -> Column:
+    """True for bars whose ``columns`` are among ``wanted``, and for few others."""
+    hashed = F.xxhash64(*[F.col(c).cast(bars.schema[c].dataType) for c in columns])
+    return bit_table(wanted.select(hashed)).test()(F.xxhash64(*columns))
 
 
 def with_trade_pnl(priced: DataFrame, spread_bps: float = 3.0, cost_bps: float = 5.0) -> DataFrame:

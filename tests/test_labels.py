@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from causalbars.operators import cv, labels
+from causalbars.operators import cv, features, labels
 from causalbars.plans.series import SeriesSpec
 
 SMALL = SeriesSpec(span_seconds=86_400, rows_per_block=30)
@@ -79,6 +79,34 @@ def test_long_holding_periods(spark):
     assert "collect_list" not in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("spec", [SMALL, SeriesSpec()])
+def test_short_holding_periods_take_one_pass_that_brings_features(spark, bars, monkeypatch, spec):
+    """No bar is written or joined for a short period, and the features at t0 are those that a join would find."""
+    monkeypatch.setattr(labels, "stage", lambda *a: pytest.fail("bars written"))
+    names = ["close", *features.RETURN_FEATURES, *features.TECHNICAL_FEATURES]
+    got = labels.barrier_labels(bars, None, 1.5, 1.0, 6, spacing=3, spec=spec, with_features=names)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert {"high", "low", "volume"}.isdisjoint(got.columns) and "sector" in got.columns
+    plain = labels.barrier_labels(bars, None, 1.5, 1.0, 6, spacing=3, spec=spec)
+    at = features.add_price_features(bars, spec=spec).select("ticker", F.col("timestamp").alias("t0"), *names)
+    want = plain.drop(*names).join(at, ["ticker", "t0"], "left").select(*got.columns)
+    order = ["ticker", "t0"]
+    a, b = got.toPandas().sort_values(order, ignore_index=True), want.toPandas().sort_values(order, ignore_index=True)
+    assert len(a) > 100
+    pd.testing.assert_frame_equal(a, b, check_exact=True)
+
+
+def test_periods_beyond_the_end_of_a_series(spark):
+    """An event at one of the last bars, and one whose barriers are not touched, end with the series."""
+    df = path(spark, [100.0, 100.1, 100.2, 100.3])
+    ts = sorted(r.timestamp for r in df.collect())
+    events = spark.createDataFrame([("A", t, 0.04) for t in ts], "ticker string, t0 timestamp, sigma double")
+    for hold in (2, 16, 17):
+        rows = {r.t0: r for r in labels.barrier_labels(df, events, max_holding=hold).collect()}
+        assert [rows[t].t1 for t in ts] == [ts[min(i + hold, 3)] for i in range(4)]
+        assert {r.barrier_type for r in rows.values()} == {"vertical"}
+
+
 def test_own_sigma_and_unknown_times(spark):
     df = path(spark, [100.0, 101.0, 99.0, 110.0])
     ts = df.orderBy("timestamp").first().timestamp

@@ -1,6 +1,7 @@
 """Store, session filter, universe, contracts, guards."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -197,3 +198,11 @@ def test_packed_order_sorts_like_its_columns(spark):
     assert [(r.a, r.b) for r in df.orderBy("k").collect()] == sorted(rows)
     with pytest.raises(Exception, match="does not fit"):
         spark.createDataFrame([(100, 1)], "a bigint, b bigint").select(packed).collect()
+
+
+def test_packed_order_is_made_of_numbers_without_text(spark):
+    rows = [(a, b, Decimal(c)) for a in (0, 10**15 - 1) for b in (3, 99) for c in (0, 10**20 + 7)]
+    df = spark.createDataFrame(rows, "a bigint, b int, c decimal(38,0)")
+    got = df.select("a", "b", "c", bar_source.packed_order(("a", 15), ("b", 2), ("c", 21)).alias("k"))
+    assert [int(r.k) for r in got.collect()] == [int(f"{a:015d}{b:02d}{int(c):021d}") for a, b, c in rows]
+    assert "lpad" not in got._jdf.queryExecution().toString()

@@ -392,3 +392,30 @@ def test_only_days_from_the_first_refusal_on_are_walked_through(spark, monkeypat
     got = backtest.admit_signals(spark.createDataFrame(rows, schema).repartition(4), 300.0, 1_000_000)
     assert sorted((r.t0, r.ticker) for r in got.collect()) == sorted(want)
     assert 0 < stored["bound"].count() < 150
+
+
+def test_events_that_begin_and_end_at_bars_are_priced_without_asof_joins(spark, bars, bars_pdf, monkeypatch):
+    """Events at bar times need one look at the bars; others, mixed with them, are priced as the as-of joins do alone."""
+    small = SeriesSpec(span_seconds=86_400, rows_per_block=30)
+    rows = []
+    for ticker, g in bars_pdf.groupby("ticker"):
+        ts = sorted(g.timestamp)
+        rows += [(ticker, a.to_pydatetime(), b.to_pydatetime(), 0.01) for a, b in zip(ts[:-2:3], ts[2::3], strict=False)]
+    schema = "ticker string, t0 timestamp, t1 timestamp, return_at_touch double"
+    met = spark.createDataFrame(rows, schema)
+    odd = [(t, a + dt.timedelta(minutes=m), b + dt.timedelta(minutes=n), r) for (t, a, b, r), m, n in zip(rows, itertools.cycle((0, 7, 0)), itertools.cycle((0, 7)))]
+    odd += [("K0", dt.datetime(2090, 1, 1), dt.datetime(2090, 2, 1), 0.5), ("none", *rows[0][1:]), ("K0", dt.datetime(1990, 1, 1), dt.datetime(1990, 2, 1), 0.5)]
+    odd += [("K0", None, rows[0][2], 0.5), ("K0", rows[0][1], None, 0.5)]
+    mixed = spark.createDataFrame(odd, schema)
+    order = ["ticker", "t0", "t1", "return_at_touch"]
+
+    def plain(signals):
+        entered = backtest.with_entry_price(signals, bars, small)
+        return backtest.with_exit_price(entered, bars, small).toPandas().sort_values(order, ignore_index=True)
+
+    want = plain(met), plain(mixed)
+    got = backtest.price_signals(mixed, bars, small).toPandas().sort_values(order, ignore_index=True)
+    pd.testing.assert_frame_equal(got[want[1].columns], want[1], check_exact=True)
+    monkeypatch.setattr(backtest, "asof_join", lambda *a, **k: pytest.fail("as-of join"))
+    got = backtest.price_signals(met, bars, small).toPandas().sort_values(order, ignore_index=True)
+    pd.testing.assert_frame_equal(got[want[0].columns], want[0], check_exact=True)
