@@ -63,7 +63,8 @@ def cross_section_of_rolling(
     deltas = moved.groupBy("g").agg(
         *[F.sum(F.col(f"_now.{c}") - F.coalesce(F.col(f"_before.{c}"), F.lit(0))).alias(c) for c in ("r", "n", "odd")]
     )
-    totals = running_totals(deltas, "g", ["r", "n", "odd"], bucket=F.floor(F.col("g") / 4096))
+    # Stored: a few numbers for each step of the grid, which the totals read twice, and each read would roll again over all rows.
+    totals = running_totals(stage(deltas, "deltas"), "g", ["r", "n", "odd"], bucket=F.floor(F.col("g") / 4096))
     mean = F.when(F.col("odd_cum") > 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col("r_cum"), F.col("n_cum")))
     return grid.join(totals, "g").select("timestamp", mean.alias(name))
 

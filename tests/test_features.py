@@ -248,3 +248,12 @@ def test_only_the_features_asked_for(spark, bars):
     some = features.add_price_features(bars, only=["adv", "rsi_14", "vol_norm_return"])
     assert some.columns == ["ticker", "timestamp", "adv", "rsi_14", "vol_norm_return"]
     assert some.exceptAll(features.add_price_features(bars).select(some.columns)).count() == 0
+
+
+def test_cross_section_rolls_over_the_rows_once(spark, bars):
+    """What follows the rolling statistics reads their differences, stored, and not the rows again."""
+    returns = features.add_return_features(bars, spec=SeriesSpec(span_seconds=86_400))
+    mean = regime.cross_section_of_rolling(returns, "log_return", F.stddev_samp, "dev", 20, 5)
+    plan = mean._jdf.queryExecution().optimizedPlan().toString()
+    assert "stddev_samp" not in plan and "MapInArrow" not in plan
+    assert mean.where("dev > 0").count() > 100
