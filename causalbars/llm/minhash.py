@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalbars.llm.bits import bit_table, mix64
-from causalbars.llm.graph import components
+from causalbars.llm.graph import stars
 from causalbars.plans.staging import stage
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -139,14 +139,12 @@ def _row_key(key: str, text: str) -> Column:
 
 
 def _with_texts(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``pairs`` (a, b) of row keys with the texts _left and _right; pairs of one a come together."""
-    needed = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
+    """``pairs`` (a, b, ...) of row keys with the texts _left and _right; pairs of one a come together.  ``docs`` has no row twice."""
     texts = docs.select(_row_key(key, text).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    texts = stage(texts.where(bit_table(needed).test()(F.col("_row"))).dropDuplicates(["_row"]), "texts")
     return (
         pairs.join(texts.select(F.col("_row").alias("b"), F.col("_text").alias("_right")), "b")
         .join(texts.select(F.col("_row").alias("a"), F.col("_text").alias("_left")), "a")
-        .select("a", "b", "_left", "_right")
+        .select("a", "b", "_left", "_right", *[c for c in pairs.columns if c not in ("a", "b")])
     )
 
 
@@ -159,7 +157,7 @@ def _set_pairs(batch: pa.RecordBatch, width: int, held: list) -> Iterator[tuple[
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Each pair (a, b) of row keys with good: whether the full shingle sets are similar enough."""
+    """Each pair (a, b, ra, rb) of row keys and their roots with good: whether the full shingle sets are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -168,9 +166,9 @@ def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int
             for x, y in _set_pairs(batch, width, held):
                 both = len(x & y)
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 1, 4, 5)], pa.array(good, pa.bool_())], ["a", "b", "ra", "rb", "good"])
 
-    return _with_texts(pairs, docs, key, text).mapInArrow(check, "a bigint, b bigint, good boolean")
+    return _with_texts(pairs.select("a", "b", "ra", "rb"), docs, key, text).mapInArrow(check, "a bigint, b bigint, ra bigint, rb bigint, good boolean")
 
 
 _PARITY = 4  # words of 64 bits that sum up a member's differences
@@ -205,22 +203,30 @@ def _differences(pairs: DataFrame, docs: DataFrame, key: str, text: str, width:
 
 
 _GUESSES = 8  # members of a bucket's largest component that each other member is compared with in a round
+_WORTH = 0.05  # the share of a round's comparisons that must be exceeded by links for another round of guesses
+
+
+def _ends(x: str, y: str) -> list[Column]:
+    """Two members as a pair (x, nx, rx, y, ny, ry)."""
+    return [F.col(f"{side}{c}").alias(f"{name}{end}") for side, end in ((x, "x"), (y, "y")) for c, name in (("node", ""), ("n", "n"), ("root", "r"))]
 
 
 def _guesses(members: DataFrame, step: int) -> DataFrame:
-    """(x, nx, y, ny): every member of a bucket that is not in its largest component, with some seeded members of that component."""
-    sizes = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_c"))
-    largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("_c", "root")).alias("_root"))
-    rows = members.join(largest, "band")
+    """(x, nx, rx, y, ny, ry): every member of a bucket that is not in its largest component, with some seeded members of that component.
+
+    The bucket's hub is left out, since it met all of them.
+    """
+    members = members.where("node <> hub")
     drawn = [F.min(F.struct(F.xxhash64("node", F.lit(_GUESSES * step + i)).alias("t"), "node", "n")) for i in range(_GUESSES)]
-    hubs = rows.where("root = _root").groupBy("band").agg(F.array(*drawn).alias("_hubs"))
-    hubs = hubs.select("band", F.explode(F.array_distinct(F.transform("_hubs", lambda h: F.struct(h["node"].alias("node"), h["n"].alias("n"))))).alias("hub"))
-    others = rows.where("root <> _root").join(hubs, "band")
-    return others.select(F.col("hub.node").alias("x"), F.col("hub.n").alias("nx"), F.col("node").alias("y"), F.col("n").alias("ny"))
+    hubs = members.where("root = largest").groupBy("band").agg(F.array(*drawn).alias("_hubs"))
+    taken = F.transform("_hubs", lambda h: F.struct(h["node"].alias("node"), h["n"].alias("n")))
+    hubs = hubs.select("band", F.explode(F.array_distinct(taken)).alias("guess"))
+    met = members.where("root <> largest").join(hubs, "band")
+    return met.select(F.col("guess.node").alias("x"), F.col("guess.n").alias("nx"), F.col("largest").alias("rx"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
 
 
 def _open_pairs(members: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(x, nx, y, ny): members of one bucket in different components, enough pairs to find all their links or what follows from them.
+    """(x, nx, rx, y, ny, ry): members of one bucket in different components, with their roots, enough pairs to find all their links or what follows from them.
 
     The hub of a bucket is its smallest node, with which its members were compared.  Two members whose needs add up to nothing are
     linked for certain; each such member is paired with the one of the least need, to which then both are linked.  All others
@@ -239,7 +245,7 @@ def _open_pairs(members: DataFrame, docs: DataFrame, key: str, text: str, width:
     least = rows.groupBy("hub").agg(F.min(F.struct("need", "node", "n", "root")).alias("_least"))
     rows = stage(rows.join(least, "hub"), "needs")
     certain = rows.where((F.col("need") + F.col("_least.need") <= 0) & (F.col("root") != F.col("_least.root")))
-    certain = certain.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("_least.node").alias("y"), F.col("_least.n").alias("ny"))
+    certain = certain.select(_ends("", "_least."))
 
     each = told.select("hub", "node", F.size("elements").alias("_d"), F.explode("elements").alias("e"))
     common = stage(each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1"), "common-elements")
@@ -259,8 +265,7 @@ def _open_pairs(members: DataFrame, docs: DataFrame, key: str, text: str, width:
     apart = sum((F.bit_count(F.col(f"xp{i}").bitwiseXOR(F.col(f"yp{i}"))) for i in range(_PARITY)), F.lit(0))
     alike = 2 * need <= scale * (F.col("xd") + F.col("yd") - apart)
     sharing = sides[0].join(sides[1], ["hub", "e"]).where((F.col("xroot") < F.col("yroot")) & sizes & (need > 0) & behind & alike)
-    sharing = sharing.select(F.col("xnode").alias("x"), F.col("xn").alias("nx"), F.col("ynode").alias("y"), F.col("yn").alias("ny"))
-    return certain.unionByName(sharing.distinct())
+    return certain.unionByName(sharing.select(_ends("x", "y")).distinct())
 
 
 def _members(docs: DataFrame, key: str, text: str, width: int, percent: int, bands: int, rows: int, star_rounds: int) -> DataFrame:
@@ -273,39 +278,46 @@ def _members(docs: DataFrame, key: str, text: str, width: int, percent: int, ban
         _describe(width, bands, rows), f"_row bigint, _key {kind}, _n bigint, _digest binary, _bands array<bigint>"
     )
     described = stage(described, "signatures")
-    classes = described.where("_n > 0").groupBy("_digest").agg(F.min("_row").alias("node"), F.max("_n").alias("n"))
+    # Equal sets have equal bands, so any of a class stands for it.
+    classes = described.where("_n > 0").groupBy("_digest").agg(F.min("_row").alias("node"), F.max("_n").alias("n"), F.first("_bands").alias("_bands"))
     classes = stage(classes, "classes")
-    firsts = described.select(F.col("_row").alias("node"), "_bands").join(classes.select("node", "n"), "node")
-    firsts = firsts.dropDuplicates(["node"]).select("node", "n", F.explode("_bands").alias("band"))
-    shared = firsts.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    members = stage(firsts.join(shared, "band"), "buckets")
+    firsts = classes.select("node", "n", F.explode("_bands").alias("band"))
+    shared = firsts.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("_hub")).where("c > 1")
+    members = firsts.join(shared, "band").select("band", "node", "n", F.col("_hub.node").alias("hub"), F.col("_hub.n").alias("hub_n"))
+    members = stage(members, "buckets")
+    texts = source.select(_row_key(key, text).alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    texts = texts.where(bit_table(members.select("node").distinct()).test()(F.col("_row"))).dropDuplicates(["_row"])
+    texts = stage(texts.select("_key", "_text"), "texts")
 
     compared, roots = None, None
-    star_rounds = max(star_rounds, 1)
-    for step in range(star_rounds + 1):
-        open_members = members
-        if step:
-            joined = members.withColumn("root", F.lit(None).cast("long")) if roots is None else members.join(roots, "node", "left")
-            open_members = joined.withColumn("root", F.coalesce("root", "node"))
-            mixed = open_members.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
-            open_members = stage(open_members.join(mixed, "band"), "open-buckets")
+    step, last = 0, max(star_rounds, 1)
+    while step <= last:
         if not step:
-            hubs = open_members.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"))
-            pairs = open_members.join(hubs, "band").select(F.col("hub.node").alias("x"), F.col("hub.n").alias("nx"), F.col("node").alias("y"), F.col("n").alias("ny"))
-        elif step < star_rounds:
-            pairs = _guesses(open_members, step)
+            hub = [F.col("hub").alias("x"), F.col("hub_n").alias("nx"), F.col("hub").alias("rx")]
+            pairs = members.select(*hub, F.col("node").alias("y"), F.col("n").alias("ny"), F.col("node").alias("ry"))
         else:
-            pairs = _open_pairs(open_members, source, key, text, width, percent)
+            rooted = members.withColumn("root", F.lit(None).cast("long")) if roots is None else members.join(roots, "node", "left")
+            rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+            # The hub met all members, so only buckets whose others are apart are open.
+            sizes = rooted.where("node <> hub").groupBy("band", "root").agg(F.count(F.lit(1)).alias("_c"))
+            mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("_c", "root")).alias("largest"), F.count(F.lit(1)).alias("_roots"))
+            rooted = stage(rooted.join(mixed.where("_roots > 1").drop("_roots"), "band"), "open-buckets")
+            if rooted.isEmpty():
+                break
+            pairs = _guesses(rooted, step) if step < last else _open_pairs(rooted.drop("hub"), texts, "_key", "_text", width, percent)
         possible = (F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-        pairs = pairs.where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        found = stage(_compared(pairs, source, key, text, width, percent), "compared")
-        compared = found if compared is None else compared.unionByName(found)
-        roots = stage(components(compared.where("good").select("a", "b")), "roots")
+        ends = [f("x", "y").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))] + [f("rx", "ry").alias(n) for f, n in ((F.least, "ra"), (F.greatest, "rb"))]
+        pairs = pairs.where(possible).select(*ends).distinct()
+        if compared is not None and step == last:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        found = stage(_compared(stage(pairs, "pairs"), texts, "_key", "_text", width, percent), "compared")
+        compared = found.select("a", "b") if compared is None else compared.unionByName(found.select("a", "b"))
+        met, linked = found.agg(F.count(F.lit(1)), F.count_if("good")).first()
+        if linked:
+            links = found.where("good").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            roots = stars(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        # Where guesses hardly link any more, what is left is told by differences.
+        step = last if 0 < step < last and linked <= _WORTH * met else step + 1
 
     keyed = described.select("_row", "_key", "_n", "_digest").join(classes.select("_digest", "node"), "_digest", "left")
     if roots is not None:
@@ -334,8 +346,8 @@ def near_duplicates(
        by minima that are pre-aggregated; only class representatives go on.
     2. A bucket is a band hash that several classes have.  Instead of all pairs of a bucket, each member is paired with one
        hub; pairs with possible set sizes are verified on the full texts, and links merged to components.  In the next
-       rounds, ``star_rounds`` in all, whoever is not in a bucket's largest component is compared with eight of that component.  What
-       is left are members of one bucket in different components.  Those
+       rounds, at most ``star_rounds`` in all, whoever is not in a bucket's largest component is compared with eight of that component, as
+       long as that links many.  The texts of bucket members are stored once, and links join the components found before.  What is left are members of one bucket in different components.  Those
        pairs of them are verified that may be linked by how both differ from the hub (``_open_pairs``), so no
        link in a bucket is lost, and no bucket is joined with itself.
     3. A pair of similarity s shares no bucket with probability (1 - s^rows)^bands: 5e-6 at 0.8 for 40 bands of 6.

@@ -63,6 +63,30 @@ def test_links_that_no_hub_sees_are_found(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("worth", [0, 1])
+def test_rounds_share_texts_and_components(spark, monkeypatch, worth):
+    """Texts are stored once, not in each round, and links of a round join the components of the one before, which are stars already."""
+    names = []
+    for module in (minhash, graph):
+        monkeypatch.setattr(module, "stage", lambda df, name, *a, put=module.stage, **k: names.append(name) or put(df, name, *a, **k))
+    monkeypatch.setattr(minhash, "_WORTH", worth, raising=False)
+    pairs = list(enumerate(near_copies(60, 80, 4, 1)))
+    got = minhash.near_duplicates(frame(spark, pairs, "doc_id bigint, text string"), width=2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == dict(enumerate(brute_groups(pairs, 2, 80)))
+    assert names.count("compared") > 1
+    assert names.count("texts") == 1
+    assert len(names) < 40
+
+
+def test_stars_take_one_step(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(graph, "stage", lambda df, name, *a, put=graph.stage, **k: names.append(name) or put(df, name, *a, **k))
+    links = [(1, i) for i in range(2, 30)] + [(100, i) for i in range(101, 130)]
+    got = {r.node: r.root for r in graph.components(frame(spark, links, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 1 for i in range(1, 30)}, **{i: 100 for i in range(100, 130)}}
+    assert names == ["links", "large-star"]
+
+
 def test_members_that_cannot_be_linked_are_not_joined(spark):
     """Thirty variants share much that the hub has not, but too little for a link, and a near copy of the hub asks for little: no pair of variants."""
     draw = np.random.default_rng(3)
