@@ -10,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalbars.llm.bits import bit_table, mix64
+from causalbars.llm.bits import bit_table, bits_for, mix64
 from causalbars.plans.staging import stage
 
 _BASE = 0x9E3779B97F4A7C15
 _CHUNK = 2_000_000
 _CORES = 24  # bytes of the sampled substring
-_WINDOWS = 1_500_000
+_BLOCK = 1 << 15  # windows that are sampled at a time
+_WINDOWS = 400_000
 _HOT = 20_000  # contexts of one sample from which on its windows are dealt out one by one
 _SLICE = 4_000  # contexts that are split at a time
-_HELD = 40_000  # rows that are settled at a time
+_HELD = 40_000  # rows that a task holds at a time
+_SETTLED = 8_000  # of these, rows that are settled at a time, in whole groups
 
 u64 = np.uint64
 
@@ -137,43 +139,40 @@ def anchors(hashes: PrefixHashes, starts: np.ndarray, lengths: np.ndarray, windo
     """For every window of the segments its substring of least hash (the leftmost of equal ones), as runs of windows.
 
     Equal windows have the same sample at the same offset, so only windows with equal samples need to be compared.
+    Hashes are taken in blocks that stay in a core's cache; their lowest bits (16 for 100 bytes) give way to the place in the block.
     """
     n, width = len(hashes.data), window - _CORES + 1
     empty = np.zeros(0, np.int64)
-    if n < window:
-        return Anchors(np.zeros(0, u64), empty, empty, empty)
-    sums = hashes.sums
-    core = mix64((sums[_CORES:] - sums[:-_CORES]) * hashes.down[: n - _CORES + 1])
-    least, span = core, 1
-    while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if width > span:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    edge = np.zeros(n + 1, np.int32)
     long = lengths >= window
-    np.add.at(edge, starts[long], 1)
-    np.add.at(edge, (starts + lengths - window + 1)[long], -1)
-    at = np.flatnonzero(np.cumsum(edge)[: len(least)] > 0)
-    if not len(at):
+    if not long.any():
         return Anchors(np.zeros(0, u64), empty, empty, empty)
-    value = least[at]
-    own = core[at] == value
-    sample = np.where(own, at, -1)
-    gap = np.diff(at) > 1
-    last = np.flatnonzero(np.r_[gap | (value[1:] != value[:-1]), True])
-    for step in range(width):
-        open_ = last[sample[last] < 0]
-        if not len(open_):
-            break
-        hit = core[at[open_] + step] == value[open_]
-        sample[open_[hit]] = at[open_[hit]] + step
-    index = np.where(sample >= 0, np.arange(len(at)), len(at))
-    sample = sample[np.minimum.accumulate(index[::-1])[::-1]]
-    first = np.flatnonzero(np.r_[True, gap | (sample[1:] != sample[:-1])])
-    end = np.r_[first[1:] - 1, len(at) - 1]
-    start = sample[first]
-    return Anchors(core[start], start, at[first] - start, at[end] - start)
+    first, sample, core = [], [], []
+    low = u64((1 << (_BLOCK + width).bit_length()) - 1)
+    for lo in range(0, n - window + 1, _BLOCK):
+        hi = min(lo + _BLOCK, n - window + 1) + width - 1
+        value = mix64((hashes.sums[lo + _CORES : hi + _CORES] - hashes.sums[lo:hi]) * hashes.down[lo:hi])
+        least, span = (value & ~low) | np.arange(hi - lo, dtype=u64), 1
+        while span * 2 <= width:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if width > span:
+            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+        new = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        place = (least[new] & low).astype(np.int64)
+        first.append(new + lo), sample.append(place + lo), core.append(value[place])
+    first, sample, core = np.concatenate(first), np.concatenate(sample), np.concatenate(core)
+    # A run goes on over the border of a block and ends with its segment.
+    fresh = np.r_[True, sample[1:] != sample[:-1]]
+    first, sample, core = first[fresh], sample[fresh], core[fresh]
+    begin, end = starts[long], (starts + lengths - window + 1)[long]
+    at = np.sort(np.concatenate([first, begin, end]), kind="stable")
+    at = at[np.r_[True, at[1:] != at[:-1]]]
+    segment = np.searchsorted(begin, at, side="right") - 1
+    inside = np.flatnonzero((segment >= 0) & (at < end[segment]))
+    run = np.searchsorted(first, at[inside], side="right") - 1
+    until = np.r_[at[1:], n][inside] - 1
+    start = sample[run]
+    return Anchors(core[run], start, at[inside] - start, until - start)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
@@ -249,12 +248,21 @@ def _batch(core, doc, row, start, lo, hi, context) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["core", "doc", "row", "start", "lo", "hi", "context"])
 
 
+def _bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column without nulls, and where each value begins, with the end."""
+    parts = [(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64), c) for c in column.chunks if len(c)]
+    if not parts:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    data = [np.frombuffer(c.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] for at, c in parts]
+    lengths = np.concatenate([np.diff(at) for at, _ in parts])
+    return data[0] if len(data) == 1 else np.concatenate(data), np.r_[0, np.cumsum(lengths)]
+
+
 def _window_hashes(table: pa.Table, window: int):
     """Of rows with a context: the bytes, their prefix hashes, and per window its row, its distance from the core, its place in the bytes and its hash."""
-    context = table.column("context").combine_chunks()
-    lengths = pa.compute.binary_length(context).to_numpy(zero_copy_only=False).astype(np.int64)
-    raw = b"".join(context.to_pylist())
-    hashes = PrefixHashes(np.frombuffer(raw, np.uint8))
+    data, offset = _bytes_of(table.column("context"))
+    raw, lengths = data.tobytes(), np.diff(offset)
+    hashes = PrefixHashes(data)
     n = lengths - window + 1
     member = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n)
@@ -335,6 +343,13 @@ def _repeated_contexts(hashes: PrefixHashes, core, start, lo, hi, doc, row, plac
     return out
 
 
+def _perhaps_twice(hashes: np.ndarray) -> np.ndarray:
+    """True for all hashes that are there more than once, and for few others."""
+    bits = max(len(hashes), 1).bit_length() + 2
+    at = (hashes >> u64(64 - bits)).astype(np.int64)
+    return np.bincount(at, minlength=1 << bits)[at] > 1
+
+
 def _settle(rows: dict[str, np.ndarray], data: np.ndarray, offset: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Repeated windows of whole core groups, as (member, first window, last window) runs.
 
@@ -360,9 +375,14 @@ def _settle(rows: dict[str, np.ndarray], data: np.ndarray, offset: np.ndarray, w
             n = (b - a + 1)[a <= b]
             member = np.repeat(some, n)
             shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[a <= b], n)
-            order = np.lexsort((member, shift, core[member]))
-            member, shift = member[order], shift[order]
             key = mix64(core[member] + (shift + window).astype(u64) * u64(_BASE))
+            # Most windows have no equal: their hashes tell, before anything is sorted.
+            twice = np.flatnonzero(_perhaps_twice(mix64(key ^ hashes.of(anchor[member] + shift, window))))
+            if len(twice) < 2:
+                continue
+            member, shift, key = member[twice], shift[twice], key[twice]
+            order = np.lexsort((member, shift, core[member]))
+            member, shift, key = member[order], shift[order], key[order]
             alone = np.r_[True, key[1:] != key[:-1]] & np.r_[key[1:] != key[:-1], True]
             member, shift, key = member[~alone], shift[~alone], key[~alone]
             suffix = anchor[member] + shift
@@ -412,16 +432,23 @@ def _resolve(window: int):
     def unpacked(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         rows = {c: table.column(c).to_numpy() for c in ("core", "doc", "row", "start", "lo", "hi")}
         rows["core"] = rows["core"].view(u64)
-        context = table.column("context").combine_chunks()
-        lengths = pa.compute.binary_length(context).to_numpy(zero_copy_only=False).astype(np.int64)
-        return rows, np.frombuffer(b"".join(context.to_pylist()), np.uint8), np.cumsum(lengths) - lengths
+        data, offset = _bytes_of(table.column("context"))
+        return rows, data, offset[:-1]
 
     def runs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         settled = table.filter(pa.compute.is_null(table.column("context")))
         yield spans(settled, np.arange(settled.num_rows), settled.column("lo").to_numpy(), settled.column("hi").to_numpy())
         table = table.filter(pa.compute.is_valid(table.column("context")))
-        if table.num_rows:
-            yield spans(table, *_settle(*unpacked(table), window))
+        core = table.column("core").to_numpy()
+        ends = np.flatnonzero(np.r_[core[1:] != core[:-1], True][: len(core)]) + 1
+        at, found = 0, []
+        while at < len(core):
+            until = int(ends[min(np.searchsorted(ends, at + _SETTLED), len(ends) - 1)])
+            member, first, last = _settle(*unpacked(table.slice(at, until - at)), window)
+            found.append((member + at, first, last))
+            at = until
+        if found:
+            yield spans(table, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     def spans(table: pa.Table, member: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
         doc, row, start = (table.column(c).to_numpy()[member] for c in ("doc", "row", "start"))
@@ -449,8 +476,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     1. Every window is represented by one sampled substring, the one of least hash, which equal windows share; some
        35 bytes have one sample.  Samples are counted over the whole corpus, each task sending each once.
-    2. The texts are read again.  Samples that occur once are dropped, by a test of fixed size (``bit_table``) that only
-       lets too many through.  The others carry their context, the bytes of all their windows; contexts met
+    2. The texts are read again.  Samples that occur once are dropped, by a test of 8 to 64 MB (``bit_table``), eight bits for a sample
+       that occurs again, that only lets too many through.  The others carry their context, the bytes of all their windows; contexts met
        again within a task are settled there and not sent.
     3. A sample with more than ``_HOT`` contexts, such as a common line with ever other surroundings, is not met in one
        task: its windows go under their own hashes, which equal windows share.  They are counted first and those met once are
@@ -466,7 +493,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     )
     counted = source.mapInArrow(_cores(window), "core bigint, times bigint").groupBy("core").agg(F.sum("times").alias("times"))
     several = stage(counted.where("times > 1"), "cores")
-    found = source.mapInArrow(_contexts(window, bit_table(several.select("core"))), _ROWS)
+    found = source.mapInArrow(_contexts(window, bit_table(several.select("core"), bits_for(several.count()))), _ROWS)
     many = several.where(F.col("times") > _HOT).select("core")
     if not many.isEmpty():
         hot = bit_table(many)

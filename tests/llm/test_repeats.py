@@ -218,6 +218,57 @@ def test_one_key_of_equal_windows_is_not_held(monkeypatch):
     assert set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)) == {(3, 103)}
 
 
+def test_sampling_holds_little_beside_its_text():
+    """The least hashes of windows, taken in small blocks, are those of a plain search, and no table of the size of the text is made."""
+    import tracemalloc
+
+    draw = np.random.default_rng(11)
+    lengths = np.array([150_000, 99, 100, 0, 300_000, 31, 350_000])
+    data = draw.integers(97, 123, lengths.sum()).astype(np.uint8)
+    data[200_000:260_000] = np.tile(data[200_000:200_050], 1200)
+    starts, hashes = np.cumsum(lengths) - lengths, suffixes.PrefixHashes(data)
+    tracemalloc.start()
+    found = suffixes.anchors(hashes, starts, lengths, 100)
+    assert tracemalloc.get_traced_memory()[1] < 12 * len(data)
+    tracemalloc.stop()
+    core = suffixes.mix64(hashes.of(np.arange(len(data) - 23), 24))
+    cut = np.concatenate([np.arange(s, s + n - 99) for s, n in zip(starts, lengths, strict=True) if n >= 100])
+    sample = cut + np.lib.stride_tricks.sliding_window_view(core, 77)[cut].argmin(axis=1)
+    windows = np.concatenate([np.arange(s + a, s + b + 1) for s, a, b in zip(found.start, found.lo, found.hi, strict=True)])
+    assert windows.tolist() == cut.tolist()
+    assert np.repeat(found.start, found.hi - found.lo + 1).tolist() == sample.tolist()
+    assert found.core.tolist() == core[found.start].tolist()
+
+
+@pytest.mark.parametrize("common", [0, 3])
+def test_only_windows_that_may_be_equal_are_sorted(monkeypatch, common):
+    """Contexts of one sample that differ everywhere else: their windows have no equals and need no order."""
+    sizes = []
+    monkeypatch.setattr(suffixes, "suffix_merge_sort", lambda h, s, *rest, sort=suffixes.suffix_merge_sort: (sizes.append(len(s)), sort(h, s, *rest))[1])
+    draw = np.random.default_rng(12)
+    n, window, line = 500, 100, b"a line that all have here"
+    context = [bytes(draw.integers(97, 123, 75).astype(np.uint8)) + line + bytes(draw.integers(97, 123, 75).astype(np.uint8)) for _ in range(n)]
+    for i in range(common):  # the last hundred bytes again, behind other ones
+        context[n - 1 - i] = context[n - 1 - i][:75] + context[i][75:]
+    zero = np.zeros(n, np.int64)
+    batch = suffixes._batch(np.full(n, 7), np.arange(n), np.arange(n), zero + 1000, zero - 75, zero, context)
+    out = pa.Table.from_batches(list(suffixes._resolve(window)(iter([batch]))))
+    assert sorted(zip(*[out.column(c).to_pylist() for c in ("doc", "a", "b")], strict=True)) == [(n - common + i, 1000, 1100) for i in range(common)]
+    assert sum(sizes) < 38_000 / 4  # hashes that fall together let some through
+
+
+def test_bits_follow_the_keys(spark, monkeypatch):
+    """With more keys than a fixed table holds, a table of their size still tells most others apart."""
+    from causalbars.llm import bits
+
+    monkeypatch.setattr(bits, "BITS", 1 << 19)
+    keys = spark.range(300_000).selectExpr("xxhash64(id) AS core")
+    table = bits.bit_table(keys, bits.bits_for(300_000))
+    assert table.has(keys.toPandas().core.to_numpy()).all()
+    assert table.has(np.random.default_rng(3).integers(-(2**62), 2**62, 100_000)).mean() < 0.15
+    assert bits.bits_for(10) == 1 << 19 and bits.bits_for(10**9) == 1 << 22
+
+
 def test_nothing_to_cut(empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
